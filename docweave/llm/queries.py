@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_ledger import op2
+from .secret_scan import op9
 
 
 def table(spark, sf_dir: str, name: str):
@@ -13,8 +14,13 @@ def op2_quality_ledger(spark, sf_dir):
     return op2(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark, sf_dir):
+    return op9(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality_ledger": op2_quality_ledger,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE: dict[str, str] = {}
