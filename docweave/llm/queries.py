@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3
 from .quality_ledger import op2
 from .secret_scan import op9
 
@@ -14,12 +15,17 @@ def op2_quality_ledger(spark, sf_dir):
     return op2(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark, sf_dir):
+    return op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return op9(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_quality_ledger": op2_quality_ledger,
+    "op3_decontaminate": op3_decontaminate,
     "op9_secret_scan": op9_secret_scan,
 }
 
