@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from . import line_dedup
 from .decontaminate import op3
+from .line_dedup import op5
 from .quality_ledger import op2
 from .secret_scan import op9
+from .url_rules import op10
 
 
 def table(spark, sf_dir: str, name: str):
@@ -19,6 +22,14 @@ def op3_decontaminate(spark, sf_dir):
     return op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    return op5(table(spark, sf_dir, "documents"))
+
+
+def op10_url_rules(spark, sf_dir):
+    return op10(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return op9(table(spark, sf_dir, "documents"))
 
@@ -26,7 +37,9 @@ def op9_secret_scan(spark, sf_dir):
 QUERIES = {
     "op2_quality_ledger": op2_quality_ledger,
     "op3_decontaminate": op3_decontaminate,
+    "op5_line_dedup": op5_line_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_url_rules": op10_url_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
