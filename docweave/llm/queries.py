@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import line_dedup
 from .decontaminate import op3
 from .line_dedup import op5
+from .packing import op8
 from .quality_ledger import op2
 from .secret_scan import op9
 from .url_rules import op10
@@ -30,6 +31,10 @@ def op10_url_rules(spark, sf_dir):
     return op10(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark, sf_dir):
+    return op8(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return op9(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op2_quality_ledger": op2_quality_ledger,
     "op3_decontaminate": op3_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_rules": op10_url_rules,
 }
