@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, sharding
 from .decontaminate import op3
 from .line_dedup import op5
 from .packing import op8
+from .pii import op1
 from .quality_ledger import op2
 from .secret_scan import op9
+from .sharding import op7
 from .url_rules import op10
 
 
@@ -15,6 +17,10 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark, sf_dir):
+    return op1(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_ledger(spark, sf_dir):
     return op2(table(spark, sf_dir, "documents"))
 
@@ -31,6 +37,10 @@ def op10_url_rules(spark, sf_dir):
     return op10(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op7_sharding(spark, sf_dir):
+    return op7(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark, sf_dir):
     return op8(table(spark, sf_dir, "documents"))
 
@@ -40,12 +50,14 @@ def op9_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_decontaminate": op3_decontaminate,
     "op5_line_dedup": op5_line_dedup,
+    "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_rules": op10_url_rules,
 }
 
-ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op7_sharding": sharding.ORACLE}
