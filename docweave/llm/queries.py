@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import line_dedup, sharding
 from .decontaminate import op3
+from .jaccard_join import op4
 from .line_dedup import op5
 from .packing import op8
 from .pii import op1
@@ -29,6 +30,10 @@ def op3_decontaminate(spark, sf_dir):
     return op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard_join(spark, sf_dir):
+    return op4(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     return op5(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_decontaminate": op3_decontaminate,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
