@@ -9,6 +9,7 @@ from .line_dedup import op5
 from .packing import op8
 from .pii import op1
 from .quality_ledger import op2
+from .repeats import op6
 from .secret_scan import op9
 from .sharding import op7
 from .url_rules import op10
@@ -42,6 +43,10 @@ def op10_url_rules(spark, sf_dir):
     return op10(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark, sf_dir):
+    return op6(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark, sf_dir):
     return op7(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_line_dedup": op5_line_dedup,
+    "op6_repeats": op6_repeats,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
