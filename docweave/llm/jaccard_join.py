@@ -11,8 +11,9 @@ the shorter of two such prefixes, sets that differ in d at most agree in a fille
 file all, and their empty ones too. A set near a band's end also files with the next band.
 
 Verification. Sets are nodes, so copies are one node. In each chunk's bucket all nodes are first held against the
-smallest and the largest one, a number of pairs that is linear in the bucket; size and the Hamming distance of 256-bit
-sketches drop pairs that can't be linked, the whole sets decide the rest. Then, for buckets with nodes in different
+smallest and the largest one, a number of pairs that is linear in the bucket; size and the Hamming distance, first of
+256-bit sketches, then of sketches as wide as the sets are large, drop pairs that can't be linked, the whole sets
+decide the rest. Then, for buckets with nodes in different
 components only, all pairs of nodes of different components are held against each other in the same way, in blocks of
 bounded size. So no link between different components is missed, while pairs within one are not all listed.
 
@@ -37,6 +38,8 @@ from .graph import components
 WIDTH = 5
 PERCENT = 80
 BLOCK = 1024
+#: Rows of (identifier, node) that may be broadcast, 16 bytes each.
+BROADCAST_ROWS = 500_000
 _SKETCH = ("s0", "s1", "s2", "s3")
 
 
@@ -70,6 +73,23 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """Two to four parities for each member, 256 at least. XORing its halves makes it half as wide."""
+    width = max(256, 4 << (max(len(hashes), 1).bit_length() - 1))
+    odd = np.bincount((mixed(hashes) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches at the smaller one's width."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def chunk_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """What a set files itself under."""
     n = len(hashes)
@@ -95,7 +115,7 @@ def chunk_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             empty = np.setdiff1d(np.arange(k, dtype=np.uint64), filled, assume_unique=True)
             filled = np.concatenate([filled, empty])
             content = np.concatenate([content, np.zeros(len(empty), np.uint64)])
-        found.append(mixed(content + filled * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b + 1) * np.uint64(0xD6E8FEB86659FD93)))
+        found.append(mixed(content + filled * np.uint64(0x9E3779B97F4A7C15) + np.uint64((b + 1) * 0xD6E8FEB86659FD93 % (1 << 64))))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -103,7 +123,7 @@ def _node(hashes: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes)) - (1 << 63) if len(hashes) else None
 
 
-_SIGNED = "doc_id bigint, node bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>"
+_SIGNED = "doc_id bigint, node bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, wide binary, keys array<bigint>"
 
 
 def _signer(width: int, percent: int):
@@ -111,16 +131,17 @@ def _signer(width: int, percent: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                nodes, sizes, sketches, keys, ends = [], [], [], [], [0]
+                nodes, sizes, sketches, wide, keys, ends = [], [], [], [], [], [0]
                 for h in shingle_sets(as_bytes(part.column(1)), width):
                     nodes.append(_node(h))
                     sizes.append(len(h))
                     sketches.append(_sketch(h))
+                    wide.append(wide_sketch(h))
                     keys.append(chunk_keys(h, percent).view(np.int64))
                     ends.append(ends[-1] + len(keys[-1]))
                 s = np.ascontiguousarray(np.array(sketches, np.int64).reshape(-1, 4).T)
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, s), listed], ["doc_id", "node", "n", *_SKETCH, "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, s), pa.array(wide), listed], ["doc_id", "node", "n", *_SKETCH, "wide", "keys"])
 
     return sign
 
@@ -158,14 +179,32 @@ def _checker(percent: int):
     return check
 
 
+def _wide_checker(percent: int):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, y = batch.column("n").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            mask = pa.array([distance(a, b) <= most_apart(k, percent) for k, a, b in zip(n, x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return check
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its rows, of a few longs each, are counted and few; else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose whole sets are linked. Each node's set is made anew from one of its texts."""
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(w)) for c, w in (("a", "x"), ("b", "y")))
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
+    pairs = materialize(near.mapInArrow(_wide_checker(percent), "a bigint, b bigint"), "near")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = materialize(texts.mapInArrow(_setter(width), "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
+    texts = docs.join(_small(wanted.withColumnRenamed("doc_id", "_id")), docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text")
+    sets = materialize(texts.mapInArrow(_setter(width), "node bigint, set array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_checker(percent), "a bigint, b bigint")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(_checker(percent), "a bigint, b bigint").distinct()
 
 
 def _across(percent: int):
@@ -221,7 +260,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
     signed = materialize(docs.mapInArrow(_signer(width, percent), _SIGNED), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *_SKETCH)))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *_SKETCH, "wide")))
     nodes = materialize(nodes, "nodes")
 
     filed = signed.select("node", F.explode("keys").alias("key")).repartition(partitions(spark), "key")
@@ -236,7 +275,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     placed = buckets.select("key", "node").distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     live = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("key", "size")
-    rows = placed.join(live, "key").join(nodes.drop("doc_id"), "node")
+    rows = placed.join(live, "key").join(nodes.drop("doc_id", "wide"), "node")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("bigint")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -257,7 +296,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    x, y = nodes.drop("doc_id").alias("x"), nodes.drop("doc_id").alias("y")
+    x, y = nodes.drop("doc_id", "wide").alias("x"), nodes.drop("doc_id", "wide").alias("y")
     both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
     return both.where(_near(percent)).select("a", "b")
 

@@ -63,7 +63,8 @@ def got(df):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+def test_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(j, "BROADCAST_ROWS", 500_000 if seed == 1 else 0)
     rows = near_rows(seed) + AWKWARD + [(900, "one two"), (901, "ONE  two"), (902, "one two three"), (903, " ".join(words(5, 20_000))), (904, " ".join(words(5, 20_000)[30:]))]
     assert got(j.op4(documents(spark, rows))) == brute(rows)
 
@@ -91,6 +92,17 @@ def test_linked_sets_share_a_key():
             assert set(x.tolist()) & set(y.tolist()) or len(a) == len(b) and drop == 0
 
 
+def test_sketch_distance_bounds_difference():
+    r = np.random.default_rng(4)
+    for n in [1, 5, 60, 64, 100, 300, 1000, 1025]:
+        a = np.unique(r.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        for m in [0, 1, n // 10, n // 2]:
+            b = np.concatenate([a[m:], r.integers(0, 2**63, m + n // 4, dtype=np.int64).astype(np.uint64)])
+            d = len(a) + len(b) - 2 * (len(a) - min(m, len(a)))
+            assert j.distance(j.wide_sketch(a), j.wide_sketch(b)) <= d
+            assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in j._sketch(a) ^ j._sketch(b)) <= d
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(7, 7), (500, 400)]
