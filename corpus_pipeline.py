@@ -1,10 +1,15 @@
-"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.llm import decontaminate, jaccard_join, line_dedup, packing
 from docweave.llm.common import materialize
 from docweave.llm.quality_ledger import DEFAULT_POLICY, POLICIES, ledger, verdict
 
@@ -17,8 +22,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where(verdict(judged["_ledger"]["bits"], POLICIES[DEFAULT_POLICY])).select(*COLUMNS)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the boilerplate lines of each source from its texts; every document stays."""
+    cut = line_dedup.drop_lines(docs.select(*COLUMNS))
+    return cut.withColumn("n_chars", F.when(F.col("_lines_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component the document with the smallest identifier; rows without an identifier stay."""
+    docs = docs.select(*COLUMNS)
+    kept = jaccard_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.where("doc_id is not null").join(materialize(kept, "kept"), F.col("doc_id") == F.col("_kept")).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; long benchmark passages in others are cut out."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    cut = decontaminate.clean(docs.select(*COLUMNS), items)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark),
+    ("packing", pack),
 ]
 
 #: Packing depends on the vocabulary and on pieces cut freely, which SQL can't express.
