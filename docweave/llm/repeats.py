@@ -8,7 +8,8 @@ are sorted by what is left of them: where a run of members agrees in enough byte
 extended to the right by all (it lies in one child of the node) nor to the left (it agrees in one more byte), it is
 a maximal repeat, with all its occurrences.
 
-Texts that are equal are one text, whose copies repeat as a whole. A hash with more than HOT places is not gathered in
+A context that is found again in the same task repeats in whole; its places are decided there and only the first is
+dealt on. Texts that are equal are one text, whose copies repeat as a whole. A hash with more than HOT places is not gathered in
 one task: its windows' hashes are counted by an aggregate instead.
 
 Defined results: null is an empty text; texts shorter than LENGTH bytes have no repeats; repeated rows are copies of each
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,92 +113,142 @@ def group_repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH)
 
     lefts are read outwards from the anchor, rights start with its substring.
     """
-    order = sorted(range(len(rights)), key=rights.__getitem__)
-    lcp = [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
+    order, lcp = _sorted(rights)
     for depth, first, last in intervals(lcp):
-        need = max(0, length - depth)
-        if last == first + 1:
-            a, b = order[first], order[last]
-            left = common(lefts[a], lefts[b])
-            if left >= need:
-                yield [a, b], left, depth
-            continue
-        if not need:
-            members = range(first, last + 1)
-        else:
-            members = [i for i in range(first, last + 1) if len(lefts[order[i]]) >= need]
-        by_left = sorted(members, key=lambda i: lefts[order[i]])
-        same = [common(lefts[order[a]], lefts[order[b]]) for a, b in zip(by_left, by_left[1:], strict=False)]
-        for left, a, b in intervals([x if x >= need else -1 for x in same]) if need else intervals(same):
-            ranks = by_left[a : b + 1]
-            if _diverse(lcp, min(ranks), max(ranks), depth):
-                yield [order[i] for i in ranks], left, depth
+        need = length - depth
+        child = [0]
+        for x in lcp[first:last]:
+            child.append(child[-1] + (x == depth))
+        for run in _left_runs(order, first, last, lefts, need):
+            same = [common(lefts[order[a]], lefts[order[b]]) for a, b in zip(run, run[1:], strict=False)]
+            for left, a, b in intervals(same):
+                if len({child[i - first] for i in run[a : b + 1]}) > 1:
+                    yield [order[i] for i in run[a : b + 1]], left, depth
+
+
+def _sorted(rights: list[bytes]) -> tuple[list[int], list[int]]:
+    order = sorted(range(len(rights)), key=rights.__getitem__)
+    return order, [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
 
 
-def _diverse(lcp: list[int], first: int, last: int, depth: int) -> bool:
-    """Whether the suffixes from first to last don't all go on alike beyond depth."""
-    return min(lcp[first:last], default=depth + 1) == depth
+def _left_runs(order: list[int], first: int, last: int, lefts: list[bytes], need: int) -> Iterator[list[int]]:
+    """The members of a node in runs that agree in `need` bytes to the left, each sorted by all bytes to the left."""
+    if need <= 0:
+        runs = [list(range(first, last + 1))]
+    else:
+        by: dict[bytes, list[int]] = {}
+        for i in range(first, last + 1):
+            if len(x := lefts[order[i]]) >= need:
+                by.setdefault(x[:need], []).append(i)
+        runs = [r for r in by.values() if len(r) > 1]
+    for run in runs:
+        run.sort(key=lambda i: lefts[order[i]])
+        yield run
 
 
 def cover(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> dict[int, list[tuple[int, int]]]:
-    """For each member, the (left, right) reaches of its maximal repeats that no other one's contain."""
+    """For each member, the (left, right) reaches of its maximal repeats that no other one's contain.
+
+    In a node each member's longest common left part is with a neighbour in the order of left parts. Repeats that are
+    not maximal need no test here: the reach in a child node contains theirs.
+    """
     reach: dict[int, list[tuple[int, int]]] = {}
-    for members, left, right in group_repeats(lefts, rights, length):
-        for m in members:
-            mine = reach.setdefault(m, [])
-            if not any(x >= left and y >= right for x, y in mine):
-                mine[:] = [(x, y) for x, y in mine if x > left or y > right]
-                mine.append((left, right))
+
+    def put(m: int, left: int, right: int) -> None:
+        mine = reach.setdefault(m, [])
+        if not any(x >= left and y >= right for x, y in mine):
+            mine[:] = [(x, y) for x, y in mine if x > left or y > right]
+            mine.append((left, right))
+
+    order, lcp = _sorted(rights)
+    for depth, first, last in intervals(lcp):
+        if last == first + 1:
+            left = common(lefts[order[first]], lefts[order[last]])
+            if left + depth >= length:
+                put(order[first], left, depth)
+                put(order[last], left, depth)
+            continue
+        for run in _left_runs(order, first, last, lefts, length - depth):
+            same = [-1, *(common(lefts[order[a]], lefts[order[b]]) for a, b in zip(run, run[1:], strict=False)), -1]
+            for k, i in enumerate(run):
+                put(order[i], max(same[k], same[k + 1]), depth)
     return reach
 
 
-_ANCHORS = "array<struct<hash:bigint,place:int>>"
+_ANCHORS = "array<struct<hash:bigint,places:array<int>>>"
 
 
 def _anchor_udf(length: int, gram: int):
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("place", pa.int32())]))
+    kind = pa.list_(pa.struct([("hash", pa.int64()), ("places", pa.list_(pa.int32()))]))
 
     def find(text: pa.Array) -> pa.Array:
-        hashes, places, ends = [], [], [0]
-        for h, p in anchors(as_bytes(text), length, gram):
-            hashes.append(h.view(np.int64))
-            places.append(p.astype(np.int32))
-            ends.append(ends[-1] + len(h))
-        if ends[-1] == 0:
+        found = list(anchors(as_bytes(text), length, gram))
+        if not any(len(h) for h, _ in found):
             return pa.array([[]] * len(text), kind)
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(places))], ["hash", "place"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        hashes = np.concatenate([h for h, _ in found]).view(np.int64)
+        places = np.concatenate([p for _, p in found]).astype(np.int32)
+        owner = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
+        order = np.lexsort((places, hashes, owner))
+        hashes, places, owner = hashes[order], places[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]))
+        inner = pa.ListArray.from_arrays(pa.array(np.append(new, len(places)), pa.int32()), pa.array(places))
+        values = pa.StructArray.from_arrays([pa.array(hashes[new]), inner], ["hash", "places"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[new], np.arange(len(found) + 1)), pa.int32()), values)
 
     return F.arrow_udf(find, _ANCHORS)
 
 
-def _contexts(length: int, gram: int):
+#: Rows with left and right: a context and where it stands. Rows without: a span from a to b, already decided.
+_CONTEXT = "hash bigint, mark binary, a int, b int, left binary, right binary"
+_SEEN = 100_000
+
+
+def _contexts(length: int, gram: int, every: bool = False):
+    """Context rows; with `every` for all places, else contexts seen again in a task are decided there."""
     side = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, bytes], list] = {}
+        rows: list[tuple] = []
         for batch in batches:
-            kid, mark, found = batch.column("kid").to_pylist(), batch.column("mark").to_pylist(), batch.column("found")
-            for i, t in enumerate(as_bytes(batch.column("text"))):
-                own = found[i].values
-                hashes, places = own.field("hash"), own.field("place")
-                for a in range(0, len(places), 20_000):
-                    ps = places[a : a + 20_000].to_pylist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            hashes[a : a + 20_000], pa.array([kid[i]] * len(ps), pa.int64()), pa.array([mark[i]] * len(ps), pa.binary()), pa.array(ps, pa.int32()),
-                            pa.array([t[max(0, p - side) : p] for p in ps], pa.binary()), pa.array([t[p : p + length] for p in ps], pa.binary()),
-                        ],
-                        ["hash", "kid", "mark", "place", "left", "right"],
-                    )
+            marks, texts = batch.column("mark").to_pylist(), as_bytes(batch.column("text"))
+            for mark, t, found in zip(marks, texts, batch.column("found").to_pylist(), strict=True):
+                here = int.from_bytes(mark[:8], signed=True)
+                for x in found:
+                    for p in x["places"]:
+                        left, right = t[max(0, p - side) : p], t[p : p + length]
+                        first = None if every else seen.get(k := (x["hash"], _brief(left, right)))
+                        if first is None:
+                            if not every:
+                                seen[k] = [mark, p]
+                            rows.append((x["hash"], mark, p, p, left, right))
+                        elif len(left) + len(right) >= length:
+                            # seen before in this task: both places repeat as far as the context goes
+                            if first[0] is not None:
+                                rows.append((here, first[0], first[1] - len(left), first[1] + len(right), None, None))
+                                first[0] = None
+                            rows.append((here, mark, p - len(left), p + len(right), None, None))
+                    if len(rows) > 5000:
+                        yield _batch(rows, _CONTEXT)
+                        rows = []
+                if len(seen) > _SEEN:
+                    seen.clear()
+        if rows:
+            yield _batch(rows, _CONTEXT)
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list, list]]:
-    """The rows of each hash in turn, from batches sorted by hash."""
+def _brief(left: bytes, right: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(right, seed=len(left)) + xxhash.xxh3_64_digest(left)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
+    """(marks, places, lefts, rights) of each hash in turn, from batches sorted by hash; decided spans are left out."""
     last, held = None, None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("hash", "kid", "mark", "place", "left", "right")]
+        batch = batch.filter(batch.column("right").is_valid())
+        cols = [batch.column(c).to_pylist() for c in ("hash", "mark", "a", "left", "right")]
         h = batch.column("hash").to_numpy()
         cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -214,19 +266,38 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
         yield tuple(held)
 
 
-_SPANS = "kid bigint, mark binary, a int, b int"
-_REPEATS = "repeat string, length int, kid bigint, mark binary, start int"
+_SPANS = "mark binary, a int, b int"
+_REPEATS = "repeat string, length int, mark binary, start int"
 
 
 def _spanner(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decided: list[pa.RecordBatch] = []
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                decided.append(batch.filter(batch.column("right").is_null()).select(["mark", "a", "b"]))
+                yield batch
+
         out: list[tuple] = []
-        for kid, mark, place, left, right in _groups(batches):
-            for m, reaches in cover([x[::-1] for x in left], right, length).items():
-                out += [(kid[m], mark[m], place[m] - x, place[m] + y) for x, y in reaches]
+        for mark, place, left, right in _groups(watched()):
+            yield from decided
+            decided.clear()
+            if len(mark) == 1:
+                continue
+            own: dict[tuple[bytes, bytes], list[int]] = {}
+            for i, k in enumerate(zip(left, right, strict=True)):
+                own.setdefault(k, []).append(i)
+            distinct, members = list(own), list(own.values())
+            reach = cover([x[::-1] for x, _ in distinct], [y for _, y in distinct], length) if len(distinct) > 1 else {}
+            for k, ms in enumerate(members):
+                x, y = len(distinct[k][0]), len(distinct[k][1])
+                reaches = [(x, y)] if len(ms) > 1 and x + y >= length else reach.get(k, ())
+                out += [(mark[m], place[m] - a, place[m] + b) for m in ms for a, b in reaches]
             if len(out) > 20_000:
                 yield _batch(out, _SPANS)
                 out = []
+        yield from decided
         if out:
             yield _batch(out, _SPANS)
 
@@ -235,11 +306,11 @@ def _spanner(length: int):
 
 def _repeater(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kid, mark, place, left, right in _groups(batches):
+        for mark, place, left, right in _groups(batches):
             for members, x, y in group_repeats([t[::-1] for t in left], right, length):
                 m = members[0]
                 name = hashlib.md5(left[m][len(left[m]) - x :] + right[m][:y]).hexdigest()
-                yield _batch([(name, x + y, kid[i], mark[i], place[i] - x) for i in members], _REPEATS)
+                yield _batch([(name, x + y, mark[i], place[i] - x) for i in members], _REPEATS)
 
     return run
 
@@ -253,22 +324,23 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _windows(length: int, gram: int):
-    """(window, kid, mark, a) for all windows around hot anchors."""
+    """(window, mark, a) for all windows around hot anchors."""
     side = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kid, mark, text, found in zip(*(batch.column(c).to_pylist() for c in ("kid", "mark", "text", "found")), strict=True):
-                t = text.encode()
-                rows = []
-                for p in (x["place"] for x in found):
+            for mark, t, found in zip(batch.column("mark").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
+                rows, done = [], set()
+                for p in (p for x in found for p in x["places"]):
                     for a in range(max(0, p - side), min(p, len(t) - length) + 1):
-                        rows.append((int.from_bytes(hashlib.blake2b(t[a : a + length], digest_size=8).digest(), signed=True), kid, mark, a))
+                        if a not in done:
+                            done.add(a)
+                            rows.append((xxhash.xxh3_64_intdigest(t[a : a + length]) - (1 << 63), mark, a))
                     if len(rows) > 20_000:
-                        yield _batch(rows, "window bigint, kid bigint, mark binary, a int")
+                        yield _batch(rows, "window bigint, mark binary, a int")
                         rows = []
                 if rows:
-                    yield _batch(rows, "window bigint, kid bigint, mark binary, a int")
+                    yield _batch(rows, "window bigint, mark binary, a int")
 
     return run
 
@@ -276,31 +348,33 @@ def _windows(length: int, gram: int):
 class _Plan:
     """The tables that the operators below are made of."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, length: int, gram: int, hot: int) -> None:
-        spark, n = docs.sparkSession, partitions(docs.sparkSession)
+    def __init__(self, docs: DataFrame, key: str, text: str, length: int, gram: int, hot: int, every: bool = False) -> None:
+        n = partitions(docs.sparkSession)
         body = F.coalesce(F.col(text), F.lit(""))
         whole = docs.select(F.col(key).cast("bigint").alias("doc_id"), body.alias("text"))
         marked = whole.select("doc_id", F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("kid"), F.unhex(F.md5("text")).alias("mark"), "text")
         self.rows = materialize(marked.select("doc_id", "kid", "mark", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "texts")
-        self.copies = materialize(self.rows.groupBy("mark").agg(F.min("kid").alias("kid"), F.count("*").alias("copies"), F.min("n_bytes").alias("n_bytes")), "copies")
-        # The only shuffle of whole texts; everything below that needs them finds them dealt like this.
-        self.texts = marked.select("kid", "mark", "text").repartition(n, "kid", "mark")
-        one = self.copies.where(F.col("n_bytes") >= length).select("kid", "mark").hint("shuffle_hash")
-        single = self.texts.join(one, ["kid", "mark"])
-        found = single.select("kid", "mark", F.explode(_anchor_udf(length, gram)(F.col("text"))).alias("x"))
-        filed = found.select(F.col("x.hash").alias("hash"), "kid", "mark", F.col("x.place").alias("place")).repartition(n, "hash")
-        who = F.xxhash64("kid", "mark", "place")
-        often = filed.groupBy("hash").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("n")).where("lo < hi").select("hash", "n")
+        self.copies = materialize(self.rows.groupBy("mark").agg(F.min("kid").alias("kid"), F.count("*").alias("copies")), "copies")
+
+        found = marked.where(F.octet_length("text") >= length).select("mark", F.explode(_anchor_udf(length, gram)(F.col("text"))).alias("x"))
+        filed = found.select(F.col("x.hash").alias("hash"), "mark", F.col("x.places").alias("places")).repartition(n, "hash")
+        often = filed.groupBy("hash").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.max(F.size("places")).alias("most"), F.count("*").alias("n"))
+        often = often.where("lo < hi OR most > 1").select("hash", (F.col("n") > hot).alias("hot"))
         again = filed.join(often.hint("shuffle_hash"), "hash")
-        listed = again.groupBy("kid", "mark", (F.col("n") > hot).alias("hot")).agg(F.collect_list(F.struct("hash", "place")).alias("found"))
-        self.listed = materialize(listed, "anchors")
-        warm = self.texts.join(self.listed.where("not hot").select("kid", "mark", "found").hint("shuffle_hash"), ["kid", "mark"])
-        contexts = warm.select("kid", "mark", "text", "found").mapInArrow(_contexts(length, gram), "hash bigint, kid bigint, mark binary, place int, left binary, right binary")
-        self.contexts = contexts.repartition(n, "hash").sortWithinPartitions("hash")
-        self.any_hot = bool(self.listed.where("hot").limit(1).count())
-        if self.any_hot:
-            near = self.texts.join(self.listed.where("hot").select("kid", "mark", "found").hint("shuffle_hash"), ["kid", "mark"])
-            self.windows = near.select("kid", "mark", "text", "found").mapInArrow(_windows(length, gram), "window bigint, kid bigint, mark binary, a int").distinct()
+        listed = again.groupBy("mark", "hot").agg(F.collect_set(F.struct("hash", "places")).alias("found"))
+        self.listed = materialize(listed.join(self.copies.select("mark", "kid"), "mark"), "anchors")
+
+        # The only shuffle of whole texts, by identifier, as copies of one text may be many. What is joined with it
+        # below is dealt alike and of one plan, so that it is written once.
+        self.texts = marked.select("kid", "mark", "text").repartition(n, "kid", "mark")
+        warm = self._with_texts(self.listed.where("not hot"))
+        self.contexts = warm.mapInArrow(_contexts(length, gram, every), _CONTEXT).repartition(n, "hash").sortWithinPartitions("hash")
+        self.windows = None
+        if self.listed.where("hot").limit(1).count():
+            self.windows = self._with_texts(self.listed.where("hot")).mapInArrow(_windows(length, gram), "window bigint, mark binary, a int").distinct()
+
+    def _with_texts(self, listed: DataFrame) -> DataFrame:
+        return self.texts.join(listed.select("kid", "mark", "found").hint("shuffle_hash"), ["kid", "mark"]).select("mark", "text", "found")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -309,12 +383,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     A repeat that reaches beyond what is kept around an anchor appears as overlapping ones. For anchors with over
     `hot` places, the repeats are their windows.
     """
-    p = _Plan(docs, key, text, length, gram, hot)
+    p = _Plan(docs, key, text, length, gram, hot, every=True)
     out = p.contexts.mapInArrow(_repeater(length), _REPEATS)
-    if p.any_hot:
-        w = p.windows
+    if (w := p.windows) is not None:
         often = w.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-        out = out.unionByName(w.join(often, "window").select(F.hex("window").alias("repeat"), F.lit(length).alias("length"), "kid", "mark", F.col("a").alias("start")))
+        out = out.unionByName(w.join(often, "window").select(F.hex("window").alias("repeat"), F.lit(length).alias("length"), "mark", F.col("a").alias("start")))
     names = p.rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
     return out.distinct().join(names, "mark").select("repeat", "length", "doc_id", "start")
 
@@ -354,13 +427,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     where anything was removed."""
     p = _Plan(docs, key, text, length, gram, hot)
     spans = p.contexts.mapInArrow(_spanner(length), _SPANS)
-    if p.any_hot:
-        w = p.windows
+    if (w := p.windows) is not None:
         often = w.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-        spans = spans.unionByName(w.join(often, "window").select("kid", "mark", "a", (F.col("a") + length).alias("b")))
-    by_text = spans.groupBy("kid", "mark").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        spans = spans.unionByName(w.join(often, "window").select("mark", "a", (F.col("a") + length).alias("b")))
+    by_text = spans.groupBy("mark").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(p.copies.where("copies = 1").select("mark", "kid"), "mark")
     cut = p.texts.join(by_text.hint("shuffle_hash"), ["kid", "mark"]).select("mark", "text", "spans").mapInArrow(_cutter(with_text), _CUT)
-    cut = materialize(cut.dropDuplicates(["mark"]), "cut")
+    cut = materialize(cut, "cut")
     x = p.rows.join(p.copies.select("mark", "copies"), "mark").join(cut, "mark", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     pick = lambda a, b, c: F.when(whole, a).when(F.col("removed") > 0, F.col(b)).otherwise(c)
