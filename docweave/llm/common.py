@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 #: Text handled at once in one Python worker, which bounds its memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Bytes of a batch on its way to a Python worker; a row that is larger makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on batches to Python workers are bounded in bytes, so that long texts don't add up to large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +66,7 @@ def chunks(texts: list, limit: int = CHUNK_BYTES):
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks
+from .common import as_bytes, bound_batches, chunks
 
 WINDOW = 13
 #: A document is contaminated if hit words are this share of its words, as hit * SHARE >= words.
@@ -233,6 +233,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
     With more than one block the documents' rows are told apart by a hash of the text, on which the blocks' results,
     a few bytes each, are grouped and joined.
     """
+    bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     held = [context.broadcast(b) for b in _blocks(items, item_key, item_text, block_bytes)]
     if len(held) == 1:
@@ -291,11 +292,36 @@ def _remover(longest: int):
     return F.arrow_udf(remove, "string")
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int = MAX_SPAN) -> DataFrame:
+def _cleaner(held, longest: int):
+    """Whether a text stays, and what is left of it, in one pass."""
+    kind = pa.struct([("stays", pa.bool_()), ("text", pa.string())])
+    built: list[Automaton] = []
+
+    def clean(text: pa.Array) -> pa.Array:
+        if not built:
+            built.append(Automaton(held.value))
+        rows = []
+        for t, (n, hits, _) in zip(text.to_pylist(), built[0].match(as_bytes(text)), strict=True):
+            hit = sum(b - a for a, b in hits)
+            rows.append({"stays": not hit or SHARE * hit < n, "text": remove_spans(t, hits, longest) if hits else t})
+        return pa.array(rows, kind)
+
+    # else the filter below is pushed under the projection and each text is searched twice
+    return F.arrow_udf(clean, "struct<stays:boolean,text:string>").asNondeterministic()
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int = MAX_SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents over the coverage limit go; from the others, hit spans of `longest` words or more are removed."""
-    x = find_hits(docs, items, text)
+    bound_batches(docs.sparkSession)
+    blocks = list(_blocks(items, "item_id", "text", block_bytes))
+    if len(blocks) == 1:
+        held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+        x = docs.withColumn("_clean", _cleaner(held, longest)(F.col(text)))
+        return x.where(x["_clean"]["stays"]).withColumn(text, x["_clean"]["text"]).drop("_clean")
+    x = find_hits(docs, items, text, block_bytes=block_bytes)
     x = x.where(~contaminated(x["_found"]))
-    return x.withColumn(text, F.when(F.exists(x["_found"]["hits"], lambda h: h["b"] - h["a"] >= longest), _remover(longest)(F.col(text), x["_found"]["hits"])).otherwise(F.col(text))).drop("_found")
+    long = F.exists(x["_found"]["hits"], lambda h: h["b"] - h["a"] >= longest)
+    return x.withColumn(text, F.when(long, _remover(longest)(F.col(text), x["_found"]["hits"])).otherwise(F.col(text))).drop("_found")
 
 
 def op3(docs: DataFrame, items: DataFrame) -> DataFrame:

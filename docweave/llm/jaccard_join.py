@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, as_bytes, chunks, materialize, mixed, partitions, window_hashes
+from .common import LOWER, WordHashes, as_bytes, bound_batches, chunks, materialize, mixed, partitions, window_hashes
 from .graph import components
 
 WIDTH = 5
@@ -259,6 +259,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     """(doc_id, n_shingles, component_id) for each row of docs. key has to be a long."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     spark = docs.sparkSession
+    bound_batches(spark)
     signed = materialize(docs.mapInArrow(_signer(width, percent), _SIGNED), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.min(c).alias(c) for c in ("n", *_SKETCH, "wide")))
     nodes = materialize(nodes, "nodes")

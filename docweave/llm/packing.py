@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bound_batches, partitions
 
 LENGTH = 1024
 END = 0
@@ -54,17 +54,24 @@ class Tokens:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.slow = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         byte_of = _byte_alphabet()
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def slow(self):
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special) or len(text) > LONG_RUN and _longest_run(text) > LONG_RUN:
             found = np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -215,6 +222,7 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece; with_ids adds its token ids. key has to be a long."""
+    bound_batches(docs.sparkSession)
     x = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     coded = x.mapInArrow(_coder(vocabulary or default_vocabulary(), length, with_ids), _CODED)
     dealt = coded.repartition(partitions(docs.sparkSession)).sortWithinPartitions("doc_id", "doc_tokens", "tail")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
@@ -252,6 +252,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame, text: str = "text", spans: str = "_spans", how: Disclosure = Disclosure()) -> DataFrame:
     """docs with the column `spans`: base spans and those of disclosing terms, by start, then kind."""
+    bound_batches(docs.sparkSession)
     terms = materialize(disclosing_terms(docs, text, how), "pii-terms")
     if terms.limit(how.most_broadcast + 1).count() <= how.most_broadcast:
         held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()})

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, chunks, window_hashes
+from .common import WordHashes, as_bytes, bound_batches, chunks, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -132,6 +132,7 @@ def failures(m: Column) -> Column:
 
 def ledger(docs: DataFrame, text: str = "text", ledger_column: str = "_ledger") -> DataFrame:
     """docs with a struct column: failure bits and measurements. One Arrow pass, no shuffle."""
+    bound_batches(docs.sparkSession)
     measured = docs.withColumn(ledger_column, _udf()(F.col(text)))
     m = F.col(ledger_column)
     return measured.withColumn(ledger_column, F.struct(failures(m).alias("bits"), *(m[x].alias(x) for x in MEASURES)))

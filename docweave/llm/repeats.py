@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, materialize, mixed, partitions
+from .common import as_bytes, bound_batches, chunks, materialize, mixed, partitions
 
 LENGTH = 200
 GRAM = 64
@@ -349,6 +349,7 @@ class _Plan:
     """The tables that the operators below are made of."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, length: int, gram: int, hot: int, every: bool = False) -> None:
+        bound_batches(docs.sparkSession)
         n = partitions(docs.sparkSession)
         body = F.coalesce(F.col(text), F.lit(""))
         whole = docs.select(F.col(key).cast("bigint").alias("doc_id"), body.alias("text"))

@@ -87,6 +87,8 @@ def test_clean_removes_spans(spark):
     filler = " ".join(words(6, 3000))
     docs = documents(spark, [(1, item), (2, f"{filler}. {item}, end"), (3, filler), (4, None)])
     b = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    b = b.unionByName(spark.createDataFrame([(2, "other item words " * 10), (3, "more " * 20)], "item_id bigint, text string"))
     got = {r["doc_id"]: r["text"] for r in d.clean(docs, b).collect()}
+    assert got == {r["doc_id"]: r["text"] for r in d.clean(docs, b, block_bytes=100).collect()}
     assert set(got) == {2, 3, 4} and got[3] == filler and got[4] is None
     assert got[2] == f"{filler}. , end"
