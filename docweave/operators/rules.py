@@ -243,7 +243,7 @@ def relevance_tier(score: Column) -> Column:
 
 
 def latency_tier(ms: Column) -> Column:
-    return F.when(ms < 2000, "fast").when(ms < 5000, "medium").otherwise("slow")
+    return F.when(ms < 2000, "latency-fast").when(ms < 5000, "latency-mid").otherwise("latency-slow")
 
 
 def display_score(top: Column) -> Column:
