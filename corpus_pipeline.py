@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontaminate, jaccard_join, line_dedup, packing
-from docweave.llm.common import materialize
+from docweave.llm.common import materialize, small
 from docweave.llm.quality_ledger import DEFAULT_POLICY, POLICIES, ledger, verdict
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,10 +29,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document with the smallest identifier; rows without an identifier stay."""
+    """Keeps of each component the document with the smallest identifier; rows without an identifier stay.
+
+    What goes, the smaller part, is joined rather than what stays, so that texts are shuffled only if that is large.
+    Rows that share an identifier are told apart by all their columns, and equal ones become one.
+    """
     docs = docs.select(*COLUMNS)
-    kept = jaccard_join.join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id is not null").join(materialize(kept, "kept"), F.col("doc_id") == F.col("_kept")).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    gone = jaccard_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(small(materialize(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"), "twice")
+    if not twice.limit(1).count():
+        return kept
+    same = F.col("doc_id") == F.col("_twice")
+    return kept.join(small(twice), same, "left_anti").unionByName(kept.join(small(twice), same, "left_semi").distinct())
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

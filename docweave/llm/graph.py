@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b); root is the smallest node that links reach.
+    """(node, root), a work table, for every node of edges(a, b); root is the smallest node that links reach.
 
     Alternating large-star and small-star rounds: each node's larger neighbours, then all its smaller ones, are linked
     to the smallest of them. The number of rounds grows with the logarithm of the largest component. A node's
@@ -30,5 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select("lo", "hi", "m")
         small = small.select(F.col("m").alias("lo"), "hi").unionByName(small.where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))).distinct()
+        release(now)
         now = materialize(small, "edges")
-    return now.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root").unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+        release(large)
+    out = now.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root").unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+    out = materialize(out, "components")
+    release(now)
+    return out

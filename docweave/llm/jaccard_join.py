@@ -32,14 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, as_bytes, bound_batches, chunks, materialize, mixed, partitions, window_hashes
+from .common import LOWER, WordHashes, as_bytes, bound_batches, chunks, materialize, mixed, partitions, release, small, window_hashes
 from .graph import components
 
 WIDTH = 5
 PERCENT = 80
 BLOCK = 1024
-#: Rows of (identifier, node) that may be broadcast, 16 bytes each.
-BROADCAST_ROWS = 500_000
 _SKETCH = ("s0", "s1", "s2", "s3")
 
 
@@ -189,22 +187,19 @@ def _wide_checker(percent: int):
     return check
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows, of a few longs each, are counted and few; else joined by a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose whole sets are linked. Each node's set is made anew from one of its texts."""
+    """A work table of those pairs (a, b) of nodes whose whole sets are linked. Each node's set is made anew from one of its texts."""
     x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(w)) for c, w in (("a", "x"), ("b", "y")))
     near = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "x", "y")
     pairs = materialize(near.mapInArrow(_wide_checker(percent), "a bigint, b bigint"), "near")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(wanted.join(nodes.select("node", "doc_id"), "node"), "wanted")
-    texts = docs.join(_small(wanted.withColumnRenamed("doc_id", "_id")), docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text")
+    texts = docs.join(small(wanted.withColumnRenamed("doc_id", "_id")), docs["doc_id"].eqNullSafe(F.col("_id"))).select("node", "text")
     sets = materialize(texts.mapInArrow(_setter(width), "node bigint, set array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_checker(percent), "a bigint, b bigint").distinct()
+    found = materialize(both.select("a", "b", "set_a", "set_b").mapInArrow(_checker(percent), "a bigint, b bigint").distinct(), "links")
+    release(pairs, wanted, sets)
+    return found
 
 
 def _across(percent: int):
@@ -266,17 +261,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     filed = signed.select("node", F.explode("keys").alias("key")).repartition(partitions(spark), "key")
     ends = filed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    buckets = materialize(filed.join(ends.hint("shuffle_hash"), "key"), "buckets")
+    buckets = materialize(filed.join(ends.hint("shuffle_hash"), "key").distinct(), "buckets")
 
     stars = buckets.select("node", F.explode(F.array("lo", "hi")).alias("other")).where("node <> other")
     stars = stars.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     tested = materialize(_close(stars, nodes, percent), "tested")
-    links = materialize(_linked(tested, nodes, docs, width, percent), "links")
+    links = _linked(tested, nodes, docs, width, percent)
     roots = components(links)
 
-    placed = buckets.select("key", "node").distinct().join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = buckets.join(small(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")).repartition(partitions(spark), "key")
     live = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("key", "size")
-    rows = placed.join(live, "key").join(nodes.drop("doc_id", "wide"), "node")
+    rows = placed.join(live.hint("shuffle_hash"), "key").join(nodes.drop("doc_id", "wide"), "node")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("bigint")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -284,16 +279,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     dealt = rows.repartition(partitions(spark), "key", "one", "two").sortWithinPartitions("key", "one", "two")
     more = dealt.mapInArrow(_across(percent), "a bigint, b bigint").distinct().join(tested, ["a", "b"], "left_anti")
     more = materialize(more, "across")
-    further = _linked(more, nodes, docs, width, percent) if more.limit(1).count() else None
-    if further is not None:
-        links = materialize(links.unionByName(further), "links")
-        roots = components(links)
+    release(buckets, tested)
+    if more.limit(1).count():
+        further = _linked(more, nodes, docs, width, percent)
+        release(roots)
+        roots = components(links.unionByName(further))
+        release(further)
+    release(links, more)
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "root").select("node", "component_id")
     out = signed.select("doc_id", "node", "n").join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = materialize(out, "joined")
+    release(signed, nodes, roots)
+    return out
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

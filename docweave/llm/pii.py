@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, release
 
 KINDS = ("email", "ip", "card", "phone")
 ACTIONS = ("generalise", "remove")
@@ -190,7 +190,7 @@ def _contexts(text: str, flat: bytes, spans: list[Span]) -> Iterator[tuple[set[t
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", how: Disclosure = Disclosure()) -> DataFrame:
-    """(term, action, kind, ratio, support): for each term that discloses an entity, the one it discloses most."""
+    """A work table (term, kind, ratio, support, action): for each term that discloses an entity, the one it discloses most."""
     counts = materialize(docs.select(F.col(text).alias("text")).mapInArrow(_count, _COUNTS), "pii-counts")
     total = counts.where("what = 'all'").agg(F.sum("n").alias("total"))
     entities = counts.where("what = 'entity'").groupBy("entity").agg(F.sum("n").alias("n_entity"))
@@ -202,7 +202,9 @@ def disclosing_terms(docs: DataFrame, text: str = "text", how: Disclosure = Disc
     pmi = F.log2(F.col("n_both") * F.col("total") / (F.col("n_entity") * F.col("n_term")))
     x = x.withColumn("ratio", F.when(content > 0, pmi / content)).where(F.col("ratio") >= how.threshold)
     best = x.groupBy("term").agg(F.max(F.struct("ratio", "support", "kind")).alias("m")).select("term", "m.*")
-    return best.withColumn("action", F.when(F.col("ratio") >= how.removal, "remove").otherwise("generalise"))
+    out = materialize(best.withColumn("action", F.when(F.col("ratio") >= how.removal, "remove").otherwise("generalise")), "pii-terms")
+    release(counts)
+    return out
 
 
 def _term_spans(text: str, spans: list[Span], wanted: dict[str, str] | None) -> Iterator[tuple[str, int, int]]:
@@ -253,7 +255,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(docs: DataFrame, text: str = "text", spans: str = "_spans", how: Disclosure = Disclosure()) -> DataFrame:
     """docs with the column `spans`: base spans and those of disclosing terms, by start, then kind."""
     bound_batches(docs.sparkSession)
-    terms = materialize(disclosing_terms(docs, text, how), "pii-terms")
+    terms = disclosing_terms(docs, text, how)
     if terms.limit(how.most_broadcast + 1).count() <= how.most_broadcast:
         held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["action"] for r in terms.collect()})
         return docs.withColumn(spans, _finder(held)(F.col(text)))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from docweave.llm import common
 from docweave.llm import jaccard_join as j
 from docweave.llm.graph import components
 
@@ -64,7 +65,7 @@ def got(df):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(j, "BROADCAST_ROWS", 500_000 if seed == 1 else 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 500_000 if seed == 1 else 0)
     rows = near_rows(seed) + AWKWARD + [(900, "one two"), (901, "ONE  two"), (902, "one two three"), (903, " ".join(words(5, 20_000))), (904, " ".join(words(5, 20_000)[30:]))]
     assert got(j.op4(documents(spark, rows))) == brute(rows)
 

@@ -16,7 +16,7 @@ def corpus():
     out += [(120, text(7, 80).upper(), "a"), (121, "x # y | " * 50, "a"), (122, "few words", "a")]
     item = text(77, 60)
     out += [(130, item + " " + text(8, 20), "c"), (131, text(9, 3000) + " " + item + " " + text(10, 300), "c")]
-    return out + [(200 + i if d is not None else None, t, "z") for i, (d, t) in enumerate(AWKWARD)], [(1, item), (2, None)]
+    return out + [(206, text(300, 40), "z")] * 2 + [(210 + i if d is not None else None, t, "z") for i, (d, t) in enumerate(AWKWARD)], [(1, item), (2, None)]
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -37,6 +37,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert not any("Shared footer" in (t or "") for _, t, s in kept[2] if s in "ab")
     want = {d for d, _, c in groups([r[:2] for r in kept[2]]) if d == c}
     assert {str(r[0]) for r in kept[3] if r[0] is not None} == want - {"None"}
+    assert len([r for r in kept[2] if r[0] == 206]) == 2 and len([r for r in kept[3] if r[0] == 206]) == 1
     assert len([r for r in kept[3] if 100 <= (r[0] or 0) <= 110]) == 1
     want = [r for r in kept[3] if not hits(r[1], items)[4]]
     assert {r[0] for r in kept[4]} == {r[0] for r in want} and 130 not in {r[0] for r in kept[4]}
