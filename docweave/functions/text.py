@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from . import fixed
 
 WORD = r"[\p{L}\p{N}_]"
-SINGLE_LETTERS = "abcdefghijklmnop"
 
 NESTED = r"(?:section\s*)?(\d+)\s*\(([0-9]+)\)\s*\(([a-z0-9]+)\)"
 CLAUSE = r"(?:section\s*)?(\d+)\s*\(([a-z0-9]+)\)"
@@ -59,7 +58,9 @@ def drop_contents(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Lower-case words of two characters or more, and single letters a to p. Parentheses stay in words; repeats stay."""
     x = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s()]", " ")
-    return F.filter(F.split(x, r"\s+"), lambda w: (F.length(w) >= 2) | w.isin(*SINGLE_LETTERS))
+    # other single characters go by a pattern rather than by a filter on the array, so that all of it is compiled
+    x = F.regexp_replace(x, r"(?<!\S)[^\sa-p](?!\S)", " ")
+    return F.array_remove(F.split(x, r"\s+"), "")
 
 
 def _family(text: Column, pattern: str, groups: int, forms) -> Column:

@@ -36,7 +36,8 @@ def term_frequencies(tokens: DataFrame, terms: DataFrame | None = None) -> DataF
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    return tf.groupBy("jurisdiction", "term").agg(F.count("*").alias("df"))
+    # counting by tf keeps the plan of tf whole, so that its shuffle is written once where both are used
+    return tf.groupBy("jurisdiction", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def statistics(tokens: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def test_sections_and_clauses():
     arts = ck.articles(TREATY)
     assert [n.split(":")[0] for n, _ in arts][:2] == [ck.PREAMBLE, "Article 1"] and any(n.startswith("Article 2") for n, _ in arts)
     rules = ck.sections("158B. Labels and packing of all such drugs as are made here under these words of rule.\n159. Next rule.", "rule")
-    assert [n for n, _ in rules] == ["Rule 158B — Labels and packing of all such drugs as are made here under...", "Rule 159 — Next rule"]
+    assert [n for n, _ in rules] == ["Rule 158B — Labels and packing of all such drugs as are made here under ...", "Rule 159 — Next rule"]
 
 
 def test_size_splitter_keeps_all_words_within_size():
