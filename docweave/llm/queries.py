@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import line_dedup, oracles, sharding
 from .decontaminate import op3
 from .jaccard_join import op4
 from .line_dedup import op5
@@ -72,4 +72,10 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
 }
 
-ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op7_sharding": sharding.ORACLE}
+ORACLE: dict[str, str] = {
+    "op2_quality_ledger": oracles.QUALITY,
+    "op3_decontaminate": oracles.CONTAMINATION,
+    "op4_jaccard_join": oracles.COMPONENTS,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op7_sharding": sharding.ORACLE,
+}
