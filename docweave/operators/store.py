@@ -142,3 +142,14 @@ def join_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("query_id", "cit").orderBy(F.desc(F.coalesce("hit", F.lit(False))), F.asc_nulls_last("rank")))
     x = x.withColumn("_n", n).where("_n = 1")
     return x.select("query_id", "cit", "source", "section", "rank", "title", "text", "score", F.coalesce("hit", F.lit(False)).alias("verified"))
+
+
+def newest_first(events: DataFrame, key: str, seq: str) -> DataFrame:
+    """Keys in the order in which they first came, the newest first, each once."""
+    return events.groupBy(key).agg(F.min(seq).alias(seq)).orderBy(F.desc(seq), key)
+
+
+def recent_history(messages: DataFrame, conversation: str, order: str, is_error: str, last: int = 6) -> DataFrame:
+    """The last few messages of each conversation that are no errors."""
+    n = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(order)))
+    return messages.where(~F.coalesce(is_error, F.lit(False))).withColumn("_n", n).where(F.col("_n") <= last).drop("_n")

@@ -23,7 +23,7 @@ def questions(spark, sf_dir):
 def pool(spark, sf_dir):
     """The candidate pool of every question: BM25 over English documents."""
     terms = rk.query_terms(questions(spark, sf_dir))
-    return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term").distinct()), terms, POOL)
+    return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, POOL)
 
 
 def judged(spark, sf_dir):
@@ -69,7 +69,7 @@ def abstention(spark, sf_dir):
     """Questions with nothing found at all, and those whose best score is under the threshold of confidence."""
     q = values(spark, [(i, t, None) for i, t in QUESTIONS], "query_id int, query string, jurisdiction string")
     terms = rk.query_terms(q)
-    hits = rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term").distinct()), terms, 5)
+    hits = rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, 5)
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
     x = q.join(best, "query_id", "left")
     return x.select("query_id", F.col("best").isNull().alias("abstained"), rl.confidence(F.col("best")).alias("unsure"), F.round("best", 6).alias("best"))

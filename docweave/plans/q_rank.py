@@ -64,7 +64,7 @@ def queries(spark, *texts, jurisdiction=None):
 def search(spark, sf_dir, query=QUERY, k=20, jurisdiction=None):
     """BM25 of one literal query; only its own terms are counted."""
     terms = rk.query_terms(queries(spark, query, jurisdiction=jurisdiction))
-    return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term").distinct()), terms, k)
+    return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -252,7 +252,7 @@ def legal_search(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "lang", "text").unionByName(values(spark, [(-i, "en", t) for i, t in CITATIONS], "doc_id bigint, lang string, text string"))
     q = queries(spark, "Section 3(p) Rule 158B")
     terms = rk.query_terms(q, tokenizer=legal_tokens)
-    return rk.bm25(ix.build(d, "doc_id", "lang", "text", terms.select("term").distinct(), legal_tokens), terms, 10).select("id", "jurisdiction", F.round("score", 6).alias("score"), "rank")
+    return rk.bm25(ix.build(d, "doc_id", "lang", "text", terms.select("term"), legal_tokens), terms, 10).select("id", "jurisdiction", F.round("score", 6).alias("score"), "rank")
 
 
 _NAMES = """bm25_topk bm25_tf bm25_df bm25_stats bm25_two_query_merge bm25_cache_parity dense_topk dense_topk_filtered rrf_fusion diversified_topk rerank_pairs

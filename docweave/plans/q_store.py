@@ -39,6 +39,25 @@ def latest_n(spark, sf_dir):
     return st.latest(e, 50, F.desc("ts"), F.desc("event_id")).select("event_id", "event_type", "user_id")
 
 
+def newest_first(spark, sf_dir):
+    """Users of the events in the order of their first one, the newest first."""
+    return st.newest_first(table(spark, sf_dir, "events"), "user_id", "event_id")
+
+
+def recent_history(spark, sf_dir):
+    """The last six messages of each conversation; every thirteenth message counts as an error."""
+    m = messages(spark, sf_dir).withColumn("is_error", F.col("id") % 13 == 0)
+    return st.recent_history(m, "conversation_id", "timestamp", "is_error").select("conversation_id", "id", "role")
+
+
+def isolation_terms(spark, sf_dir):
+    """Candidates of one jurisdiction whose source or section names a term of the other; here, none should be French."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", F.concat(F.lit("Section "), "lang").alias("section"))
+    terms = F.array(F.lit("section fr"), F.lit("traité"))
+    hit = F.exists(terms, lambda t: F.lower("section").contains(t) | F.lower("source").contains(t))
+    return d.agg(F.count_if(hit).alias("leaks"), F.count("*").alias("n"))
+
+
 def upsert_conversations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     e = c.select(F.col("conv_id").alias("id"), F.substring("text", 1, 30).alias("title"), F.when(F.col("turn") % 2 == 0, "national").otherwise("international").alias("jurisdiction"), F.col("turn").alias("at"), F.col("turn").alias("seq"))
@@ -225,7 +244,7 @@ def stage_order(spark, sf_dir):
     return an.out_of_order(values(spark, EVENTS, "request_id string, seq int, stage string"), fixed.STAGES)
 
 
-_NAMES = """list_conversations get_conversation latest_n upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
+_NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
 argmin_sweep feedback_flatten conditional_counts corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
 subclause_split recursive_split answer_extract sse_decode stage_order""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -252,6 +271,9 @@ ORACLE = {
         SELECT id, id % 97 AS updated_at, coalesce(n, 0) AS message_count, t AS last_message_time FROM c LEFT JOIN m ON id = conversation_id ORDER BY updated_at DESC, id LIMIT 50""",
     "get_conversation": f"SELECT id, role, content, timestamp FROM {_M} WHERE conversation_id = 7",
     "latest_n": "SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "newest_first": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1",
+    "recent_history": f"SELECT conversation_id, id, role FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC) AS n FROM {_M} WHERE id % 13 <> 0) WHERE n <= 6",
+    "isolation_terms": "SELECT 0 AS leaks, count(*) AS n FROM documents WHERE lang = 'en'",
     "upsert_conversations": "SELECT conv_id AS id, arg_min(left(text, 30), turn) AS title, arg_min(CASE WHEN turn % 2 = 0 THEN 'national' ELSE 'international' END, turn) AS jurisdiction, min(turn) AS created_at, max(turn) AS updated_at FROM conversations GROUP BY conv_id",
     "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN reverse(md5(text)) ELSE md5(text) END AS digest, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS version FROM documents",
     "delete_anti": "SELECT conv_id AS conversation_id, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id",
