@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, chunks, materialize, mixed, partitions
+from .common import as_bytes, bound_batches, chunks, materialize, mixed, partitions, release
 
 LENGTH = 200
 GRAM = 64
@@ -442,7 +442,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         "doc_id", "n_bytes", pick(F.col("n_bytes"), "removed", zero).alias("n_removed"), pick(F.lit(1).cast("bigint"), "spans", zero).alias("n_spans"),
         pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept", F.col("sha")).alias("kept_sha256"),
     ]
-    return x.select(*out, *([F.when(whole, F.lit(b"")).otherwise(F.col("raw")).alias("kept")] if with_text else []))
+    x = materialize(x.select(*out, *([F.when(whole, F.lit(b"")).otherwise(F.col("raw")).alias("kept")] if with_text else [])), "deduplicated")
+    release(p.rows, p.copies, p.listed, cut)
+    return x
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, release
 
 SHARD_BYTES = 8 << 20
 KEY_BITS, PLACE_BITS = 48, 48
@@ -50,7 +50,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     """(key, n_bytes, shard, depth, shard_bytes, oversized) for each row of docs; shard is the bucket's prefix of bits."""
     todo = materialize(_rows(docs, key, text), "shard-rows")
     total = todo.agg(F.sum("n_bytes")).first()[0] or 0
-    known, done = 0, None
+    known, done, used = 0, None, [todo]
     depth = min(MOST_FIRST_BITS, max(0, (total // limit).bit_length()) + SPARE_BITS)
     while True:
         final = depth >= KEY_BITS + PLACE_BITS
@@ -59,10 +59,13 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         part = todo.withColumn("cell", cell).join(leaves, "cell").drop("cell")
         done = part if done is None else done.unionByName(part)
         rest = materialize(todo.withColumn("cell", cell).join(leaves.select("cell"), "cell", "left_anti").drop("cell"), "shard-rest")
+        used += [leaves, rest]
         if final or rest.limit(1).count() == 0:
             break
         todo, known, depth = rest, depth + 1, min(depth + MORE_BITS, KEY_BITS + PLACE_BITS)
-    return done.select(F.col("key").alias(key), "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+    out = materialize(done.select(F.col("key").alias(key), "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized")), "shards")
+    release(*used)
+    return out
 
 
 def directory(assigned: DataFrame) -> DataFrame:
