@@ -12,6 +12,7 @@ from . import fixed
 
 WORD = r"[\p{L}\p{N}_]"
 
+# The citation forms that give tokens, and the steps of normalisation further down.
 NESTED = r"(?:section\s*)?(\d+)\s*\(([0-9]+)\)\s*\(([a-z0-9]+)\)"
 CLAUSE = r"(?:section\s*)?(\d+)\s*\(([a-z0-9]+)\)"
 ARTICLE = r"(?:article|art\.?)\s*(\d+[a-z]?)"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 
+# The patterns by which headings, clauses and footnotes are known, and the size splitter's separators.
 ARTICLE = re.compile(r"(?im)^\s*(?:article|art\.)\s+(\d+[a-z]?)(?:[.:\s—–-]*\n*\s*((?-i:[A-Z])[^\n]{2,80}))?")
 SECTION = re.compile(
     r"(?m)(?:^|\n\s*)((?:Section|Sec\.)\s+\d+[A-Za-z]?(?:[.:—–-]+|\s+[A-Z][^\n]{2,80})"

@@ -226,6 +226,24 @@ def resolve_page(citations: DataFrame, registry: DataFrame, file: str = "file",
     return x.withColumn("page", page).withColumn("_n", n).where("_n = 1").select(*citations.columns, "page")
 
 
+def resolve_citations(citations: DataFrame, aliases: DataFrame, files: DataFrame, urls: DataFrame, registry: DataFrame) -> DataFrame:
+    """citations(id, source, section) with file, page, link and official url. The file is that of the first keyword in
+    source and section, or the default; the url that of an alias equal to the source, or of the first keyword."""
+    c = citations.withColumn("both", F.concat_ws(" ", "source", "section"))
+    f = first_match(c, files, "both", "id").select("id", F.coalesce("file", F.lit(fixed.DEFAULT_FILE)).alias("file"))
+    u = first_match(c, urls.withColumnRenamed("url", "found"), "both", "id").select("id", "found")
+    x = c.join(f, "id").join(u, "id").withColumn("alias", F.trim(F.lower("source"))).join(aliases, "alias", "left")
+    x = resolve_page(x.withColumn("section", F.coalesce("section", F.lit(""))), registry)
+    anchor = F.when(F.col("page").isNotNull(), F.concat(F.lit("#page="), F.col("page").cast("string"))).otherwise("")
+    link = F.concat(F.lit("/pdf/"), F.replace(F.url_encode("file"), F.lit("+"), F.lit("%20")), anchor)
+    return x.select("id", "file", "page", link.alias("link"), F.coalesce("url", "found").alias("official_url"))
+
+
+def tkdl_pointer(query: Column, classification: Column) -> Column:
+    """Where to look for prior art, as a struct of hints; null where the question doesn't ask for it."""
+    return F.when(tkdl_trigger(query, classification), F.struct(*(c.alias(n) for n, c in tkdl_hints(query).items())))
+
+
 def last_wins(rows: DataFrame, aliases: list[str], value: str, order: str) -> DataFrame:
     """alias -> value of the last row that has it, in any of the alias columns, lower-cased; blanks are none."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.trim(F.lower(F.col(a))).alias("alias")) for i, a in enumerate(aliases))))

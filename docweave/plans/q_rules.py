@@ -205,6 +205,24 @@ def page_resolve(spark, sf_dir):
     return r.resolve_page(values(spark, CITES, "id int, file string, section string"), reg).select("id", "page")
 
 
+TO_RESOLVE = [(1, "Patents Act", "Section 3(p)"), (2, "pat", "27"), (3, "Unknown Act", None), (4, "Nagoya Protocol", "Article 6"), (5, "des", "Form 1")]
+REGISTRY = [("Patents Act, 1970.pdf", "3(p)", 12, 1), ("Patents Act, 1970.pdf", "form 1", 22, 2), ("Nagoya Protocol.pdf", "6", 9, 1)]
+
+
+def citation_resolve(spark, sf_dir):
+    files = values(spark, [(i, k, f) for i, (k, f) in enumerate(fixed.FILE_KEYWORDS)], "ord int, keyword string, file string")
+    urls = values(spark, [(i, k, u) for i, (k, u) in enumerate(fixed.URL_KEYWORDS)], "ord int, keyword string, url string")
+    reg = values(spark, REGISTRY, "r_file string, r_key string, r_page int, r_ord int")
+    c = values(spark, TO_RESOLVE, "id int, source string, section string")
+    return r.resolve_citations(c, alias_last_wins(spark, sf_dir), files, urls, reg)
+
+
+def tkdl_pointer(spark, sf_dir):
+    p = F.col("pointer")
+    x = requests(spark).select("query_id", r.tkdl_pointer(F.col("query"), F.col("classification")).alias("pointer")).where(p.isNotNull())
+    return x.select("query_id", p["preparation"].alias("preparation"), p["area"].alias("area"), F.array_join(p["classes"], "; ").alias("classes"))
+
+
 MANIFEST = [
     (1, "Patents Act, 1970", "PAT", "IND-1", "Patents.pdf", "http://a"),
     (2, "Designs Act", "DES", "IND-2", " ", "http://b"),
@@ -235,7 +253,7 @@ def followup_rewrite(spark, sf_dir):
 
 
 _NAMES = """intent_rules abs_trigger abs_extract tkdl_trigger tkdl_hints expand_rules formulation_tree formulation_next answer_words abs_outcomes abs_flow followup_translate
-first_match_rules page_resolve alias_last_wins piecewise_clamp followup_rewrite""".split()
+first_match_rules page_resolve alias_last_wins citation_resolve tkdl_pointer piecewise_clamp followup_rewrite""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _F = fixed.FORMULATION_QUESTIONS
@@ -266,6 +284,10 @@ ORACLE = {
         SELECT id, CASE WHEN r_file IS NULL OR section = '' THEN NULL WHEN k < 5 THEN r_page ELSE 1 END AS page FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, r_ord) AS n FROM j) WHERE n = 1""",
     "alias_last_wins": f"""SELECT alias, arg_max(url, o * 10 + i) AS url FROM (SELECT ord AS o, url, i, trim(lower(CASE i WHEN 0 THEN title WHEN 1 THEN prefix WHEN 2 THEN id ELSE filename END)) AS alias
         FROM {sql_values(MANIFEST, 'm', 'ord, title, prefix, id, filename, url')}, (SELECT unnest(range(4)) AS i)) WHERE alias <> '' GROUP BY alias""",
+    "citation_resolve": """SELECT * FROM (VALUES (1, 'Patents Act, 1970.pdf', 12, '/pdf/Patents%20Act%2C%201970.pdf#page=12', 'https://www.indiacode.nic.in/handle/123456789/1392'), (2, 'Patents Act, 1970.pdf', 1, '/pdf/Patents%20Act%2C%201970.pdf#page=1', 'http://c'),
+        (3, 'Patents Act, 1970.pdf', NULL, '/pdf/Patents%20Act%2C%201970.pdf', NULL), (4, 'Nagoya Protocol.pdf', 9, '/pdf/Nagoya%20Protocol.pdf#page=9', 'https://www.cbd.int/abs/text/'), (5, 'Patents Act, 1970.pdf', 22, '/pdf/Patents%20Act%2C%201970.pdf#page=22', 'http://d'))
+        AS t(id, file, page, link, official_url)""",
+    "tkdl_pointer": f"SELECT query_id, preparation, area, classes FROM ({_hints_sql()}) JOIN {REQUESTS} USING (query_id) WHERE {any_sql(Q, fixed.PRIOR_ART_PATTERNS)} AND (coalesce(classification = 'classical_medicine', false) OR {CLASSICAL})",
     "piecewise_clamp": f"SELECT id, round(least(99.9, greatest(92.0, round_even(CASE WHEN top > 1.0 THEN 99.4 WHEN top > 0.8 THEN 92.0 + top * 7.5 WHEN top > 0.4 THEN 88.0 + top * 10.0 ELSE 95.0 END, 1))), 6) AS display_score, top < 0.3 AS abstained FROM (SELECT id, top::DOUBLE AS top FROM {sql_values(SCORES, 's', 'id, top')})",
     "followup_rewrite": f"""WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'What about ' ELSE '' END || left(text, 40) AS query FROM conversations WHERE role = 'user'),
         p AS (SELECT *, lag(query) OVER (PARTITION BY conv_id ORDER BY turn) AS prior, regexp_split_to_array(trim(lower(query)), '\\s+') AS w FROM u)

@@ -11,6 +11,7 @@ from ..operators import rules as rl
 from ..operators import store as st
 from ..sources import corpus as cp
 from ..streaming import answers as an
+from ..streaming import cache as ca
 from .tables import literal, sql_values, table, values
 
 
@@ -229,6 +230,12 @@ def answer_extract(spark, sf_dir):
     return an.extract(values(spark, DELTAS, "request_id string, seq int, delta string"))
 
 
+def cache_replay(spark, sf_dir):
+    """Event types and users as requests to caches of ten entries, one per type."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.col("user_id").cast("string").alias("key"))
+    return ca.replay(e, "event_type", "event_id", "key", 10)
+
+
 BODIES = [("r1", 'data: {"stage":"retrieval","n":1}\n\ndata: {"stage":"synthesis"}\n\ndata: {"stage":"compl'), ("r2", ""), ("r3", ': comment\n\ndata:{"stage":"complete"}\n\n')]
 
 
@@ -246,7 +253,7 @@ def stage_order(spark, sf_dir):
 
 _NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
 argmin_sweep feedback_flatten conditional_counts corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
-subclause_split recursive_split answer_extract sse_decode stage_order""".split()
+subclause_split recursive_split answer_extract cache_replay sse_decode stage_order""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _M = "(SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, role, text AS content, turn AS timestamp FROM conversations)"

@@ -7,6 +7,7 @@ from docweave.operators import store as st
 from docweave.plans.q_store import ACT, DELTAS, TREATY
 from docweave.sources import corpus as cp
 from docweave.streaming import answers as an
+from docweave.streaming import cache as ca
 from pyspark.sql import functions as F
 
 
@@ -97,6 +98,12 @@ def test_manifest_files_and_state(spark, tmp_path):
     assert st.changed(f.select(F.col("name").alias("id"), "content_hash"), cp.state(spark, f"{tmp_path}/none")).count() == 2
 
 
+def test_cache_replay(spark):
+    rows = [("a", i, k) for i, k in enumerate("xyxzyxwx")] + [("b", i, "x") for i in range(3)]
+    got = ca.replay(spark.createDataFrame(rows, "c string, n int, k string"), "c", "n", "k", 2).orderBy("c", "n").collect()
+    assert [r["hit"] for r in got] == [False, False, True, False, False, False, False, True, False, True, True]
+
+
 def test_recall_grows_with_k(spark):
     q = spark.createDataFrame([(i,) for i in range(8)], "query_id int")
     g = spark.createDataFrame([(i, i * 3 + 1) for i in range(6)], "query_id int, gold_rank int")
