@@ -58,10 +58,8 @@ def drop_contents(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case words of two characters or more, and single letters a to p. Parentheses stay in words; repeats stay."""
-    x = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s()]", " ")
-    # other single characters go by a pattern rather than by a filter on the array, so that all of it is compiled
-    x = F.regexp_replace(x, r"(?<!\S)[^\sa-p](?!\S)", " ")
-    return F.array_remove(F.split(x, r"\s+"), "")
+    # a run of one character that is no such letter matches neither side, and longer runs are taken whole
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_()]{2,}|[a-p]"), F.lit(0))
 
 
 def _family(text: Column, pattern: str, groups: int, forms) -> Column:

@@ -140,13 +140,13 @@ def rrf_fusion(spark, sf_dir):
 
 
 def with_text(spark, sf_dir, candidates):
-    """Texts are joined after the cut to a few candidates, never before."""
-    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "lang", "text")
-    return candidates.join(d, "id", "left")
+    """Texts are joined after the cut, never before. One query has 25 candidates at most, so that they are broadcast and
+    the texts are not shuffled."""
+    return docs(spark, sf_dir).withColumnRenamed("doc_id", "id").join(F.broadcast(candidates), "id")
 
 
 def diversified_topk(spark, sf_dir):
-    x = fused(spark, sf_dir).join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source"), "id", "left")
+    x = with_text(spark, sf_dir, fused(spark, sf_dir))
     return rk.diversify(x, "source", "rrf_rank").select("id", "source", "rrf_rank", "position")
 
 
@@ -160,7 +160,7 @@ def pairs(spark, sf_dir):
     return x.withColumn("pair", rerank_text(F.col("source"), F.col("lang"), F.lit("S"), F.col("text")))
 
 
-PAIRS = f"{FUSED}, pairs AS (SELECT f.*, source, left(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || 'S' || ': ' || coalesce(text, ''), 750) AS pair FROM fused f LEFT JOIN documents ON doc_id = id)"
+PAIRS = f"{FUSED}, pairs AS (SELECT f.*, source, left(coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || 'S' || ': ' || coalesce(text, ''), 750) AS pair FROM fused f JOIN documents ON doc_id = id)"
 SCORED = f"{PAIRS}, scored AS (SELECT *, len(list_intersect(list_distinct({words_sql(literal(QUERY))}), {words_sql('pair')})) - length(pair) / 1000.0 AS raw FROM pairs)"
 
 
