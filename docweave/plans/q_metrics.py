@@ -26,6 +26,15 @@ def pool(spark, sf_dir):
     return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, POOL)
 
 
+#: Candidates that may be broadcast to their texts; counted, and beyond it joined by a shuffle.
+MOST_CANDIDATES = 100_000
+
+
+def with_rows(candidates, rows):
+    c = candidates.cache()
+    return rows.join(F.broadcast(c) if c.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES else c, "id")
+
+
 def judged(spark, sf_dir):
     """Questions with the rank of the first document of quality 1 in their pool."""
     gold = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("gold"))
@@ -78,7 +87,7 @@ def abstention(spark, sf_dir):
 def chunks(spark, sf_dir):
     """The best documents of each question as an ordered array of chunks."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "text")
-    x = pool(spark, sf_dir).where("rank <= 5").join(d, "id")
+    x = with_rows(pool(spark, sf_dir).where("rank <= 5"), d)
     one = F.struct("rank", F.col("source").alias("title"), F.concat(F.lit("Section "), F.col("id")).alias("section"), F.substring("text", 1, 400).alias("text"), "score")
     return x.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
 
@@ -95,7 +104,7 @@ def template_answer(spark, sf_dir):
 def ranked_tiers(spark, sf_dir):
     """The first six candidates with score, clipped percentage, tier, use and snippet."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    x = pool(spark, sf_dir).where("rank <= 6").join(d, "id").withColumn("score", F.round(F.col("score") / 40, 6))
+    x = with_rows(pool(spark, sf_dir).where("rank <= 6"), d).withColumn("score", F.round(F.col("score") / 40, 6))
     s = F.col("score")
     return x.select("query_id", "id", "rank", "score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), s * 100)), 6).alias("percentage"), rl.relevance_tier(s).alias("tier"), (F.col("rank") <= 4).alias("used"), tx.truncated(F.col("text"), 180, 180).alias("snippet"))
 
