@@ -288,13 +288,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     release(links, more)
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    # a table of its own, so that a very large component's rows can be split in the join
+    # tables of their own, so that the rows of a very large component, or of very many copies, can be split in the joins
     least = materialize(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    of_node = named.join(small(least), "root").select("node", "component_id")
+    of_node = materialize(named.join(small(least), "root").select("node", "component_id"), "named")
     out = signed.select("doc_id", "node", "n").join(of_node, "node", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = materialize(out, "joined")
-    release(signed, nodes, roots, least)
+    release(signed, nodes, roots, least, of_node)
     return out
 
 
