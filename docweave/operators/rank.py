@@ -24,7 +24,7 @@ def query_terms(queries: DataFrame, text: str = "query", tokenizer=words) -> Dat
 def top(scored: DataFrame, k: int, score: str, rank: str, *by: str) -> DataFrame:
     """The k best rows of each group: by score, then id. The ranking window is cut early, before the sort is complete."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), "id")
-    return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return scored.withColumn(rank, F.row_number().over(w).cast("bigint")).where(F.col(rank) <= k)
 
 
 def bm25(index: Index, terms: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
@@ -47,7 +47,7 @@ def merge_two(first: DataFrame, second: DataFrame) -> DataFrame:
     n1 = first.groupBy(*by).agg(F.count("*").alias("n1"))
     w = Window.partitionBy(*by).orderBy("rank")
     new = new.withColumn("r", F.row_number().over(w)).join(n1, by, "left")
-    new = new.select(*by, "id", "score", (F.coalesce("n1", F.lit(0)) + F.col("r")).cast("int").alias("rank"))
+    new = new.select(*by, "id", "score", (F.coalesce("n1", F.lit(0)) + F.col("r")).cast("bigint").alias("rank"))
     return first.select(*by, "id", "score", "rank").unionByName(new)
 
 
@@ -80,12 +80,12 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 25, rrf_k: int = RRF_K) -
     part = lambda c: F.coalesce(1.0 / (rrf_k + F.col(c)), F.lit(0.0))
     both = d.join(s, ["query_id", "id"], "full").withColumn("rrf_score", F.round(part("dense_rank") + part("bm25_rank"), 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), "id")
-    return both.withColumn("rrf_rank", F.row_number().over(w)).where(F.col("rrf_rank") <= k)
+    return both.withColumn("rrf_rank", F.row_number().over(w).cast("bigint")).where(F.col("rrf_rank") <= k)
 
 
 def rerank(candidates: DataFrame, score: str, rank: str = "rerank_rank") -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "id")
-    return candidates.withColumn(rank, F.row_number().over(w))
+    return candidates.withColumn(rank, F.row_number().over(w).cast("bigint"))
 
 
 def diversify(ranked: DataFrame, group: str, rank: str, per_group: int = 3, k: int = 5) -> DataFrame:
@@ -94,7 +94,7 @@ def diversify(ranked: DataFrame, group: str, rank: str, per_group: int = 3, k: i
     nth = F.row_number().over(Window.partitionBy("query_id", group).orderBy(rank))
     x = ranked.withColumn("nth", nth)
     w = Window.partitionBy("query_id").orderBy(F.col("nth") > per_group, rank)
-    return x.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+    return x.withColumn("position", F.row_number().over(w).cast("bigint")).where(F.col("position") <= k)
 
 
 def neighbours(rows: DataFrame, group: str, ordinal: str, hit: Column, reach: int = 2) -> DataFrame:

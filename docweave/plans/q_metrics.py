@@ -94,7 +94,7 @@ def chunks(spark, sf_dir):
 
 def context_assembly(spark, sf_dir):
     c = chunks(spark, sf_dir).select("query_id", rl.context_block(F.col("chunks")).alias("context"))
-    return c.select("query_id", F.length("context").alias("n_chars"), F.md5("context").alias("digest"))
+    return c.select("query_id", F.length("context").cast("bigint").alias("n_chars"), F.md5("context").alias("digest"))
 
 
 def template_answer(spark, sf_dir):

@@ -165,7 +165,7 @@ SCORED = f"{PAIRS}, scored AS (SELECT *, len(list_intersect(list_distinct({words
 
 
 def rerank_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir).select("id", "rrf_rank", "pair", F.length("pair").alias("pair_chars"))
+    return pairs(spark, sf_dir).select("id", "rrf_rank", "pair", F.length("pair").cast("bigint").alias("pair_chars"))
 
 
 def reranked(spark, sf_dir):
@@ -200,7 +200,7 @@ def isolation_check(spark, sf_dir):
 
 def tokenize_words(spark, sf_dir):
     w = words(F.coalesce(F.col("text"), F.lit("")))
-    return docs(spark, sf_dir).select("doc_id", F.size(w).alias("n_tokens"), F.size(F.array_distinct(w)).alias("n_distinct"), F.md5(F.array_join(w, " ")).alias("digest"))
+    return docs(spark, sf_dir).select("doc_id", F.size(w).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(w)).cast("bigint").alias("n_distinct"), F.md5(F.array_join(w, " ")).alias("digest"))
 
 
 CITATIONS = [(1, "Section 3(p) and 2(1)(ja) of the Act"), (2, "Rule 158-B, rule 158 b; Article 27, art. 6a"), (3, "33-EEC and 12 days after 3 (d)"), (4, "nothing here"), (5, "Élan 3(é) SECTION 2 (1) (j)")]
@@ -210,7 +210,7 @@ def tokenize_statutory(spark, sf_dir):
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     both = d.unionByName(values(spark, [(-i, t) for i, t in CITATIONS], "id bigint, text string"))
     t = statutory_tokens(F.coalesce(F.col("text"), F.lit("")))
-    return both.select("id", F.size(t).alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
+    return both.select("id", F.size(t).cast("bigint").alias("n_tokens"), F.array_join(t, "|").alias("tokens"))
 
 
 def _family_sql(pattern: str, groups: int, forms: list[str]) -> str:
@@ -272,7 +272,7 @@ ORACLE = {
         n1 AS (SELECT jurisdiction, count(*) AS n1 FROM a GROUP BY 1)
         SELECT jurisdiction, id, round(score, 6) AS score, rank FROM a
         UNION ALL SELECT jurisdiction, id, round(score, 6), coalesce(n1, 0) + r FROM new LEFT JOIN n1 USING (jurisdiction)""",
-    "bm25_cache_parity": "SELECT 0 AS missing, 0 AS extra",
+    "bm25_cache_parity": "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra",
     "dense_topk": f"SELECT id, round(score, 6) AS score, rank FROM ({dense_sql(30)})",
     "dense_topk_filtered": f"SELECT id, round(score, 6) AS score, rank FROM ({dense_sql(30, 'label = 3')})",
     "rrf_fusion": f"{FUSED} SELECT id, dense_rank, bm25_rank, round(rrf_score, 6) AS rrf_score, rrf_rank FROM fused",
@@ -282,7 +282,7 @@ ORACLE = {
     "sigmoid_calibration": f"{_RANKED} SELECT id, round(1 / (1 + exp(-raw)), 6) AS score, rerank_rank FROM reranked",
     "neighbours": "WITH t AS (SELECT lang, min(doc_id) AS target FROM documents WHERE contains(text, 'idiot') GROUP BY lang) SELECT lang, doc_id, target FROM documents JOIN t USING (lang) WHERE abs(doc_id - target) <= 2",
     "rank_then_filter": f"WITH r AS (SELECT r.*, label FROM ({dense_sql(50)}) r JOIN embeddings ON vec_id = id), p AS (SELECT unnest([20, 25, 30, 50]) AS pool) SELECT pool, min(rank) AS entry FROM p LEFT JOIN r ON rank <= pool AND label = 3 GROUP BY pool",
-    "isolation_check": "SELECT 0 AS leaks",
+    "isolation_check": "SELECT 0::BIGINT AS leaks",
     "tokenize_words": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)",
     "tokenize_statutory": f"WITH d AS (SELECT doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({-i}, lower({literal(t)}))' for i, t in CITATIONS)})) SELECT id, len(k) AS n_tokens, array_to_string(k, '|') AS tokens FROM (SELECT id, {STATUTORY} AS k FROM d)",
     "uuid5_ids": f"""SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid

@@ -280,7 +280,7 @@ ORACLE = {
     "latest_n": "SELECT event_id, event_type, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "newest_first": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1",
     "recent_history": f"SELECT conversation_id, id, role FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC) AS n FROM {_M} WHERE id % 13 <> 0) WHERE n <= 6",
-    "isolation_terms": "SELECT 0 AS leaks, count(*) AS n FROM documents WHERE lang = 'en'",
+    "isolation_terms": "SELECT 0::BIGINT AS leaks, count(*) AS n FROM documents WHERE lang = 'en'",
     "upsert_conversations": "SELECT conv_id AS id, arg_min(left(text, 30), turn) AS title, arg_min(CASE WHEN turn % 2 = 0 THEN 'national' ELSE 'international' END, turn) AS jurisdiction, min(turn) AS created_at, max(turn) AS updated_at FROM conversations GROUP BY conv_id",
     "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN reverse(md5(text)) ELSE md5(text) END AS digest, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS version FROM documents",
     "delete_anti": "SELECT conv_id AS conversation_id, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id",

@@ -26,7 +26,7 @@ CLEAN = [
 def clean_text(spark, sf_dir):
     both = documents(spark, sf_dir).select("doc_id", "text").unionByName(values(spark, [(-i, t) for i, t in CLEAN], "doc_id bigint, text string"))
     c = tx.clean_text(F.col("text"))
-    return both.select("doc_id", F.length(c).alias("n_chars"), F.md5(c).alias("digest"))
+    return both.select("doc_id", F.length(c).cast("bigint").alias("n_chars"), F.md5(c).alias("digest"))
 
 
 def clean_sql(t: str) -> str:
@@ -45,7 +45,7 @@ FOOT = [
 
 
 def clean_footnotes(spark, sf_dir):
-    return values(spark, FOOT, "id bigint, text string").select("id", tx.clean_footnotes(F.col("text")).alias("text"))
+    return values(spark, FOOT, "id int, text string").select("id", tx.clean_footnotes(F.col("text")).alias("text"))
 
 
 def _foot_sql(t: str) -> str:
@@ -66,7 +66,7 @@ TOC = [
 
 
 def toc_filter(spark, sf_dir):
-    return values(spark, TOC, "id bigint, text string").select("id", tx.drop_contents(F.col("text")).alias("text"))
+    return values(spark, TOC, "id int, text string").select("id", tx.drop_contents(F.col("text")).alias("text"))
 
 
 BODY_RE2 = r"(?im)(?:^|\n\s*)(?:CHAPTER\s+I\b|PRELIMINARY\b|(?:Section\s+1|1)\.\s+Short\s+title)"
@@ -81,7 +81,7 @@ CITED = [
 
 
 def normalize_citations(spark, sf_dir):
-    x = values(spark, CITED, "id bigint, query string")
+    x = values(spark, CITED, "id int, query string")
     return x.select("id", tx.normalize_citations(F.col("query")).alias("compat"), tx.normalize_citations(F.col("query"), strict=True).alias("strict"))
 
 
@@ -109,7 +109,7 @@ ASKED = [(1, " Hindi "), (2, "eng"), (3, "ta"), (4, "klingon"), (5, "PUN")]
 
 
 def lang_alias(spark, sf_dir):
-    x = values(spark, ASKED, "id bigint, target string").withColumn("norm", F.lower(F.trim("target")))
+    x = values(spark, ASKED, "id int, target string").withColumn("norm", F.lower(F.trim("target")))
     aliases = values(spark, fixed.LANGUAGE_ALIASES, "alias string, found string")
     known = values(spark, fixed.LANGUAGES, "code string, name string, native string, script string")
     y = x.join(aliases, x["norm"] == aliases["alias"], "left").withColumn("code", F.coalesce("found", "norm")).drop("alias", "found")
@@ -161,7 +161,8 @@ def canon_sql(t: str) -> str:
 
 def word_batches(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", F.posexplode(tx.word_batches(F.col("text"))).alias("seq", "delta"))
+    x = c.select("conv_id", "turn", F.posexplode(tx.word_batches(F.col("text"))).alias("seq", "delta"))
+    return x.withColumn("seq", F.col("seq").cast("bigint"))
 
 
 SPEECH = [
@@ -172,7 +173,7 @@ SPEECH = [
 
 
 def speech_clean(spark, sf_dir):
-    return values(spark, SPEECH, "id bigint, text string").select("id", tx.speech_clean(F.col("text")).alias("text"))
+    return values(spark, SPEECH, "id int, text string").select("id", tx.speech_clean(F.col("text")).alias("text"))
 
 
 def truncate(spark, sf_dir):
@@ -191,7 +192,7 @@ OUTPUTS = [
 
 def parse_llm_json(spark, sf_dir):
     p = tx.parse_answer(F.col("raw"))
-    x = values(spark, OUTPUTS, "id bigint, raw string").select("id", p.alias("p"))
+    x = values(spark, OUTPUTS, "id int, raw string").select("id", p.alias("p"))
     return x.select("id", F.col("p")["answer"].alias("answer"), F.col("p")["confidence"].alias("confidence"), F.col("p")["abstained"].alias("abstained"), F.coalesce(F.size(F.col("p")["citations"]), F.lit(-1)).alias("n_citations"))
 
 
@@ -212,7 +213,7 @@ REQUESTS = [
 
 
 def validate_requests(spark, sf_dir):
-    x = values(spark, REQUESTS, "id bigint, query string, jurisdiction string, rating string")
+    x = values(spark, REQUESTS, "id int, query string, jurisdiction string, rating string")
     bad_query = F.coalesce(tx.stripped(F.col("query")) == "", F.lit(True))
     bad_place = ~F.coalesce("jurisdiction", F.lit("national")).isin("national", "international")
     bad_rating = F.coalesce(~F.lower(F.trim("rating")).isin("up", "down"), F.lit(False))
