@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import decontaminate, jaccard_join, line_dedup, packing
-from docweave.llm.common import materialize, small
+from docweave.llm.common import materialize, release, small
 from docweave.llm.quality_ledger import DEFAULT_POLICY, POLICIES, ledger, verdict
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            release(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
