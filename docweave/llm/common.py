@@ -46,7 +46,7 @@ def release(*tables: DataFrame) -> None:
 
 
 #: Rows of a few longs each, 16 to 64 bytes, that may be broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
