@@ -37,11 +37,13 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 @dataclass(frozen=True)
 class Mining:
     """min_support: share of labelled URLs that show the combination and are bad; min_confidence: of those that show
-    it, the share that is bad; min_lift: that share over the share of bad URLs at large."""
+    it, the share that is bad; min_lift: that share over the share of bad URLs at large; min_count: so many bad URLs
+    have to show it, as a share of few labels is no evidence."""
 
     min_support: float = 0.005
     min_confidence: float = 0.6
     min_lift: float = 1.5
+    min_count: int = 10
 
 
 def host(url: Column) -> Column:
@@ -89,7 +91,8 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     if not baskets.where(F.array_contains("items", BAD)).limit(1).count():
         return spark.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=how.min_support, minConfidence=how.min_confidence).fit(baskets)
-    good = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= how.min_lift))
+    enough = F.round(F.col("support") * baskets.count()) >= how.min_count
+    good = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= how.min_lift) & enough)
     rules = good.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("items"), "confidence", "support")
     rarest = rules.select("rule_id", F.explode("items").alias("item")).join(alias, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item")).alias("k"))
     return rules.join(rarest, "rule_id").select("rule_id", "items", F.col("k")["item"].alias("key"), F.size("items").alias("n_items"), "confidence", "support")
