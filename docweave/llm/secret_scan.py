@@ -37,8 +37,8 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 STEP, OVERLAP = 1 << 20, 4096
 
-#: A decoded layer holds this many code points on each side of a run of escapes, as a secret may start before them.
-AROUND = 96
+#: Finds and encoded runs hold only these characters, so that a text may be cut at any other without losing one.
+_INSIDE = re.compile(r"""[A-Za-z0-9+/_.=:"' %\\-]+""")
 _URL = re.compile(r"%([0-9A-Fa-f]{2})")
 _UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -84,26 +84,20 @@ def _text_of(raw: bytes) -> str | None:
 
 
 def _escaped_layers(layer: _Layer, escape: re.Pattern) -> Iterator[_Layer]:
-    """The layers in which escapes are decoded: one for each stretch in which they are less than 2 * AROUND apart."""
-    run: list[re.Match] = []
-    for m in escape.finditer(layer.text):
-        if run and m.start() - run[-1].end() > 2 * AROUND:
-            yield _unescaped(layer, run)
-            run = []
-        run.append(m)
-    if run:
-        yield _unescaped(layer, run)
-
-
-def _unescaped(layer: _Layer, run: list[re.Match]) -> _Layer:
+    """The layers in which escapes are decoded: one for each whole stretch of _INSIDE that has any."""
+    for m in _INSIDE.finditer(layer.text):
+        if run := list(escape.finditer(layer.text, *m.span())):
+            yield _unescaped(layer, run, *m.span())
+
+
+def _unescaped(layer: _Layer, run: list[re.Match], at: int, end: int) -> _Layer:
     parts: list[tuple[bytes, int, int]] = []
-    at = max(0, run[0].start() - AROUND)
     for m in run:
         parts += [(layer.text[i].encode(errors="replace"), i, i + 1) for i in range(at, m.start())]
         code = int(m[m.lastindex], 16)
         parts.append((bytes([code]) if m[0][0] == "%" else chr(code).encode(errors="replace"), m.start(), m.end()))
         at = m.end()
-    parts += [(layer.text[i].encode(errors="replace"), i, i + 1) for i in range(at, min(len(layer.text), at + AROUND))]
+    parts += [(layer.text[i].encode(errors="replace"), i, i + 1) for i in range(at, end)]
     raw, places = b"".join(p[0] for p in parts), [(s, e) for b, s, e in parts for _ in b]
     try:
         text = raw.decode()

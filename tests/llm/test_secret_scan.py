@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 import urllib.parse
 import zlib
@@ -68,6 +69,21 @@ def test_partly_escaped_spans_map_back():
     assert [text[a:b] for k, a, b in s.scan(text) if k == "layer_assign"] == ["pass\\u0077ord%20%3D%20hunter2xyz"]
 
 
+def test_escaped_layers_are_whole():
+    r = random.Random(5)
+    for n in (100, 200, 1000, 5000):
+        value = "".join(r.choices("abcdefghijkXYZ0189", k=n))
+        for text in (f"password%3D{value}", f"token={value}%2F{value}", f"{value} token%20{' ' * n}={value}%2E{value}"):
+            at = max(text.find("password"), text.find("token")) + 3
+            assert ("layer_assign", at, len(text) + 3) in s.scan("é, " + text)
+        noise = " ".join(str(r.random()) for _ in range(n // 8))
+        for raw in ((noise + " " + SECRET).encode(), gzip.compress((noise + " " + SECRET + " " + noise).encode())):
+            code = base64.b64encode(raw).decode()
+            far = code[:n // 2] + code[n // 2:].replace("+", "%2B").replace("/", "%2F").replace("A", "%41")
+            text = "see (" + far + ") there"
+            assert any(k == "layer_assign" and 5 <= a < b <= 5 + len(far) for k, a, b in s.scan(text)), n
+
+
 def test_cycles_and_clean_texts():
     assert s.scan("100%25 of %41 the " + "%2541" * 50) == []
     assert s.scan("plain words without anything, 50% off, C:\\users\\new") == []
