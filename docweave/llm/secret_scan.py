@@ -2,9 +2,9 @@
 
 A worklist of layers starts with the text. Each layer is scanned with the base patterns; each encoded run in it (URL
 escapes, Unicode escapes, base64, or compressed bytes within base64) is decoded into a layer of its own, until no layer
-gives a new one. Content that was opened before in the same text is scanned at its new place but not opened again,
-which ends cycles. Every layer
-maps its offsets to its parent's, so that a find is reported where it stands in the original text.
+gives a new one. What a content holds is found once and mapped to each place where it stands; content that stands
+within itself is scanned there but not opened again, which ends cycles. Every layer maps its offsets to its parent's,
+so that a find is reported where it stands in the original text.
 
 Defined results: null is an empty text and has no spans; repeated rows are scanned alike, row by row; an empty table
 gives none; columns other than the identifier and the text are ignored whatever their names. Compressed layers are
@@ -19,7 +19,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,17 +60,15 @@ def base_spans(text: str) -> list[Span]:
 class _Layer:
     """Decoded text; starts[i] and ends[i] say where its i-th code point stands in the parent, or span holds for all."""
 
-    __slots__ = ("ends", "parent", "span", "starts", "text")
+    __slots__ = ("ends", "span", "starts", "text")
 
-    def __init__(self, text: str, parent: _Layer | None = None, starts: list[int] | None = None, ends: list[int] | None = None, span: tuple[int, int] | None = None) -> None:
-        self.text, self.parent, self.starts, self.ends, self.span = text, parent, starts, ends, span
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, span: tuple[int, int] | None = None) -> None:
+        self.text, self.starts, self.ends, self.span = text, starts, ends, span
 
-    def root(self, start: int, end: int) -> tuple[int, int]:
-        layer = self
-        while layer.parent is not None:
-            start, end = layer.span or (layer.starts[start], layer.ends[end - 1])
-            layer = layer.parent
-        return start, end
+    def above(self, spans: Iterable[Span]) -> Iterator[Span]:
+        """Spans of this layer, where they stand in its parent."""
+        for k, start, end in spans:
+            yield (k, *(self.span or (self.starts[start], self.ends[end - 1])))
 
 
 def _text_of(raw: bytes) -> str | None:
@@ -83,37 +81,37 @@ def _text_of(raw: bytes) -> str | None:
     return text if text and 10 * odd <= len(text) else None
 
 
-def _escaped_layers(layer: _Layer, escape: re.Pattern) -> Iterator[_Layer]:
+def _escaped_layers(text: str, escape: re.Pattern) -> Iterator[_Layer]:
     """The layers in which escapes are decoded: one for each whole stretch of _INSIDE that has any."""
-    for m in _INSIDE.finditer(layer.text):
-        if run := list(escape.finditer(layer.text, *m.span())):
-            yield _unescaped(layer, run, *m.span())
+    for m in _INSIDE.finditer(text):
+        if run := list(escape.finditer(text, *m.span())):
+            yield _unescaped(text, run, *m.span())
 
 
-def _unescaped(layer: _Layer, run: list[re.Match], at: int, end: int) -> _Layer:
+def _unescaped(text: str, run: list[re.Match], at: int, end: int) -> _Layer:
     parts: list[tuple[bytes, int, int]] = []
     for m in run:
-        parts += [(layer.text[i].encode(errors="replace"), i, i + 1) for i in range(at, m.start())]
+        parts += [(text[i].encode(errors="replace"), i, i + 1) for i in range(at, m.start())]
         code = int(m[m.lastindex], 16)
         parts.append((bytes([code]) if m[0][0] == "%" else chr(code).encode(errors="replace"), m.start(), m.end()))
         at = m.end()
-    parts += [(layer.text[i].encode(errors="replace"), i, i + 1) for i in range(at, end)]
+    parts += [(text[i].encode(errors="replace"), i, i + 1) for i in range(at, end)]
     raw, places = b"".join(p[0] for p in parts), [(s, e) for b, s, e in parts for _ in b]
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return _Layer(raw.decode("latin-1"), layer, [x[0] for x in places], [x[1] for x in places])
+        return _Layer(raw.decode("latin-1"), [x[0] for x in places], [x[1] for x in places])
     starts, ends, i = [], [], 0
     for c in text:
         n = len(c.encode())
         starts.append(places[i][0])
         ends.append(places[i + n - 1][1])
         i += n
-    return _Layer(text, layer, starts, ends)
+    return _Layer(text, starts, ends)
 
 
-def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
-    for m in _BASE64.finditer(layer.text):
+def _base64_layers(text: str) -> Iterator[_Layer]:
+    for m in _BASE64.finditer(text):
         run = m[0].rstrip("=")
         if len(run) % 4 == 1:
             continue
@@ -123,15 +121,15 @@ def _base64_layers(layer: _Layer) -> Iterator[_Layer]:
         except (binascii.Error, ValueError):
             continue
         if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
-            yield from (_Layer(t, layer, span=m.span()) for t in _inflated(raw))
-        elif (text := _text_of(raw)) is not None:
+            yield from (_Layer(t, span=m.span()) for t in _inflated(raw))
+        elif (plain := _text_of(raw)) is not None:
             starts, ends, i = [], [], 0
-            for c in text:
+            for c in plain:
                 n = len(c.encode())
                 starts.append(m.start() + i * 4 // 3)
                 ends.append(min(m.start() + -(-(i + n) * 4 // 3), m.end()))
                 i += n
-            yield _Layer(text, layer, starts, ends)
+            yield _Layer(plain, starts, ends)
 
 
 def _inflated(raw: bytes) -> Iterator[str]:
@@ -150,33 +148,66 @@ def _inflated(raw: bytes) -> Iterator[str]:
         tail = window[-OVERLAP:]
 
 
+class _Content:
+    """A content that is being opened: its layers to come, its finds so far, and the outermost content that it repeats."""
+
+    __slots__ = ("found", "layers", "mark", "place", "repeats")
+
+    def __init__(self, layer: _Layer, mark: bytes, depth: int) -> None:
+        self.place, self.mark, self.repeats = layer, mark, depth
+        self.found, self.layers = set(base_spans(layer.text)), _opened(layer.text)
+
+
+def _all_spans(text: str) -> set[Span]:
+    """The finds of a text and of all layers below it, by base kind and by place in the text.
+
+    Finds are kept by content for its other places, but not those from inside a cycle, which are whole only at its start.
+    """
+    chain = [_Content(_Layer(text), _digest(text), 0)]
+    known: dict[bytes, set[Span]] = {}
+    depth = {chain[0].mark: 0}
+    while True:
+        content = chain[-1]
+        if (layer := next(content.layers, None)) is not None:
+            mark = _digest(layer.text)
+            if mark in known:
+                content.found.update(layer.above(known[mark]))
+            elif mark in depth:
+                content.repeats = min(content.repeats, depth[mark])
+                content.found.update(layer.above(base_spans(layer.text)))
+            else:
+                depth[mark] = len(chain)
+                chain.append(_Content(layer, mark, len(chain)))
+            continue
+        chain.pop()
+        del depth[content.mark]
+        if content.repeats == len(chain):
+            known[content.mark] = content.found
+        if not chain:
+            return content.found
+        chain[-1].repeats = min(chain[-1].repeats, content.repeats)
+        chain[-1].found.update(content.place.above(content.found))
+
+
 def scan(text: str) -> list[Span]:
     """All spans of one text: the base ones, and those of its layers under LAYER_KINDS, ordered by start, then kind."""
     base = base_spans(text)
     extra: set[Span] = set()
     if "%" in text or "\\" in text or _BASE64.search(text):
-        opened, work = {_digest(text)}, list(_opened(_Layer(text)))
-        while work:
-            layer = work.pop()
-            extra |= {(f"layer_{k}", *layer.root(s, e)) for k, s, e in base_spans(layer.text)}
-            if (mark := _digest(layer.text)) not in opened:
-                opened.add(mark)
-                work += _opened(layer)
-    plain = {(f"layer_{k}", s, e) for k, s, e in base}
-    return sorted([*base, *(extra - plain)], key=lambda x: (x[1], _ORDER[x[0]], x[2]))
+        extra = {(f"layer_{k}", s, e) for k, s, e in _all_spans(text).difference(base)}
+    return sorted([*base, *extra], key=lambda x: (x[1], _ORDER[x[0]], x[2]))
 
 
 def _digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
 
 
-def _opened(layer: _Layer) -> Iterator[_Layer]:
-    t = layer.text
-    if "%" in t:
-        yield from _escaped_layers(layer, _URL)
-    if "\\" in t:
-        yield from _escaped_layers(layer, _UNICODE)
-    yield from _base64_layers(layer)
+def _opened(text: str) -> Iterator[_Layer]:
+    if "%" in text:
+        yield from _escaped_layers(text, _URL)
+    if "\\" in text:
+        yield from _escaped_layers(text, _UNICODE)
+    yield from _base64_layers(text)
 
 
 def joined(spans: list[Span]) -> str:

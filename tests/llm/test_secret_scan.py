@@ -93,6 +93,24 @@ def test_cycles_and_clean_texts():
     assert [k for k, _, _ in s.scan(deep)] == ["layer_assign"]
 
 
+def test_repeated_layers_are_found_at_every_place():
+    twice = base64.b64encode(B64.encode()).decode()
+    zipped = base64.b64encode(gzip.compress(B64.encode())).decode()
+    for code in (twice, zipped, urllib.parse.quote(urllib.parse.quote(SECRET))):
+        text = f"{code}, {code}, {base64.b64encode(code.encode()).decode()}, {code}"
+        spans = [(a, b) for k, a, b in s.scan(text) if k == "layer_assign"]
+        assert len(spans) == 4
+        assert [next(i for i, x in enumerate(text.split(", ")) if a < len(", ".join(text.split(", ")[: i + 1]))) for a, _ in spans] == [0, 1, 2, 3]
+
+
+def test_content_within_itself_ends(monkeypatch):
+    layers = {"A": "BC", "B": "A", "C": "B", "D": "C"}
+    monkeypatch.setattr(s, "_opened", lambda t: iter([s._Layer(c, span=(0, 1)) for c in layers.get(t, "AD")]))
+    monkeypatch.setattr(s, "base_spans", lambda t: [(t, 0, 1)])
+    for t in (*layers, "top"):
+        assert {k for k, _, _ in s._all_spans(t)} == {t, "A", "B", "C"} | ({"D"} if t == "top" else set())
+
+
 def test_empty_and_clashing(spark):
     docs = documents(spark, AWKWARD)
     assert s.op9(docs.limit(0)).count() == 0
