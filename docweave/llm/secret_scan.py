@@ -8,8 +8,8 @@ so that a find is reported where it stands in the original text.
 
 Defined results: null is an empty text and has no spans; repeated rows are scanned alike, row by row; an empty table
 gives none; columns other than the identifier and the text are ignored whatever their names. Compressed layers are
-read in windows of STEP bytes that overlap by OVERLAP, so that memory stays bounded and nothing is cut off; only a find
-longer than OVERLAP inside a compressed layer may be reported in two parts of one span.
+read member after member, in windows of STEP bytes or more that end where no find or encoded run can go on, so that
+nothing is cut; memory holds such a window, and so the longest stretch without such a place.
 """
 
 from __future__ import annotations
@@ -35,10 +35,11 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
-STEP, OVERLAP = 1 << 20, 4096
+STEP = 1 << 20
 
 #: Finds and encoded runs hold only these characters, so that a text may be cut at any other without losing one.
 _INSIDE = re.compile(r"""[A-Za-z0-9+/_.=:"' %\\-]+""")
+_INSIDE_BYTES = bytes(i for i in range(128) if _INSIDE.match(chr(i)))
 _URL = re.compile(r"%([0-9A-Fa-f]{2})")
 _UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
@@ -120,9 +121,9 @@ def _base64_layers(text: str) -> Iterator[_Layer]:
             raw = base64.b64decode(code + "=" * (-len(code) % 4))
         except (binascii.Error, ValueError):
             continue
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0):
+        if _compressed(raw):
             yield from (_Layer(t, span=m.span()) for t in _inflated(raw))
-        elif (plain := _text_of(raw)) is not None:
+        if (plain := _text_of(raw)) is not None:
             starts, ends, i = [], [], 0
             for c in plain:
                 n = len(c.encode())
@@ -132,20 +133,64 @@ def _base64_layers(text: str) -> Iterator[_Layer]:
             yield _Layer(plain, starts, ends)
 
 
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0)
+
+
 def _inflated(raw: bytes) -> Iterator[str]:
-    """The windows of what a gzip or zlib stream holds; a damaged stream gives what comes before the damage."""
-    stream, tail = zlib.decompressobj(47), b""
-    while True:
+    """The windows of what gzip or zlib streams hold, one after the other, and of plain text behind them."""
+    held, size = [], 0
+    for piece in _pieces(raw):
+        held.append(piece)
+        size += len(piece)
+        if size >= STEP and (cut := len(piece.rstrip(_INSIDE_BYTES))):
+            held[-1] = piece[:cut]
+            yield b"".join(held).decode("utf-8", "replace")
+            held, size = [piece[cut:]], len(piece) - cut
+    if size:
+        yield b"".join(held).decode("utf-8", "replace")
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The bytes of all members, STEP at most at once; a damaged stream gives what comes before the damage."""
+    while _compressed(raw):
+        stream = zlib.decompressobj(47)
+        while not stream.eof:
+            before = stream.copy()
+            try:
+                piece = stream.decompress(raw, STEP)
+            except zlib.error:
+                yield from _before_damage(before, raw)
+                return
+            raw = stream.unconsumed_tail
+            if not piece:
+                break
+            yield piece
+        raw = stream.unused_data.lstrip(b"\0")
+    if _text_of(raw) is not None:
+        yield b"\n" + raw
+
+
+def _before_damage(stream: zlib._Decompress, raw: bytes) -> Iterator[bytes]:
+    """Fed in smaller and smaller parts, as what a failing call had decoded is lost; the byte that fails gives its output singly."""
+    for n in (4096, 64, 1):
+        while raw:
+            before = stream.copy()
+            try:
+                piece = stream.decompress(raw[:n])
+            except zlib.error:
+                stream = before
+                break
+            raw = raw[n:]
+            yield piece
+    rest, piece = raw[:1], b""
+    while rest or piece:
         try:
-            piece = stream.decompress(raw, STEP)
+            piece = stream.decompress(rest, 1)
         except zlib.error:
             return
-        raw = stream.unconsumed_tail
-        if not piece:
-            return
-        window = tail + piece
-        yield window.decode("utf-8", "replace")
-        tail = window[-OVERLAP:]
+        rest = stream.unconsumed_tail
+        yield piece
 
 
 class _Content:
@@ -153,17 +198,17 @@ class _Content:
 
     __slots__ = ("found", "layers", "mark", "place", "repeats")
 
-    def __init__(self, layer: _Layer, mark: bytes, depth: int) -> None:
+    def __init__(self, layer: _Layer, mark: bytes, depth: int, base: list[Span]) -> None:
         self.place, self.mark, self.repeats = layer, mark, depth
-        self.found, self.layers = set(base_spans(layer.text)), _opened(layer.text)
+        self.found, self.layers = set(base), _opened(layer.text)
 
 
-def _all_spans(text: str) -> set[Span]:
+def _all_spans(text: str, base: list[Span]) -> set[Span]:
     """The finds of a text and of all layers below it, by base kind and by place in the text.
 
     Finds are kept by content for its other places, but not those from inside a cycle, which are whole only at its start.
     """
-    chain = [_Content(_Layer(text), _digest(text), 0)]
+    chain = [_Content(_Layer(text), _digest(text), 0, base)]
     known: dict[bytes, set[Span]] = {}
     depth = {chain[0].mark: 0}
     while True:
@@ -177,7 +222,7 @@ def _all_spans(text: str) -> set[Span]:
                 content.found.update(layer.above(base_spans(layer.text)))
             else:
                 depth[mark] = len(chain)
-                chain.append(_Content(layer, mark, len(chain)))
+                chain.append(_Content(layer, mark, len(chain), base_spans(layer.text)))
             continue
         chain.pop()
         del depth[content.mark]
@@ -194,7 +239,7 @@ def scan(text: str) -> list[Span]:
     base = base_spans(text)
     extra: set[Span] = set()
     if "%" in text or "\\" in text or _BASE64.search(text):
-        extra = {(f"layer_{k}", s, e) for k, s, e in _all_spans(text).difference(base)}
+        extra = {(f"layer_{k}", s, e) for k, s, e in _all_spans(text, base).difference(base)}
     return sorted([*base, *extra], key=lambda x: (x[1], _ORDER[x[0]], x[2]))
 
 

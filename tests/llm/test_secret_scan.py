@@ -108,7 +108,31 @@ def test_content_within_itself_ends(monkeypatch):
     monkeypatch.setattr(s, "_opened", lambda t: iter([s._Layer(c, span=(0, 1)) for c in layers.get(t, "AD")]))
     monkeypatch.setattr(s, "base_spans", lambda t: [(t, 0, 1)])
     for t in (*layers, "top"):
-        assert {k for k, _, _ in s._all_spans(t)} == {t, "A", "B", "C"} | ({"D"} if t == "top" else set())
+        assert {k for k, _, _ in s._all_spans(t, s.base_spans(t))} == {t, "A", "B", "C"} | ({"D"} if t == "top" else set())
+
+
+def test_compressed_layers_are_whole():
+    def found(raw):
+        return {k for k, _, _ in s.scan("x " + base64.b64encode(raw).decode())}
+
+    def zipped(t):
+        return gzip.compress(t.encode(), mtime=0)
+
+    r = random.Random(3)
+    noise = "".join(r.choices("ghijkl mnopq\n", k=3000))
+    assert "layer_assign" in found(zipped(noise) + zipped(noise) + zipped(SECRET))
+    assert "layer_assign" in found(zipped("password = hun") + zipped("ter2xyz99"))
+    assert "layer_assign" in found(zipped(noise) + b"\0" * 20 + zlib.compress(SECRET.encode()))
+    assert "layer_assign" in found(zipped(noise) + ("\n" + SECRET).encode())
+    for whole in (zipped("secret=123456"), zlib.compress(b"secret=123456"), zipped(noise + SECRET)):
+        damaged = whole[:-5] + bytes([whole[-5] ^ 1]) + whole[-4:] if whole[:1] != b"x" else whole[:-1] + bytes([whole[-1] ^ 1])
+        assert "layer_assign" in found(damaged)
+        assert "layer_assign" in found(whole[: -8 if whole[:1] != b"x" else -4])
+    inner = base64.b64encode((" ".join(str(r.random()) for _ in range(4000)) + SECRET).encode()).decode()
+    for fill in (s.STEP - len(inner) // 2, s.STEP - len(inner) + 5, s.STEP - 4):
+        assert "layer_assign" in found(zlib.compress(("é" * (fill // 2) + "\n" + inner + "\n" + noise).encode()))
+    for text in ("x " + SECRET, "x} " + SECRET, "x^ " + SECRET):
+        assert "layer_assign" in found(text.encode())
 
 
 def test_empty_and_clashing(spark):
