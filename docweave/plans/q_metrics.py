@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -16,13 +18,15 @@ POOL = 20
 KS = (1, 5, 10, 20)
 
 
-def questions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 120).alias("query"), F.lit("en").alias("jurisdiction"), (F.col("item_id") % 2 == 0).alias("exact"), F.concat(F.lit("domain "), F.col("item_id") % 5).alias("domain"))
+def questions(spark, sf_dir, whole=False):
+    """Items as questions: the first 120 characters, as the SQL has them, or whole ones."""
+    query = F.col("text") if whole else F.substring("text", 1, 120)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"), F.lit("en").alias("jurisdiction"), (F.col("item_id") % 2 == 0).alias("exact"), F.concat(F.lit("domain "), F.col("item_id") % 5).alias("domain"))
 
 
-def pool(spark, sf_dir):
+def pool(spark, sf_dir, whole=False):
     """The candidate pool of every question: BM25 over English documents."""
-    terms = rk.query_terms(questions(spark, sf_dir))
+    terms = rk.query_terms(questions(spark, sf_dir, whole))
     return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, POOL)
 
 
@@ -35,32 +39,32 @@ def with_rows(candidates, rows):
     return rows.join(F.broadcast(c) if c.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES else c, "id")
 
 
-def judged(spark, sf_dir):
+def judged(spark, sf_dir, whole=False):
     """Questions with the rank of the first document of quality 1 in their pool."""
     gold = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("gold"))
-    x = pool(spark, sf_dir).join(gold, "id", "left")
-    return mt.evaluated(questions(spark, sf_dir), mt.first_gold(x, F.col("gold")), KS)
+    x = pool(spark, sf_dir, whole).join(gold, "id", "left")
+    return mt.evaluated(questions(spark, sf_dir, whole), mt.first_gold(x, F.col("gold")), KS)
 
 
-def eval_metrics(spark, sf_dir):
-    return judged(spark, sf_dir).groupBy("exact").agg(*mt.rates(KS))
+def eval_metrics(spark, sf_dir, whole=False):
+    return judged(spark, sf_dir, whole).groupBy("exact").agg(*mt.rates(KS))
 
 
-def eval_by_domain(spark, sf_dir):
-    return judged(spark, sf_dir).groupBy("domain").agg(*mt.rates(KS))
+def eval_by_domain(spark, sf_dir, whole=False):
+    return judged(spark, sf_dir, whole).groupBy("domain").agg(*mt.rates(KS))
 
 
-def modes(spark, sf_dir):
+def modes(spark, sf_dir, whole=False):
     """Failure modes; the rank in the pool stands for the sparse list, and an even question's dense list has it too."""
-    x = judged(spark, sf_dir)
+    x = judged(spark, sf_dir, whole)
     dense = F.when((F.col("query_id") % 3 != 0), F.col("gold_rank"))
     sparse = F.when(F.col("gold_rank") <= 10, F.col("gold_rank"))
     mode = mt.failure_mode(F.col("exact"), dense, sparse, F.coalesce(F.col("gold_rank") <= 8, F.lit(False)), F.col("hit1"), F.lit(True))
     return x.withColumn("mode", mode)
 
 
-def failure_modes(spark, sf_dir):
-    return mt.histogram(modes(spark, sf_dir), "mode")
+def failure_modes(spark, sf_dir, whole=False):
+    return mt.histogram(modes(spark, sf_dir, whole), "mode")
 
 
 MODES = [(e, d, s, f, t, c) for e in (True, False) for d in (1, None) for s in (1, None) for f in (True, False) for t in (True, False) for c in (True, False)]
@@ -84,33 +88,36 @@ def abstention(spark, sf_dir):
     return x.select("query_id", F.col("best").isNull().alias("abstained"), rl.confidence(F.col("best")).alias("unsure"), F.round("best", 6).alias("best"))
 
 
-def chunks(spark, sf_dir):
-    """The best documents of each question as an ordered array of chunks."""
+def chunks(spark, sf_dir, whole=False):
+    """The best documents of each question as an ordered array of chunks; their texts are cut unless whole."""
+    text = F.col("text") if whole else F.substring("text", 1, 400)
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "text")
-    x = with_rows(pool(spark, sf_dir).where("rank <= 5"), d)
-    one = F.struct("rank", F.col("source").alias("title"), F.concat(F.lit("Section "), F.col("id")).alias("section"), F.substring("text", 1, 400).alias("text"), "score")
+    x = with_rows(pool(spark, sf_dir, whole).where("rank <= 5"), d)
+    one = F.struct("rank", F.col("source").alias("title"), F.concat(F.lit("Section "), F.col("id")).alias("section"), text.alias("text"), "score")
     return x.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
 
 
-def context_assembly(spark, sf_dir):
-    c = chunks(spark, sf_dir).select("query_id", rl.context_block(F.col("chunks")).alias("context"))
+def context_assembly(spark, sf_dir, whole=False):
+    c = chunks(spark, sf_dir, whole).select("query_id", rl.context_block(F.col("chunks")).alias("context"))
     return c.select("query_id", F.length("context").cast("bigint").alias("n_chars"), F.md5("context").alias("digest"))
 
 
-def template_answer(spark, sf_dir):
-    return chunks(spark, sf_dir).select("query_id", rl.template_answer(F.col("chunks")).alias("answer"))
+def template_answer(spark, sf_dir, whole=False):
+    return chunks(spark, sf_dir, whole).select("query_id", rl.template_answer(F.col("chunks")).alias("answer"))
 
 
-def ranked_tiers(spark, sf_dir):
+def ranked_tiers(spark, sf_dir, whole=False):
     """The first six candidates with score, clipped percentage, tier, use and snippet."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    x = with_rows(pool(spark, sf_dir).where("rank <= 6"), d).withColumn("score", F.round(F.col("score") / 40, 6))
+    x = with_rows(pool(spark, sf_dir, whole).where("rank <= 6"), d).withColumn("score", F.round(F.col("score") / 40, 6))
     s = F.col("score")
     return x.select("query_id", "id", "rank", "score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), s * 100)), 6).alias("percentage"), rl.relevance_tier(s).alias("tier"), (F.col("rank") <= 4).alias("used"), tx.truncated(F.col("text"), 180, 180).alias("snippet"))
 
 
 _NAMES = "eval_metrics eval_by_domain failure_modes failure_table abstention context_assembly template_answer ranked_tiers".split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+#: These have a query on whole items and texts too, as the SQL of the others is given with its cuts.
+WHOLE = "eval_metrics eval_by_domain failure_modes context_assembly template_answer ranked_tiers".split()
+QUERIES = {n: globals()[n] for n in _NAMES} | {f"{n}_whole": partial(globals()[n], whole=True) for n in WHOLE}
 
 _TERMS = f"SELECT item_id AS query_id, unnest({words_sql('left(text, 120)')}) AS term FROM benchmark"
 _POOL = f"WITH {TOKENS}, {STATS}, {bm25_sql(_TERMS, POOL, 'all_hits')}, pool AS (SELECT * FROM all_hits WHERE jurisdiction = 'en')"

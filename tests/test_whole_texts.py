@@ -1,0 +1,25 @@
+"""Queries on whole texts against the SQL of their namesakes, without its cuts."""
+
+import pytest
+from docweave.plans import registry
+
+from test_queries_match_sql import SF, con, norm, pytestmark  # noqa: F401
+
+METRICS = "eval_metrics eval_by_domain failure_modes context_assembly template_answer ranked_tiers".split()
+CUTS = {n: [("left(text, 120)", "text")] for n in METRICS}
+CUTS["context_assembly"] = CUTS["template_answer"] = [*CUTS["eval_metrics"], ("left(text, 400)", "text")]
+
+
+@pytest.mark.parametrize("name", CUTS)
+def test_whole(spark, con, name):  # noqa: F811
+    sql = registry.ORACLE[name]
+    for cut, whole in CUTS[name]:
+        assert cut in sql
+        sql = sql.replace(cut, whole)
+    df = registry.QUERIES[f"{name}_whole"](spark, SF)
+    cols = sorted(df.columns)
+    want = con.sql(sql)
+    at = [want.columns.index(c) for c in cols]
+    got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
+    assert got == sorted(tuple(norm(r[i]) for i in at) for r in want.fetchall())
+    assert got
