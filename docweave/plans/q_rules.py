@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -243,18 +245,19 @@ def piecewise_clamp(spark, sf_dir):
     return values(spark, SCORES, "id int, top double").select("id", F.round(r.display_score(F.col("top")), 6).alias("display_score"), r.confidence(F.col("top")).alias("abstained"))
 
 
-def followup_rewrite(spark, sf_dir):
-    """Each user turn with the user turn before it, where it is a follow-up."""
+def followup_rewrite(spark, sf_dir, whole=False):
+    """Each user turn with the user turn before it, where it is a follow-up; turns are cut as in the SQL unless whole."""
     from pyspark.sql import Window
 
-    u = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("What about ")).otherwise(F.lit("")), F.substring("text", 1, 40)).alias("query"))
+    text = F.col("text") if whole else F.substring("text", 1, 40)
+    u = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("What about ")).otherwise(F.lit("")), text).alias("query"))
     prior = F.lag("query").over(Window.partitionBy("conv_id").orderBy("turn"))
     return u.withColumn("prior", prior).select("conv_id", "turn", r.in_context(F.col("query"), F.col("prior"), F.when(F.col("conv_id") % 2 == 0, "national").otherwise("international")).alias("rewritten"))
 
 
 _NAMES = """intent_rules abs_trigger abs_extract tkdl_trigger tkdl_hints expand_rules formulation_tree formulation_next answer_words abs_outcomes abs_flow followup_translate
 first_match_rules page_resolve alias_last_wins citation_resolve tkdl_pointer piecewise_clamp followup_rewrite""".split()
-QUERIES = {n: globals()[n] for n in _NAMES}
+QUERIES = {n: globals()[n] for n in _NAMES} | {"followup_rewrite_whole": partial(followup_rewrite, whole=True)}
 
 _F = fixed.FORMULATION_QUESTIONS
 _CLASS = "CASE " + " ".join(f"WHEN {q} THEN '{c}'" for q, c in zip(_F, ["classical_medicine", "new_drug", "phytopharmaceutical", "nutraceutical", "cosmetic"], strict=True)) + " ELSE 'proprietary_medicine' END"

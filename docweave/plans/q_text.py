@@ -142,6 +142,12 @@ def canonical_overlap(spark, sf_dir):
     return d.where("lang = 'en'").select("name").intersect(d.where("lang = 'de'").select("name"))
 
 
+def canonical_overlap_whole(spark, sf_dir):
+    """Canonical names of the sources that English and German documents share."""
+    d = documents(spark, sf_dir).select("lang", tx.canonical_source(F.col("source")).alias("name")).where("name <> ''")
+    return d.where("lang = 'en'").select("name").intersect(d.where("lang = 'de'").select("name"))
+
+
 NAMES = [
     ("Patents Act 1970", "Patents Act, 1970"),
     ("WIPO GRATK Treaty (2024)", "WIPO GRATK Treaty 2024"),
@@ -221,7 +227,7 @@ def validate_requests(spark, sf_dir):
     return x.select("id", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
-_NAMES = """clean_text clean_footnotes toc_filter normalize_citations detect_language lang_alias cache_key cache_hits canonical_overlap canonical_names word_batches
+_NAMES = """clean_text clean_footnotes toc_filter normalize_citations detect_language lang_alias cache_key cache_hits canonical_overlap canonical_overlap_whole canonical_names word_batches
 speech_clean truncate parse_llm_json ordered_distinct validate_requests""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 

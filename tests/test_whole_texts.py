@@ -9,6 +9,9 @@ METRICS = "eval_metrics eval_by_domain failure_modes context_assembly template_a
 CUTS = {n: [("left(text, 120)", "text")] for n in METRICS}
 CUTS["context_assembly"] = CUTS["template_answer"] = [*CUTS["eval_metrics"], ("left(text, 400)", "text")]
 
+CUTS["followup_rewrite"] = [("left(text, 40)", "text")]
+CUTS["canonical_overlap"] = [("left(text, 4)", "source")]
+
 
 @pytest.mark.parametrize("name", CUTS)
 def test_whole(spark, con, name):  # noqa: F811
