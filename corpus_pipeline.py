@@ -29,19 +29,34 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the document with the smallest identifier; rows without an identifier stay.
+    """Keeps of each component the row with the smallest identifier, one without an identifier only if none has one.
 
     What goes, the smaller part, is joined rather than what stays, so that texts are shuffled only if that is large.
-    Rows that share an identifier are told apart by all their columns, and equal ones become one.
+    Rows that share an identifier or have none are told apart by all their columns, and equal ones become one; rows
+    without words and without an identifier stay.
     """
     docs = docs.select(*COLUMNS)
-    gone = jaccard_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(small(materialize(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"), "twice")
-    if not twice.limit(1).count():
-        return kept
-    same = F.col("doc_id") == F.col("_twice")
-    return kept.join(small(twice), same, "left_anti").unionByName(kept.join(small(twice), same, "left_semi").distinct())
+    unclear = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1 or doc_id is null")
+    if unclear.limit(1).count():
+        return _near_duplicates_by_row(docs)
+    gone = jaccard_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(small(materialize(gone, "gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def _near_duplicates_by_row(docs: DataFrame) -> DataFrame:
+    """The same where identifiers do not name rows: by a hash of all columns."""
+    docs = docs.withColumn("_row", F.xxhash64(*COLUMNS))
+    joined = jaccard_join.join(docs, key="_row").groupBy(F.col("doc_id").alias("_row"), "component_id").agg(F.count("*").alias("_n"), F.max("n_shingles").alias("_words"))
+    named = materialize(joined.join(docs.select("_row", "doc_id").distinct(), "_row"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    first = materialize(named.groupBy("component_id").agg(first.alias("f")).select("component_id", F.col("f")["_row"].alias("_first")), "first")
+    gone = materialize(named.join(small(first), "component_id").where("_row <> _first").select("_row"), "gone")
+    kept = docs.join(small(gone), "_row", "left_anti")
+    twice = materialize(named.where("_n > 1 and (doc_id is not null or _words > 0)").select("_row"), "twice")
+    release(named, first)
+    if twice.limit(1).count():
+        kept = kept.join(small(twice), "_row", "left_anti").unionByName(kept.join(small(twice), "_row", "left_semi").distinct())
+    return kept.select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sum(r["length"] for r in final) == sum(len(tokens.ids(t or "")) for _, t, _ in kept[4])
 
 
+def test_near_duplicates_without_clear_identifiers(spark):
+    text = lambda seed, end: " ".join([*words(seed, 100, 3000), end])
+    table = [(1, text(1, "a")), (2, text(1, "b")), (2, text(2, "only")), (None, text(1, "c")), (None, text(1, "c"))]
+    table += [(5, text(3, "a")), (5, text(3, "b")), (5, text(3, "b")), (None, text(4, "a")), (None, text(4, "b")), (None, text(5, "only"))]
+    table += [(8, text(6, "a"), "s"), (8, text(6, "a"), "t"), (9, "..."), (9, "..."), (None, " "), (None, " ")]
+    got = rows(cp.near_duplicates(spark, documents(spark, table), ""))
+    begun = lambda t: t.rsplit(" ", 1)[0]
+    want = [(1, 1), (2, 2), (5, 3), (None, 4), (None, 5), (8, 6)]
+    want = [(d, begun(text(seed, ""))) for d, seed in want] + [(9, "..."), (None, ""), (None, "")]
+    assert sorted(((r["doc_id"], begun(r["text"])) for r in got), key=str) == sorted(want, key=str)
+    assert (1, text(1, "a")) in [(r["doc_id"], r["text"]) for r in got]
+
+
 def test_empty_table(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
