@@ -6,7 +6,7 @@ inverted index that is joined with the tokens of the URLs; only then is the whol
 path rules come first and are final.
 
 Tokens that occur in exactly the same labelled URLs are one item for the miner, so that a long URL repeated many times
-can't blow up the number of combinations.
+can't blow up the number of combinations. A rule with such an item fits URLs that show any of its tokens.
 
 Defined results: a null URL, or one without "://", has an empty host and path, no tokens and the verdict allow; equal
 URLs get equal verdicts; without usable labels there are no mined rules and everything else is allowed.
@@ -74,7 +74,9 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
-    """labelled(items array<string>, bad boolean) -> rules(rule_id, items, key, n_items, confidence, support).
+    """labelled(items array<string>, bad boolean) -> rules(rule_id, items, key, n_items, confidence, support, keys, needs).
+
+    keys: the key and its twins, tokens of exactly the same labelled URLs; needs: the same for each item.
 
     Of two rules with the same confidence or less, the one whose items contain the other's is left out by the index
     anyway: both block the same or fewer URLs, so no pruning beyond the thresholds changes a verdict.
@@ -83,19 +85,19 @@ def mine(labelled: DataFrame, how: Mining = Mining()) -> DataFrame:
     rows = materialize(labelled.where(F.size("items") > 0).select(F.xxhash64(F.monotonically_increasing_id()).alias("row"), "items", "bad"), "url-labels")
     signed = rows.select("row", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("sum"), F.bit_xor("row").alias("xor"))
     floor = how.min_support * rows.where("bad").count()
-    alias = signed.where(F.col("n") >= F.lit(floor)).groupBy("n", "sum", "xor").agg(F.min("item").alias("item")).select("item", "n")
+    alias = signed.where(F.col("n") >= F.lit(floor)).groupBy("n", "sum", "xor").agg(F.min("item").alias("item"), F.array_sort(F.collect_set("item")).alias("twins")).select("item", "n", "twins")
     kept = rows.select("row", "bad", F.explode("items").alias("item")).join(alias.select("item"), "item")
     baskets = kept.groupBy("row").agg(F.max("bad").alias("bad"), F.collect_set("item").alias("items"))
     baskets = materialize(baskets.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")), "url-baskets")
-    empty = "rule_id bigint, items array<string>, key string, n_items int, confidence double, support double"
+    empty = "rule_id bigint, items array<string>, key string, n_items int, confidence double, support double, keys array<string>, needs array<array<string>>"
     if not baskets.where(F.array_contains("items", BAD)).limit(1).count():
         return spark.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=how.min_support, minConfidence=how.min_confidence).fit(baskets)
     enough = F.round(F.col("support") * baskets.count()) >= how.min_count
     good = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= how.min_lift) & enough)
     rules = good.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("items"), "confidence", "support")
-    rarest = rules.select("rule_id", F.explode("items").alias("item")).join(alias, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item")).alias("k"))
-    return rules.join(rarest, "rule_id").select("rule_id", "items", F.col("k")["item"].alias("key"), F.size("items").alias("n_items"), "confidence", "support")
+    rarest = rules.select("rule_id", F.explode("items").alias("item")).join(alias, "item").groupBy("rule_id").agg(F.min(F.struct("n", "item", "twins")).alias("k"), F.collect_list("twins").alias("needs"))
+    return rules.join(rarest, "rule_id").select("rule_id", "items", F.col("k")["item"].alias("key"), F.size("items").alias("n_items"), "confidence", "support", F.col("k")["twins"].alias("keys"), "needs")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -104,9 +106,9 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     The rules are read back from a table, so that the planner knows their size and broadcasts them only if small.
     """
     index = materialize(rules, "url-rules")
-    hits = urls.select("url", "items", F.explode("items").alias("key")).join(index.select("key", F.col("items").alias("needs"), "confidence"), "key")
-    hits = hits.where(F.size(F.array_except("needs", "items")) == 0)
-    best = F.max(F.struct("confidence", F.array_join("needs", " ").alias("name")))
+    hits = urls.select("url", "items", F.explode("items").alias("key")).join(index.select(F.explode("keys").alias("key"), "needs", F.col("items").alias("rule"), "confidence"), "key")
+    hits = hits.where(F.forall("needs", lambda any_of: F.arrays_overlap(any_of, "items")))
+    best = F.max(F.struct("confidence", F.array_join("rule", " ").alias("name")))
     return hits.groupBy("url").agg(best.alias("m")).select("url", F.col("m")["name"].alias("mined"))
 
 

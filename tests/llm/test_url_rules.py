@@ -61,3 +61,13 @@ def test_empty_and_clashing(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality bigint, toxic bigint")
     assert u.op10(pages, labels).count() == 2
     assert u.op10(pages.limit(0), labels).count() == 0
+
+
+def test_twins_of_a_rule_item_match_alone(spark):
+    labelled = [(i, f"http://a.org/spam/offer/{i}") for i in range(20)] + [(100 + i, f"http://a.org/good/page{i % 3}") for i in range(40)]
+    alone = [(200, "http://a.org/spam"), (201, "http://a.org/offer"), (202, "http://a.org/good"), (203, "http://a.org/other")]
+    pages = spark.createDataFrame(labelled + alone, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i, _ in labelled], "page_id bigint, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in u.judge(pages, labels).collect()}
+    assert [got[i] for i, _ in alone] == ["block", "block", "allow", "allow"]
+    assert all(got[i] == ("block" if i < 100 else "allow") for i, _ in labelled)
