@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, as_bytes, bound_batches, chunks, materialize, mixed, partitions, release, small, window_hashes
+from .common import LOWER, WordHashes, as_bytes, bound_batches, chunks, materialize, mixed, release, small, window_hashes
 from .graph import components
 
 WIDTH = 5
@@ -261,7 +261,7 @@ def _across(percent: int):
 def _filed(signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """A work table of (node, key): each set's rarest keys, as far as other sets have them too."""
     up = F.shiftleft("node", 1).bitwiseOR((F.col("pos") >= F.col("own")).cast("bigint"))
-    keys = signed.select("node", "own", F.posexplode("keys").alias("pos", "key")).select(up.alias("member"), "key").repartition(partitions(signed.sparkSession), "key")
+    keys = signed.select("node", "own", F.posexplode("keys").alias("pos", "key")).select(up.alias("member"), "key").repartition("key")
     times = keys.groupBy("key").agg(F.count("*").alias("times"), F.min("member").alias("lo"), F.max("member").alias("hi"))
     times = times.where(F.shiftrightunsigned("lo", 1) != F.shiftrightunsigned("hi", 1)).select("key", "times")
     repeated = keys.join(times.hint("shuffle_hash"), "key").select(F.shiftrightunsigned("member", 1).alias("node"), F.col("member").bitwiseAND(1).cast("int").alias("up"), "key", "times")
@@ -303,7 +303,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     rows = live.join(nodes.select("node", "n", "wide"), "node").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "root", "block", "n", "wide")
-    dealt = rows.repartition(partitions(spark), "key", "one", "two").sortWithinPartitions("key", "one", "two")
+    dealt = rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
     more = dealt.mapInArrow(_across(percent), "a bigint, b bigint").distinct().join(tested, ["a", "b"], "left_anti")
     more = materialize(more, "across")
     release(buckets, live, tested)
