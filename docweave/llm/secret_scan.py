@@ -15,11 +15,10 @@ nothing is cut; memory holds such a window, and so the longest stretch without s
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +36,18 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 STEP = 1 << 20
 
-#: Finds and encoded runs hold only these characters, so that a text may be cut at any other without losing one.
-_INSIDE = re.compile(r"""[A-Za-z0-9+/_.=:"' %\\-]+""")
+#: Finds and encoded runs hold only these characters (line ends: wrapped ones), so that a text may be cut at any other without losing one.
+_INSIDE = re.compile(r"""[A-Za-z0-9+/_.=:"' \t\r\n%\\-]+""")
 _INSIDE_BYTES = bytes(i for i in range(128) if _INSIDE.match(chr(i)))
 _URL = re.compile(r"%([0-9A-Fa-f]{2})")
-_UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})")
+_UNICODE = re.compile(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})|\\U(00(?:0[0-9a-fA-F]|10)[0-9a-fA-F]{4})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of encoded characters; a last one may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}[ \t]*\r?\n[ \t]*)+[A-Za-z0-9+/_-]+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Within decoded bytes that are no text as a whole: stretches that are, and where compressed bytes may begin.
+_READABLE = re.compile(rb"[\t\n\r\x20-\x7E]{12,}")
+_GZIP = re.compile(rb"\x1f\x8b\x08")
 
 Span = tuple[str, int, int]
 
@@ -113,24 +118,61 @@ def _unescaped(text: str, run: list[re.Match], at: int, end: int) -> _Layer:
 
 def _base64_layers(text: str) -> Iterator[_Layer]:
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        code = run.replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(code + "=" * (-len(code) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if _compressed(raw):
-            yield from (_Layer(t, span=m.span()) for t in _inflated(raw))
-        if (plain := _text_of(raw)) is not None:
-            starts, ends, i = [], [], 0
-            for c in plain:
-                n = len(c.encode())
-                starts.append(m.start() + i * 4 // 3)
-                ends.append(min(m.start() + -(-(i + n) * 4 // 3), m.end()))
-                i += n
-            yield _Layer(plain, starts, ends)
+        yield from _decoded(m[0].rstrip("="), range(m.start(), m.end()))
+    for m in _WRAPPED.finditer(text):
+        for lines in _blocks([x.span() for x in _LINE.finditer(text, *m.span())]):
+            places = [i for start, end in lines for i in range(start, end)]
+            yield from _decoded("".join(text[start:end] for start, end in lines), places)
+
+
+def _blocks(lines: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Lines of one length in a row, each time with the next one if it is shorter; two at least."""
+    first = 0
+    while first < len(lines):
+        width, last = lines[first][1] - lines[first][0], first + 1
+        while last < len(lines) and lines[last][1] - lines[last][0] == width:
+            last += 1
+        block = lines[first : last + (last < len(lines) and lines[last][1] - lines[last][0] < width)]
+        if len(block) > 1:
+            yield block
+        first = last
+
+
+def _decoded(run: str, places: Sequence[int]) -> Iterator[_Layer]:
+    """The layers of one encoded run whose characters stand at places.
+
+    If it is no text or compressed bytes from its first character on, other characters may stand before or behind it
+    without a gap, so that all four alignments are read for stretches of text and for compressed bytes.
+    """
+    code = run.replace("-", "+").replace("_", "/")
+    for shift in range(4):
+        part = code[shift : len(code) - ((len(code) - shift) % 4 == 1)]
+        if not part:
+            return
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        packed = _compressed(raw) and not shift
+        whole = _text_of(raw) if not shift else None
+        if packed:
+            yield from (_Layer(t, span=(places[0], places[-1] + 1)) for t in _inflated(raw))
+        if whole is not None:
+            yield _placed(whole, 0, shift, places)
+            return
+        for m in _READABLE.finditer(raw):
+            yield _placed(m[0].decode(), m.start(), shift, places)
+        for m in _GZIP.finditer(raw, 1 if packed else 0):
+            at = shift + m.start() * 4 // 3
+            yield from (_Layer(t, span=(places[at], places[-1] + 1)) for t in _inflated(raw[m.start() :]))
+
+
+def _placed(plain: str, at: int, shift: int, places: Sequence[int]) -> _Layer:
+    """Text from byte `at` of what a run holds from its character `shift` on."""
+    starts, ends, last = [], [], len(places)
+    for c in plain:
+        n = len(c.encode())
+        starts.append(places[shift + at * 4 // 3])
+        ends.append(places[min(shift - (-(at + n) * 4 // 3), last) - 1] + 1)
+        at += n
+    return _Layer(plain, starts, ends)
 
 
 def _compressed(raw: bytes) -> bool:

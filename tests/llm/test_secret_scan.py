@@ -135,6 +135,58 @@ def test_compressed_layers_are_whole():
         assert "layer_assign" in found(text.encode())
 
 
+def test_long_unicode_escapes():
+    text = "é, password=\\U00000068unter2secret; \\UFFFFFFFF"
+    assert [text[a:b] for k, a, b in s.scan(text) if k == "layer_assign"] == ["password=\\U00000068unter2secret"]
+
+
+def wrapped(code, width, end="\n", indent=""):
+    return end.join(indent + code[i : i + width] for i in range(0, len(code), width))
+
+
+def test_wrapped_and_glued_runs():
+    r = random.Random(11)
+    noise = " ".join(str(r.random()) for _ in range(30))
+    for raw in (f"{noise} {SECRET} {noise}".encode(), gzip.compress(f"{noise} {SECRET}".encode(), mtime=0)):
+        code = base64.b64encode(raw).decode()
+        for text in (wrapped(code, 76, "\r\n"), wrapped(code, 64, "\n", "  "), "Content:\n\n" + wrapped(code, 76) + "\nend", "averylongheaderwordhere\n" + wrapped(code, 20), *(f"{x}/{code}" for x in ("data", "da", "dat", "d", "img/data"))):
+            spans = [(a, b) for k, a, b in s.scan("see " + text) if k == "layer_assign"]
+            assert spans and all(4 <= a < b <= 4 + len(text) for a, b in spans), text[:40]
+    for head in ("data/", "a/", "ab/", "abc/"):
+        text = head + B64.rstrip("=")
+        spans = [(a, b) for k, a, b in s.scan(text) if k == "layer_assign"]
+        assert spans == [(len(head), len(text))], (head, spans)
+
+
+WRAPS = [
+    lambda t, r: base64.b64encode(t.encode()).decode(),
+    lambda t, r: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="),
+    lambda t, r: base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode(),
+    lambda t, r: base64.b64encode(zlib.compress(t.encode())).decode(),
+    lambda t, r: "".join(f"%{b:02X}" if r.random() < 0.5 or chr(b) in "%\\" else chr(b) for b in t.encode()),
+    lambda t, r: "".join(r.choice([f"\\u{ord(c):04x}", f"\\U{ord(c):08X}", f"\\x{ord(c):02x}"]) if r.random() < 0.5 or c in "%\\" else c for c in t),
+    lambda t, r: wrapped(base64.b64encode(t.encode()).decode(), 24),
+]
+
+
+def test_nested_layers_against_what_was_wrapped():
+    """Any nesting of up to four layers gives the secret, within the place of its code; the other code around gives none."""
+    r = random.Random(17)
+    for _ in range(300):
+        secret = "password=" + "".join(r.choices("GHJKMNPQRSTUVWXYZ", k=r.randrange(6, 40)))
+        code, dull = secret, "nothing here " * 3
+        for _ in range(r.randrange(1, 5)):
+            wrap = r.choice(WRAPS)
+            code, dull = wrap(code, r), wrap(dull, r)
+        if code == secret:
+            continue
+        text = f"ä; {dull}; {code}; {dull}"
+        at = text.index(code)
+        spans = [(a, b) for k, a, b in s.scan(text) if k.endswith("assign")]
+        assert spans, (secret, code)
+        assert all(at <= a < b <= at + len(code) for a, b in spans), (spans, at, len(code))
+
+
 def test_empty_and_clashing(spark):
     docs = documents(spark, AWKWARD)
     assert s.op9(docs.limit(0)).count() == 0
