@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 from docweave.llm import url_rules as u
@@ -71,3 +73,51 @@ def test_twins_of_a_rule_item_match_alone(spark):
     got = {r["page_id"]: r["verdict"] for r in u.judge(pages, labels).collect()}
     assert [got[i] for i, _ in alone] == ["block", "block", "allow", "allow"]
     assert all(got[i] == ("block" if i < 100 else "allow") for i, _ in labelled)
+
+
+def brute_rules(baskets, how):
+    """All combinations that pass the thresholds, by enumeration."""
+    n, n_bad = len(baskets), sum(b for _, b in baskets)
+    found = []
+    for size in (1, 2, 3, 4, 5):
+        for items in itertools.combinations(sorted({x for i, _ in baskets for x in i}), size):
+            rows = [b for i, b in baskets if i.issuperset(items)]
+            if sum(rows) >= max(how.min_count, how.min_support * n) and sum(rows) >= how.min_confidence * len(rows) and sum(rows) * n >= how.min_lift * n_bad * len(rows):
+                found.append(set(items))
+    return found
+
+
+def test_mined_rules_against_enumeration(spark):
+    for seed in range(3):
+        r = random.Random(seed)
+        planted = [["alpha", "beta"], ["gamma", "delta", "eps"], ["zeta"]]
+        rows, labels = [], []
+        for i in range(240):
+            words = {w for w in ("alpha", "beta", "gamma", "delta", "eps", "eta") if r.random() < 0.45} | ({"zeta"} if r.random() < 0.1 else set())
+            bad = any(set(p) <= words for p in planted) and r.random() < 0.9 or r.random() < 0.05
+            rows.append((i, "http://h.org/" + "/".join(sorted(words, key=lambda w: r.random()))))
+            labels.append((i, bad))
+        pages = spark.createDataFrame(rows, "page_id bigint, url string")
+        how = u.Mining(min_support=0.02, min_confidence=0.7)
+        got = {x["page_id"]: x["verdict"] for x in u.judge(pages, spark.createDataFrame(labels, "page_id bigint, bad boolean"), how=how).collect()}
+        baskets = [({"s:http", "h:h", "h:org"} | {f"p:{w}" for w in url.split("/")[3:] if w}, bad) for (_, url), (_, bad) in zip(rows, labels, strict=True)]
+        rules = brute_rules(baskets, how)
+        assert rules
+        assert got == {i: "block" if any(x <= items for x in rules) else "allow" for i, (items, _) in enumerate(baskets)}
+
+
+def test_shared_tokens_that_stand_elsewhere_too_do_not_explode(spark):
+    shared = [f"t{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rows = [(i, "http://bad.org/" + "/".join(shared)) for i in range(12)] + [(100 + i, f"http://ok.org/{shared[i % 40]}") for i in range(480)] + [(1300, f"http://x.org/{shared[3]}/{shared[7]}"), (1301, f"http://x.org/{shared[3]}")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i, _ in rows[:-2]], "page_id bigint, bad boolean")
+    got = {x["page_id"]: x["verdict"] for x in u.judge(pages, labels).collect()}
+    assert all(got[i] == ("block" if i < 100 or i == 1300 else "allow") for i, _ in rows)
+
+
+def test_equal_confidence_names_one_rule(spark):
+    rows = [(i, "http://a.org/" + ("one" if i % 2 else "two") + "/x") for i in range(40)] + [(100 + i, "http://a.org/fine/x") for i in range(40)] + [(200, "http://a.org/one/two")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, i < 100) for i, _ in rows[:-1]], "page_id bigint, bad boolean")
+    got = {x["page_id"]: x["mined"] for x in u.judge(pages, labels).collect()}
+    assert (got[0], got[1], got[100], got[200]) == ("p:two", "p:one", None, "p:two")
