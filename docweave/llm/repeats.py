@@ -8,9 +8,10 @@ are sorted by what is left of them: where a run of members agrees in enough byte
 extended to the right by all (it lies in one child of the node) nor to the left (it agrees in one more byte), it is
 a maximal repeat, with all its occurrences.
 
-A context that is found again in the same task repeats in whole; its places are decided there and only the first is
-dealt on. Texts that are equal are one text, whose copies repeat as a whole. A hash with more than HOT places is not gathered in
-one task: its windows' hashes are counted by an aggregate instead.
+A context that is found again in the same task, by a 192-bit hash, repeats in whole; its places are decided there and
+only the first is dealt on. Texts that are equal are one text, whose copies repeat as a whole. A hash with more than HOT
+places is dealt by more context: of two equal windows either enough bytes from the anchor on agree, or enough bytes to
+its left, so that each place goes to two smaller groups, by a hash of either side.
 
 Defined results: null is an empty text; texts shorter than LENGTH bytes have no repeats; repeated rows are copies of each
 other; an empty table gives none; other columns are ignored, whatever their names. Windows that overlap in one text
@@ -20,6 +21,7 @@ repeat each other like any others.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,8 +151,9 @@ def _left_runs(order: list[int], first: int, last: int, lefts: list[bytes], need
 def cover(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> dict[int, list[tuple[int, int]]]:
     """For each member, the (left, right) reaches of its maximal repeats that no other one's contain.
 
-    In a node each member's longest common left part is with a neighbour in the order of left parts. Repeats that are
-    not maximal need no test here: the reach in a child node contains theirs.
+    In a node a member's longest maximal repeat is with the member of another child that agrees most to the left: with
+    one of the same child the repeat is extended to the right by all, and it ends left where those two differ. In the
+    order of left parts that member is the nearest one of another child, on either side.
     """
     reach: dict[int, list[tuple[int, int]]] = {}
 
@@ -168,13 +171,27 @@ def cover(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> dict
                 put(order[first], left, depth)
                 put(order[last], left, depth)
             continue
+        child = list(itertools.accumulate((x == depth for x in lcp[first:last]), initial=0))
         for run in _left_runs(order, first, last, lefts, length - depth):
-            same = [-1, *(common(lefts[order[a]], lefts[order[b]]) for a, b in zip(run, run[1:], strict=False)), -1]
-            for k, i in enumerate(run):
-                put(order[i], max(same[k], same[k + 1]), depth)
+            same = [common(lefts[order[a]], lefts[order[b]]) for a, b in zip(run, run[1:], strict=False)]
+            of = [child[i - first] for i in run]
+            ahead = list(_diverse(same, of))
+            back = list(_diverse(same[::-1], of[::-1]))[::-1]
+            for i, left in zip(run, map(max, ahead, back), strict=True):
+                if left >= 0 and left + depth >= length:
+                    put(order[i], left, depth)
     return reach
 
 
+def _diverse(same: list[int], of: list[int]) -> Iterator[int]:
+    """For each member what it has in common with the nearest one before it of another child, -1 without one."""
+    held = -1
+    yield held
+    for k, x in enumerate(same):
+        held = x if of[k] != of[k + 1] else min(held, x)
+        yield held
+
+
 _ANCHORS = "array<struct<hash:bigint,places:array<int>>>"
 
 
@@ -206,6 +223,17 @@ _SEEN = 100_000
 def _contexts(length: int, gram: int, every: bool = False):
     """Context rows; with `every` for all places, else contexts seen again in a task are decided there."""
     side = length - gram
+    ahead = gram + side // 2
+    behind = length - ahead + 1
+
+    def groups(hash: int, hot: bool, left: bytes, right: bytes) -> Iterator[int]:
+        if not hot:
+            yield hash
+            return
+        if len(right) >= ahead:
+            yield xxhash.xxh3_64_intdigest(right[:ahead], seed=1) - (1 << 63)
+        if len(left) >= behind:
+            yield xxhash.xxh3_64_intdigest(left[-behind:] + right[:gram], seed=2) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, bytes], list] = {}
@@ -221,7 +249,7 @@ def _contexts(length: int, gram: int, every: bool = False):
                         if first is None:
                             if not every:
                                 seen[k] = [mark, p]
-                            rows.append((x["hash"], mark, p, p, left, right))
+                            rows += [(h, mark, p, p, left, right) for h in groups(x["hash"], x["hot"], left, right)]
                         elif len(left) + len(right) >= length:
                             # seen before in this task: both places repeat as far as the context goes
                             if first[0] is not None:
@@ -323,28 +351,6 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def _windows(length: int, gram: int):
-    """(window, mark, a) for all windows around hot anchors."""
-    side = length - gram
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for mark, t, found in zip(batch.column("mark").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
-                rows, done = [], set()
-                for p in (p for x in found for p in x["places"]):
-                    for a in range(max(0, p - side), min(p, len(t) - length) + 1):
-                        if a not in done:
-                            done.add(a)
-                            rows.append((xxhash.xxh3_64_intdigest(t[a : a + length]) - (1 << 63), mark, a))
-                    if len(rows) > 20_000:
-                        yield _batch(rows, "window bigint, mark binary, a int")
-                        rows = []
-                if rows:
-                    yield _batch(rows, "window bigint, mark binary, a int")
-
-    return run
-
-
 class _Plan:
     """The tables that the operators below are made of."""
 
@@ -358,37 +364,31 @@ class _Plan:
         self.copies = materialize(self.rows.groupBy("mark").agg(F.min("kid").alias("kid"), F.count("*").alias("copies")), "copies")
 
         found = marked.where(F.octet_length("text") >= length).select("mark", F.explode(_anchor_udf(length, gram)(F.col("text"))).alias("x"))
-        filed = found.select(F.col("x.hash").alias("hash"), "mark", F.col("x.places").alias("places")).repartition(n, "hash")
+        found = materialize(found.select(F.col("x.hash").alias("hash"), "mark", F.col("x.places").alias("places")), "places")
+        filed = found.repartition(n, "hash")
         often = filed.groupBy("hash").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.max(F.size("places")).alias("most"), F.count("*").alias("n"))
         often = often.where("lo < hi OR most > 1").select("hash", (F.col("n") > hot).alias("hot"))
         again = filed.join(often.hint("shuffle_hash"), "hash")
-        listed = again.groupBy("mark", "hot").agg(F.collect_set(F.struct("hash", "places")).alias("found"))
+        listed = again.groupBy("mark").agg(F.collect_set(F.struct("hash", "places", "hot")).alias("found"))
         self.listed = materialize(listed.join(self.copies.select("mark", "kid"), "mark"), "anchors")
+        release(found)
 
         # The only shuffle of whole texts, by identifier, as copies of one text may be many. What is joined with it
         # below is dealt alike and of one plan, so that it is written once.
         self.texts = marked.select("kid", "mark", "text").repartition(n, "kid", "mark")
-        warm = self._with_texts(self.listed.where("not hot"))
+        listed = self.listed.select("kid", "mark", "found").hint("shuffle_hash")
+        warm = self.texts.join(listed, ["kid", "mark"]).select("mark", "text", "found")
         self.contexts = warm.mapInArrow(_contexts(length, gram, every), _CONTEXT).repartition(n, "hash").sortWithinPartitions("hash")
-        self.windows = None
-        if self.listed.where("hot").limit(1).count():
-            self.windows = self._with_texts(self.listed.where("hot")).mapInArrow(_windows(length, gram), "window bigint, mark binary, a int").distinct()
-
-    def _with_texts(self, listed: DataFrame) -> DataFrame:
-        return self.texts.join(listed.select("kid", "mark", "found").hint("shuffle_hash"), ["kid", "mark"]).select("mark", "text", "found")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(repeat, length, doc_id, start): the maximal repeats around anchors with all occurrences in distinct texts.
 
-    A repeat that reaches beyond what is kept around an anchor appears as overlapping ones. For anchors with over
-    `hot` places, the repeats are their windows.
+    A repeat that reaches beyond what is kept around an anchor appears as overlapping ones, and in the groups of a hot
+    anchor one may appear with the occurrences of that group only.
     """
     p = _Plan(docs, key, text, length, gram, hot, every=True)
     out = p.contexts.mapInArrow(_repeater(length), _REPEATS)
-    if (w := p.windows) is not None:
-        often = w.groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-        out = out.unionByName(w.join(often, "window").select(F.hex("window").alias("repeat"), F.lit(length).alias("length"), "mark", F.col("a").alias("start")))
     names = p.rows.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
     return out.distinct().join(names, "mark").select("repeat", "length", "doc_id", "start")
 
@@ -428,9 +428,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     where anything was removed."""
     p = _Plan(docs, key, text, length, gram, hot)
     spans = p.contexts.mapInArrow(_spanner(length), _SPANS)
-    if (w := p.windows) is not None:
-        often = w.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-        spans = spans.unionByName(w.join(often, "window").select("mark", "a", (F.col("a") + length).alias("b")))
     by_text = spans.groupBy("mark").agg(F.collect_list(F.struct("a", "b")).alias("spans")).join(p.copies.where("copies = 1").select("mark", "kid"), "mark")
     cut = p.texts.join(by_text.hint("shuffle_hash"), ["kid", "mark"]).select("mark", "text", "spans").mapInArrow(_cutter(with_text), _CUT)
     cut = materialize(cut, "cut")
