@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,12 +20,19 @@ CHUNK_BYTES = 2 << 20
 BATCH_BYTES = 4 << 20
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only where everything runs in one process may it be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
+        base = _OWN[app]
     return base.rstrip("/")
 
 
@@ -56,7 +64,10 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """From now on batches to Python workers are bounded in bytes, so that long texts don't add up to large ones."""
+    """From now on batches to Python workers are bounded in bytes, so that long texts don't add up to large ones.
+
+    The setting stays, as plans read it when they run, which is after the operator has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -5,8 +5,8 @@ tells the longest run of words that ends there and occurs in an item. Runs of WI
 are whole items that are shorter. Words and word pairs that no item has end a run at once, so that only stretches of
 known pairs, which are found for a block of documents at a time, go through the automaton.
 
-The items are read in blocks of bounded size (BLOCK_BYTES of words), each block with an automaton of its own; what the
-blocks find in a document is then merged. One block, the usual case, needs no shuffle.
+The items are read in blocks of bounded size (BLOCK_BYTES of words), one after the other, each with an automaton of its
+own; what the blocks find in a document is written and then merged. One block, the usual case, needs no shuffle.
 
 Defined results: a null or empty text has no words, no hits and is clean; an item without words is no item; equal
 items count each under its own identifier; null item identifiers count as the empty string; an empty benchmark leaves
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bound_batches, chunks
+from .common import as_bytes, bound_batches, chunks, materialize
 
 WINDOW = 13
 #: A document is contaminated if hit words are this share of its words, as hit * SHARE >= words.
@@ -230,22 +230,40 @@ def _blocks(items: DataFrame, key: str, text: str, block_bytes: int) -> Iterator
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", found: str = "_found", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the struct column `found`: words, merged hit intervals (word positions, end exclusive) and item names.
 
-    With more than one block the documents' rows are told apart by a hash of the text, on which the blocks' results,
-    a few bytes each, are grouped and joined.
+    One block of items is held at a time. With more than one, the hits of each are written as a table, a row for each
+    distinct text that has any, by a hash of it; these are grouped and joined with the documents.
     """
     bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    held = [context.broadcast(b) for b in _blocks(items, item_key, item_text, block_bytes)]
-    if len(held) == 1:
-        return docs.withColumn(found, _finder(held[0])(F.col(text)))
-    mark = F.md5(F.coalesce(F.col(text), F.lit("")))
-    parts = [docs.select(mark.alias("_mark"), _finder(h)(F.col(text)).alias("f")) for h in held]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    by_mark = rows.groupBy("_mark").agg(F.max("f.n_words").alias("n"), F.flatten(F.collect_set("f.hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("f.items")))).alias("i"))
-    both = by_mark.select("_mark", F.struct(F.col("n").alias("n_words"), _merge_udf()(F.col("h")).alias("hits"), F.col("i").alias("items")).alias(found))
-    return docs.withColumn("_mark", mark).join(both, "_mark").drop("_mark")
+    blocks = _blocks(items, item_key, item_text, block_bytes)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return docs.withColumn(found, _finder(context.broadcast(block))(F.col(text)))
+    mark = F.md5(F.col(text))
+    hits = None
+    while block is not None:
+        held = context.broadcast(block)
+        part = docs.where(F.octet_length(text) > 0).select(mark.alias("mark"), _finder(held)(F.col(text)).alias("f"))
+        part = part.where(F.size("f.hits") > 0).groupBy("mark").agg(F.first("f").alias("f"))
+        part = materialize(part.select("mark", "f.hits", "f.items"), "hits")
+        held.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+        block, more = more, next(blocks, None)
+    by_mark = hits.groupBy("mark").agg(_merge_udf()(F.flatten(F.collect_list("hits"))).alias("_hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_hit_items"))
+    by_mark = materialize(by_mark, "hits").withColumnRenamed("mark", "_hit_mark")
+    # texts without words find nothing; each has a key of its own, so that they don't meet in one task
+    own = docs.withColumn("_mark", F.when(F.octet_length(text) > 0, mark).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id())))
+    both = own.join(by_mark, F.col("_mark") == F.col("_hit_mark"), "left")
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>"), F.array().cast("array<string>")
+    both = both.withColumn(found, F.struct(_count_udf()(F.col(text)).alias("n_words"), F.coalesce("_hit_spans", none[0]).alias("hits"), F.coalesce("_hit_items", none[1]).alias("items")))
+    return both.select(*docs.columns, found)
+
+
+def _count_udf():
+    def count(text: pa.Array) -> pa.Array:
+        return pa.array([len(words_of(t)) for t in as_bytes(text)], pa.int64())
+
+    return F.arrow_udf(count, "bigint")
 
 
 def _merge_udf():
@@ -313,9 +331,10 @@ def _cleaner(held, longest: int):
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", longest: int = MAX_SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents over the coverage limit go; from the others, hit spans of `longest` words or more are removed."""
     bound_batches(docs.sparkSession)
-    blocks = list(_blocks(items, "item_id", "text", block_bytes))
-    if len(blocks) == 1:
-        held = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    blocks = _blocks(items, "item_id", "text", block_bytes)
+    block = next(blocks)
+    if next(blocks, None) is None:
+        held = docs.sparkSession.sparkContext.broadcast(block)
         x = docs.withColumn("_clean", _cleaner(held, longest)(F.col(text)))
         return x.where(x["_clean"]["stays"]).withColumn(text, x["_clean"]["text"]).drop("_clean")
     x = find_hits(docs, items, text, block_bytes=block_bytes)

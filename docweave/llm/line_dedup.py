@@ -4,7 +4,7 @@ For each host, the pages that hold a line are divided by the host's pages. Lines
 least MIN_PAGES pages, are boilerplate of that host and are dropped from its texts.
 
 A host can have at most (lines of an average page) / RATIO boilerplate lines, so that they fit one array per host; the
-arrays are written and read back, and the planner broadcasts them only if the file is small.
+arrays are written and read back, and broadcast only if they are counted and few; else texts are joined by host and salt.
 
 Defined results: lines are told apart after trimming spaces, tabs and carriage returns, by a 64-bit hash within their
 host; blank lines are never dropped; a null text has no lines and stays null; an empty one stays empty; rows with a
@@ -21,6 +21,9 @@ from .common import materialize
 
 RATIO = 0.1
 MIN_PAGES = 3
+#: Hosts and boilerplate lines, a name or a long each, that may be broadcast; beyond, a join salted SALTS times.
+BROADCAST_MARKS = 200_000
+SALTS = 32
 
 
 def _mark(line: Column) -> Column:
@@ -49,7 +52,14 @@ def drop_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio:
     """docs with the text freed of its host's boilerplate and a column that counts the lines dropped."""
     marks = boilerplate(docs, text, host, ratio, min_pages).groupBy("host").agg(F.collect_set("mark").alias("_lines_bad"))
     bad = materialize(marks, "boilerplate").withColumnRenamed("host", "_lines_host")
-    x = docs.join(bad, docs[host].eqNullSafe(bad["_lines_host"]), "left").drop("_lines_host")
+    held = bad.agg(F.count("*") + F.coalesce(F.sum(F.size("_lines_bad")), F.lit(0))).first()[0]
+    if held <= BROADCAST_MARKS:
+        x = docs.join(F.broadcast(bad), docs[host].eqNullSafe(bad["_lines_host"]), "left").drop("_lines_host")
+    else:
+        # the texts of a host that has very many go to SALTS tasks
+        salted = docs.withColumn("_lines_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)))
+        bad = bad.withColumn("_lines_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        x = salted.join(bad, salted[host].eqNullSafe(bad["_lines_host"]) & (salted["_lines_salt"] == bad["_lines_of"]), "left").drop("_lines_host", "_lines_of", "_lines_salt")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda y: ~F.array_contains(F.col("_lines_bad"), _mark(y)) | (F.trim(y, F.lit(" \t\r")) == ""))
     x = x.withColumn("_lines_kept", F.when(F.col("_lines_bad").isNotNull(), kept))

@@ -262,7 +262,8 @@ def find(docs: DataFrame, text: str = "text", spans: str = "_spans", how: Disclo
     mark = F.md5(F.coalesce(F.col(text), F.lit("")))
     words = docs.select(mark.alias("mark"), F.col(text).alias("text")).mapInArrow(_words, "mark string, term string, start int, end int")
     found = words.join(terms.select("term", F.col("action").alias("kind")), "term").groupBy("mark").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_pii_more"))
-    x = docs.withColumn("_pii_mark", mark).join(found.withColumnRenamed("mark", "_pii_mark"), "_pii_mark", "left")
+    # empty texts have no terms; each has a key of its own, so that they don't meet in one task
+    x = docs.withColumn("_pii_mark", F.when(F.octet_length(text) > 0, mark).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id()))).join(found.withColumnRenamed("mark", "_pii_mark"), "_pii_mark", "left")
     both = F.concat(_finder()(F.col(text)), F.coalesce("_pii_more", F.array().cast(_SPANS)))
     ordered = F.array_sort(both, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(_rank(a) - _rank(b)))
     return x.withColumn(spans, ordered).drop("_pii_mark", "_pii_more")

@@ -31,9 +31,10 @@ def bits(key: Column) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, KEY_BITS // 4), 16, 2), KEY_BITS, "0")
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    place = bits(F.monotonically_increasing_id())
-    return docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), F.concat(bits(F.col(key)), place).alias("bits"))
+def _rows(docs: DataFrame, key: str, text: str, row: str | None) -> DataFrame:
+    at = F.col(row) if row else F.monotonically_increasing_id()
+    placed = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), at.alias("at"))
+    return placed.withColumn("bits", F.concat(bits(F.col("key")), bits(F.col("at"))))
 
 
 def _leaves(todo: DataFrame, known: int, depth: int, limit: int, final: bool) -> DataFrame:
@@ -46,9 +47,12 @@ def _leaves(todo: DataFrame, known: int, depth: int, limit: int, final: bool) ->
     return each.select("cell", "shard").join(fits, "shard").groupBy("cell").agg(F.min_by(F.struct("shard", "shard_bytes", "shard_rows"), F.length("shard")).alias("x")).select("cell", "x.*")
 
 
-def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
-    """(key, n_bytes, shard, depth, shard_bytes, oversized) for each row of docs; shard is the bucket's prefix of bits."""
-    todo = materialize(_rows(docs, key, text), "shard-rows")
+def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES, row: str | None = None) -> DataFrame:
+    """(key, n_bytes, shard, depth, shard_bytes, oversized) for each row of docs; shard is the bucket's prefix of bits.
+
+    row: a column of longs that tells rows of one key apart; the result has it too.
+    """
+    todo = materialize(_rows(docs, key, text, row), "shard-rows")
     total = todo.agg(F.sum("n_bytes")).first()[0] or 0
     known, done, used = 0, None, [todo]
     depth = min(MOST_FIRST_BITS, max(0, (total // limit).bit_length()) + SPARE_BITS)
@@ -63,7 +67,7 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         if final or rest.limit(1).count() == 0:
             break
         todo, known, depth = rest, depth + 1, min(depth + MORE_BITS, KEY_BITS + PLACE_BITS)
-    out = materialize(done.select(F.col("key").alias(key), "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized")), "shards")
+    out = materialize(done.select(F.col("key").alias(key), "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"), *([F.col("at").alias(row)] if row else [])), "shards")
     release(*used)
     return out
 
@@ -76,10 +80,15 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Parquet files under path/shard=<prefix>; each shard is within the limit, so that one task writes it. key: unique."""
-    shards = assign(docs, key, text, limit).select(F.col(key).alias("_key"), F.concat(F.lit("b"), F.col("shard")).alias("shard"))
-    x = docs.join(shards, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+    """Parquet files under path/shard=<prefix>; each shard is within the limit, so that one task writes it.
+
+    Rows are numbered in a work table, so that repeated rows and rows without a key are written once each.
+    """
+    held = materialize(docs.withColumn("_shard_row", F.monotonically_increasing_id()), "shard-docs")
+    shards = assign(held, key, text, limit, "_shard_row")
+    x = held.join(shards.select("_shard_row", F.concat(F.lit("b"), F.col("shard")).alias("shard")), "_shard_row").drop("_shard_row")
     x.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    release(held, shards)
 
 
 def op7(docs: DataFrame) -> DataFrame:

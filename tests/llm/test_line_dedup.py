@@ -17,7 +17,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rows = [(i, t, None if (i or 0) % 2 else "host b") for i, t in AWKWARD]
     for i in range(60):
         host = "host a" if i % 3 else "host b"
@@ -28,6 +28,8 @@ def test_against_brute_force(spark):
     got = sorted(((str(r["doc_id"]), r["text"], r["_lines_dropped"]) for r in ld.drop_lines(docs).collect()), key=str)
     assert got == brute(rows)
     assert sum(r[2] for r in got) > 60
+    monkeypatch.setattr(ld, "BROADCAST_MARKS", 0)
+    assert sorted(((str(r["doc_id"]), r["text"], r["_lines_dropped"]) for r in ld.drop_lines(docs).collect()), key=str) == got
 
 
 def test_empty_clashing_and_native(spark):

@@ -53,3 +53,10 @@ def test_empty_and_clashing(spark):
     docs = documents(spark, AWKWARD)
     assert s.op7(docs.limit(0)).count() == 0
     assert s.op7(docs.selectExpr("*", "1 as shard", "2 as bits", "3 as cell", "4 as key")).count() == len(AWKWARD)
+
+
+def test_write_keeps_repeated_rows_and_long_texts(spark, tmp_path):
+    docs = documents(spark, [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (2, "x" * 300_000), (2, "x" * 300_000), (3, None)])
+    s.write(docs, f"file://{tmp_path}/out", limit=1000)
+    back = spark.read.parquet(f"file://{tmp_path}/out").drop("shard")
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
