@@ -66,3 +66,13 @@ def test_empty_table(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = documents(spark, AWKWARD + [(50, " ".join(words(1, 200, 10**6)))]).selectExpr("*", "1 as node", "2 as found", "'x' as _clean", "'y' as rid", "3 as bits", "'z' as mark")
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, odd, str(tmp_path)).columns == list(cp.COLUMNS), name
+        assert stage(spark, odd, str(tmp_path)).where("doc_id = 50").count() == 1, name
+    for name, stage in cp.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0, name
