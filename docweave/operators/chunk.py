@@ -6,6 +6,7 @@ as an array; everything around it is a column expression. Defined results: null
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -15,18 +16,20 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 # The patterns by which headings, clauses and footnotes are known, and the size splitter's separators.
-ARTICLE = re.compile(r"(?im)^\s*(?:article|art\.)\s+(\d+[a-z]?)(?:[.:\s—–-]*\n*\s*((?-i:[A-Z])[^\n]{2,80}))?")
+ARTICLE = re.compile(r"(?im)^(?:\s*(?:ARTICLE|Article|Art\.)\s+(\d+[A-Za-z]?)(?:[\.\:\s—–\-]*\n*\s*([A-Z][^\n]{2,80}))?)")
+TREATY = re.compile(r"(?im)^\s*(?:ARTICLE|Article)\s+\d+")
 SECTION = re.compile(
     r"(?m)(?:^|\n\s*)((?:Section|Sec\.)\s+\d+[A-Za-z]?(?:[.:—–-]+|\s+[A-Z][^\n]{2,80})"
     r"|(?:Rule|Regulation|Reg\.)\s+\d+[A-Za-z]?(?:[.:—–-]+|\s+[A-Z][^\n]{2,80}|\b)"
     r"|\b\d+[A-Za-z]?\.\s+[A-Z][^\n]{2,80})"
 )
 SUBCLAUSE = re.compile(r'(?im)(?:^|\n\s*)(\([a-z0-9]{1,3}\))\s*(?:["“]([^"”\n]+)["”])?')
-HEADING = re.compile(r"(Section|Sec\.|Rule|Regulation|Reg\.)?\s*(\d+[A-Za-z]?)(?:[.:—–\s-]+([^—–(\n]+))?")
+HEADING = re.compile(r"^((?:Section|Sec\.|Rule|Regulation|Reg\.)\s+\d+[A-Za-z]?|\d+[A-Za-z]?)(?:[\.\:\—–\-\s]+([^—–\(\n]+))?")
 FOOTNOTES = [re.compile(p) for p in (r"\b\d+\[", r"(?m)^\s*\d+\[", r"\[\s*\d+\s*\]", r"(?m)^\s*\d+\.\s+(?:Subs\.|Ins\.|Omitted|Added)\s+by\s+.*$")]
 BODY = re.compile(r"(?im)(?:^|\n\s*)(?:CHAPTER\s+I\b|PRELIMINARY\b|(?:Section\s+1|1)\.\s+Short\s+title)")
 PREAMBLE = "Preamble / Preliminary"
-SEPARATORS = ("\n\n", "\n", "; ", ". ", " ")
+CLAUSE_PREAMBLE = "(Preamble/Definitions)"
+SEPARATORS = ("\n\n", "\n", "; ", ". ", " ", "")
 SIZE, OVERLAP = 1400, 150
 _TRAIL = ".:—– "
 
@@ -34,34 +37,36 @@ Chunk = tuple[str, str]
 
 
 def by_size(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Greedy pieces of at most size characters: cut at the coarsest separator that the text has, and within parts that
-    are still too long at finer ones; a piece begins with up to overlap characters of whole parts of the one before."""
-    if len(text) <= size:
-        return [text.strip()] if text.strip() else []
-    at = next((i for i, s in enumerate(separators) if s in text), None)
-    if at is None:
-        return [text[i : i + size] for i in range(0, len(text), size - overlap)]
+    """Stripped pieces of at most size characters where the separators allow it.
+
+    The text is cut before each place of the first separator that it has, the empty one cutting everywhere. Parts of size
+    characters or more are cut on by the separators after that; neighbours that are shorter are packed.
+    """
+    at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
     sep, finer = separators[at], separators[at + 1 :]
+    places = [0, *(m.start() for m in re.finditer(re.escape(sep), text)), len(text)] if sep else range(len(text) + 1)
+    parts = [text[a:b] for a, b in itertools.pairwise(places) if a < b]
     out: list[str] = []
-    held: list[str] = []
+    for short, run in itertools.groupby(parts, lambda p: len(p) < size):
+        if short:
+            out += _packed(list(run), size, overlap)
+        else:
+            out += itertools.chain.from_iterable(by_size(p, size, overlap, finer) if finer else [p] for p in run)
+    return out
 
-    def flush() -> None:
-        if piece := sep.join(held).strip():
-            out.append(piece)
 
-    for part in text.split(sep):
-        if len(part) > size:
-            flush()
-            held = []
-            out += by_size(part, size, overlap, finer)
-            continue
-        if held and len(sep.join(held)) + len(sep) + len(part) > size:
-            flush()
-            while held and (len(sep.join(held)) > overlap or len(sep.join(held)) + len(sep) + len(part) > size):
-                held.pop(0)
-        held.append(part)
-    flush()
-    return out
+def _packed(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Windows over parts: each as long as fits, and beginning with the last parts of the one before, of at most overlap
+    characters, that leave room for the next part."""
+    ends = list(itertools.accumulate(map(len, parts), initial=0))
+    first, out = 0, []
+    for last in range(len(parts)):
+        if ends[last + 1] - ends[first] > size and first < last:
+            out.append("".join(parts[first:last]).strip())
+            while first < last and (ends[last] - ends[first] > overlap or ends[last + 1] - ends[first] > size):
+                first += 1
+    out.append("".join(parts[first:]).strip())
+    return [p for p in out if p]
 
 
 def _spans(text: str, marks: list[re.Match], least: int = 50) -> list[tuple[re.Match | None, str]]:
@@ -126,7 +131,9 @@ def sections(text: str, strategy: str = "section") -> list[Chunk]:
         marker = re.sub(r"[\[\]]", "", m[1].strip().rstrip(_TRAIL)).strip()
         h = HEADING.match(marker)
         if h:
-            word, number, title = h[1], h[2], (h[3] or "").strip().rstrip(_TRAIL)
+            *word, number = h[1].split()
+            title = (h[2] or "").strip().rstrip(_TRAIL)
+            word = word[0] if word else None
             if word is None:
                 word = "Rule" if rules or int(re.match(r"\d+", number)[0]) >= 100 and "Rules" in whole[:400] else "Section"
             word = {"Sec.": "Section", "Reg.": "Regulation"}.get(word, word)
@@ -154,7 +161,7 @@ def subclauses(section: str, text: str, least: int = 60) -> list[Chunk] | None:
         if len(body) < least:
             continue
         if m is None:
-            out.append((f"{parent} (Preamble/Definitions)", body))
+            out.append((f"{parent} {CLAUSE_PREAMBLE}", body))
             continue
         letter = m[1].strip("()")
         name = f"{parent}(1)({letter})" + (f' "{m[2]}"' if m[2] else "") if defines else f"{parent}({letter})"
@@ -167,7 +174,7 @@ def chunk(text: str | None, strategy: str | None = "section", most: int = 5000,
     if not text or not text.strip():
         return []
     strategy = strategy or "section"
-    treaty = strategy.lower() in ("article", "treaty") or re.search(r"(?m)^\s*(?:ARTICLE|Article|article)\s+\d+", text)
+    treaty = strategy.lower() in ("article", "treaty") or TREATY.search(text)
     found = articles(text) if treaty else sections(text, strategy)
     if not found:
         return [(f"General (Part {i})", p) for i, p in enumerate(by_size(text), 1) if len(p) >= least]
@@ -176,7 +183,8 @@ def chunk(text: str | None, strategy: str | None = "section", most: int = 5000,
         clauses = subclauses(section, body, least)
         if clauses is not None:
             for name, piece in clauses:
-                out += [(f"{name} (Part {i})", p) for i, p in enumerate(by_size(piece), 1)] if len(piece) > most else [(name, piece)]
+                parted = len(piece) > most and not name.endswith(CLAUSE_PREAMBLE)
+                out += [(f"{name} (Part {i})", p) for i, p in enumerate(by_size(piece), 1)] if parted else [(name, piece)]
             continue
         parts = by_size(body) if len(body) > most else [body]
         for i, p in enumerate(parts, 1):

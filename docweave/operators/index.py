@@ -28,16 +28,21 @@ def tokens(docs: DataFrame, id: str, jurisdiction: str, text: str, tokenizer=wor
 
 
 def term_frequencies(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Counts of each document's terms; with `terms`, only of those, which are then all that is shuffled."""
-    x = tokens.select("jurisdiction", "id", "length", F.explode("tokens").alias("term"))
-    if terms is not None:
-        x = x.join(terms, "term", "left_semi")
-    return x.groupBy("jurisdiction", "id", "length", "term").agg(F.count("*").alias("tf")).select("jurisdiction", "id", "term", "tf", "length")
+    """Counts of each document's terms; with `terms`, only of those.
+
+    A document is one row, so that its terms are counted within it and nothing is shuffled: in the sorted array each
+    run of equal tokens begins where the one before ends.
+    """
+    x = tokens.select("jurisdiction", "id", "length", F.array_sort("tokens").alias("s")).where("length > 0")
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    x = x.withColumn("at", starts).withColumn("to", F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("s"))))
+    runs = F.zip_with("at", "to", lambda a, b: F.struct(F.get("s", a).alias("term"), (b - a).cast("bigint").alias("tf")))
+    x = x.select("jurisdiction", "id", "length", F.explode(runs).alias("r")).select("jurisdiction", "id", F.col("r")["term"].alias("term"), F.col("r")["tf"].alias("tf"), "length")
+    return x if terms is None else x.join(terms, "term", "left_semi").select("jurisdiction", "id", "term", "tf", "length")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
-    # counting by tf keeps the plan of tf whole, so that its shuffle is written once where both are used
-    return tf.groupBy("jurisdiction", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return tf.groupBy("jurisdiction", "term").agg(F.count("*").alias("df"))
 
 
 def statistics(tokens: DataFrame) -> DataFrame:
@@ -51,15 +56,21 @@ def build(docs: DataFrame, id: str, jurisdiction: str, text: str, terms: DataFra
     return Index(tf, document_frequencies(tf), statistics(t))
 
 
-def save(index: Index, path: str) -> None:
-    """Writes the index; the postings are laid out by partition and sorted by term, so that a query reads few row groups."""
+def save(index: Index, path: str) -> Index:
+    """Writes the index and reads it back; the postings are laid out by partition and sorted by term, so that a query reads
+    few row groups. Document frequencies are counted from the postings as written; the statistics, written last, say
+    that the index is whole."""
+    spark = index.tf.sparkSession
     index.tf.repartition("jurisdiction", "term").sortWithinPartitions("jurisdiction", "term").write.mode("overwrite").partitionBy("jurisdiction").parquet(f"{path}/tf")
-    index.df.write.mode("overwrite").partitionBy("jurisdiction").parquet(f"{path}/df")
+    document_frequencies(spark.read.schema(index.tf.schema).parquet(f"{path}/tf")).write.mode("overwrite").partitionBy("jurisdiction").parquet(f"{path}/df")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    return load(spark, path, index)
 
 
-def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("tf", "df", "stats")))
+def load(spark: SparkSession, path: str, like: Index | None = None) -> Index:
+    """The index at path; like: one of the same types, so that no file has to be opened for them."""
+    read = lambda t: spark.read if like is None else spark.read.schema(getattr(like, t).schema)
+    return Index(*(read(t).parquet(f"{path}/{t}") for t in ("tf", "df", "stats")))
 
 
 def idf(n: Column, df: Column, least: float = 0.001) -> Column:

@@ -6,6 +6,11 @@ order of float sums. Inputs of all functions may hold many queries; `query_id` i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +38,7 @@ def bm25(index: Index, terms: DataFrame, k: int = 20, k1: float = K1, b: float =
     Statistics are a row per partition, and the query's terms are few by nature; the planner broadcasts either if small.
     """
     hits = index.tf.join(terms, "term").where(F.col("q_jurisdiction").isNull() | (F.col("q_jurisdiction") == F.col("jurisdiction")))
-    x = hits.join(index.df, ["jurisdiction", "term"]).join(index.stats, "jurisdiction")
+    x = hits.join(index.df.join(terms.select("term"), "term", "left_semi"), ["jurisdiction", "term"]).join(index.stats, "jurisdiction")
     norm = F.when(F.col("avg_length") > 0, F.col("length") / F.col("avg_length")).otherwise(0.0)
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * norm))
     scored = x.groupBy("query_id", "jurisdiction", "id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -51,26 +56,71 @@ def merge_two(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select(*by, "id", "score", "rank").unionByName(new)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def dense(points: DataFrame, queries: DataFrame, k: int = 30, where: Column | None = None) -> DataFrame:
+def dense(points: DataFrame, queries: DataFrame, k: int = 30, where: Column | None = None, within: str | None = None) -> DataFrame:
     """(query_id, id, score, rank) by cosine of unit vectors, exactly. queries(query_id, vector).
 
-    A filter comes before the ranking, so that it does not shrink the list.
+    A filter comes before the ranking, so that it does not shrink the list; within: a column of both that has to be
+    equal. Questions go to the points in blocks of QUERY_BLOCK; each batch of points gives, as one matrix product, the
+    scores of a block, and only those go on that are among the k best of the task so far. Points and questions without a
+    vector are left out.
     """
     p = points if where is None else points.where(where)
-    q = queries.select("query_id", "vector")
-    if q.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        q = F.broadcast(q)
-    pairs = p.select("id", "embedding").crossJoin(q)
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("vector")), 9).alias("score"))
+    of = F.col(within).cast("string") if within else F.lit("")
+    p = p.where("embedding is not null").select("id", "embedding", of.alias("part"))
+    q = queries.where("vector is not null").select("query_id", "vector", of.alias("part"))
+    blocks = -(-q.count() // QUERY_BLOCK) or 1
+    context, scored = p.sparkSession.sparkContext, None
+    types = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, score double"
+    for n in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        rows = block.toArrow()
+        found = p.mapInArrow(_nearest(context.broadcast(rows), k), types)
+        scored = found if scored is None else scored.unionByName(found)
     return top(scored, k, "score", "rank", "query_id")
 
 
-#: So many query vectors are sent to every executor at most; beyond that the planner pairs blocks.
-MOST_BROADCAST = 4096
+#: So many question vectors, a few kilobytes each, are on the driver and sent to the executors at once.
+QUERY_BLOCK = 4096
+#: Questions whose scores for one batch of points are in memory at once.
+_SLICE = 256
+
+
+def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the given width as rows, and which they are."""
+    fits = np.flatnonzero(pc.equal(pc.list_value_length(vectors), width).to_numpy(zero_copy_only=False))
+    return vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width), fits
+
+
+def _nearest(held, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value.combine_chunks()
+        widths = pc.unique(pc.list_value_length(asked["vector"])).to_pylist() if len(asked) else []
+        blocks = []
+        for w in widths:
+            m, at = _matrix(asked["vector"].combine_chunks(), w)
+            parts = np.array(asked["part"].to_pylist(), object)[at]
+            blocks += [(w, m[i : i + _SLICE], parts[i : i + _SLICE], at[i : i + _SLICE], np.full((k, len(m[i : i + _SLICE])), -np.inf)) for i in range(0, len(m), _SLICE)]
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            for w, m, parts, at, best in blocks:
+                x, rows = _matrix(batch.column("embedding"), w)
+                if not len(x):
+                    continue
+                scores = np.nan_to_num(np.round(x @ m.T, 9), nan=-np.inf)
+                here = np.array(batch.column("part").to_pylist(), object)[rows]
+                scores[here[:, None] != parts[None, :]] = -np.inf
+                both = np.concatenate([best, scores])
+                best[:] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
+                point, query = np.nonzero((scores >= best.min(axis=0)) & (scores > -np.inf))
+                if len(point):
+                    values = scores[point, query]
+                    # of many points with a question's k-th score, the first k of the batch are enough
+                    order = np.lexsort((point, -values, query))
+                    nth = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+                    order = order[nth < k]
+                    yield pa.RecordBatch.from_arrays([asked["query_id"].combine_chunks().take(pa.array(at[query[order]])), batch.column("id").take(pa.array(rows[point[order]])), pa.array(values[order])], ["query_id", "id", "score"])
+
+    return run
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 25, rrf_k: int = RRF_K) -> DataFrame:

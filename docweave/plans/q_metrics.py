@@ -2,69 +2,73 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import index as ix
 from ..operators import metrics as mt
 from ..operators import rank as rk
 from ..operators import rules as rl
-from .q_rank import STATS, TOKENS, bm25_sql, docs, words_sql
+from .q_rank import STATS, TOKENS, bm25_sql, docs, points, stored_index, words_sql
 from .tables import sql_values, table, values
 
 POOL = 20
+DENSE = 30
 KS = (1, 5, 10, 20)
 
 
-def questions(spark, sf_dir, whole=False):
-    """Items as questions: the first 120 characters, as the SQL has them, or whole ones."""
-    query = F.col("text") if whole else F.substring("text", 1, 120)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"), F.lit("en").alias("jurisdiction"), (F.col("item_id") % 2 == 0).alias("exact"), F.concat(F.lit("domain "), F.col("item_id") % 5).alias("domain"))
+def questions(spark, sf_dir):
+    """Benchmark items, whole, as questions."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("en").alias("jurisdiction"), (F.col("item_id") % 2 == 0).alias("exact"), F.concat(F.lit("domain "), F.col("item_id") % 5).alias("domain"))
 
 
-def pool(spark, sf_dir, whole=False):
+def pool(spark, sf_dir):
     """The candidate pool of every question: BM25 over English documents."""
-    terms = rk.query_terms(questions(spark, sf_dir, whole))
-    return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, POOL)
+    return rk.bm25(stored_index(spark, sf_dir), rk.query_terms(questions(spark, sf_dir)), POOL)
 
 
-#: Candidates that may be broadcast to their texts; counted, and beyond it joined by a shuffle.
+#: Candidates that may be broadcast to their texts; bounded by the number of questions, and beyond it joined by a shuffle.
 MOST_CANDIDATES = 100_000
 
 
-def with_rows(candidates, rows):
-    c = candidates.cache()
-    return rows.join(F.broadcast(c) if c.limit(MOST_CANDIDATES + 1).count() <= MOST_CANDIDATES else c, "id")
+def candidates(spark, sf_dir, n, rows):
+    """The n best documents of each question with their rows."""
+    c = pool(spark, sf_dir).where(F.col("rank") <= n)
+    few = table(spark, sf_dir, "benchmark").count() * n <= MOST_CANDIDATES
+    return rows.join(F.broadcast(c) if few else c, "id")
 
 
-def judged(spark, sf_dir, whole=False):
+def judged(spark, sf_dir):
     """Questions with the rank of the first document of quality 1 in their pool."""
     gold = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit(True).alias("gold"))
-    x = pool(spark, sf_dir, whole).join(gold, "id", "left")
-    return mt.evaluated(questions(spark, sf_dir, whole), mt.first_gold(x, F.col("gold")), KS)
+    x = pool(spark, sf_dir).join(gold, "id", "left")
+    return mt.evaluated(questions(spark, sf_dir), mt.first_gold(x, F.col("gold")), KS)
 
 
-def eval_metrics(spark, sf_dir, whole=False):
-    return judged(spark, sf_dir, whole).groupBy("exact").agg(*mt.rates(KS))
+def eval_metrics(spark, sf_dir):
+    return judged(spark, sf_dir).groupBy("exact").agg(*mt.rates(KS))
 
 
-def eval_by_domain(spark, sf_dir, whole=False):
-    return judged(spark, sf_dir, whole).groupBy("domain").agg(*mt.rates(KS))
+def eval_by_domain(spark, sf_dir):
+    return judged(spark, sf_dir).groupBy("domain").agg(*mt.rates(KS))
 
 
-def modes(spark, sf_dir, whole=False):
-    """Failure modes; the rank in the pool stands for the sparse list, and an even question's dense list has it too."""
-    x = judged(spark, sf_dir, whole)
-    dense = F.when((F.col("query_id") % 3 != 0), F.col("gold_rank"))
-    sparse = F.when(F.col("gold_rank") <= 10, F.col("gold_rank"))
-    mode = mt.failure_mode(F.col("exact"), dense, sparse, F.coalesce(F.col("gold_rank") <= 8, F.lit(False)), F.col("hit1"), F.lit(True))
-    return x.withColumn("mode", mode)
+def modes(spark, sf_dir):
+    """Failure modes from three lists: dense neighbours of the vector with the question's number, the pool, and both fused."""
+    vectors = points(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")).join(questions(spark, sf_dir).select("query_id"), "query_id", "left_semi")
+    sparse = pool(spark, sf_dir)
+    near = rk.dense(points(spark, sf_dir), vectors, DENSE)
+    gold = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    best = lambda x, rank: x.join(gold, "id", "left_semi").groupBy("query_id").agg(F.min(rank).alias(rank))
+    lists = [best(near.withColumnRenamed("rank", "dense"), "dense"), best(sparse.withColumnRenamed("rank", "sparse"), "sparse"), best(rk.fuse(near, sparse).withColumnRenamed("rrf_rank", "fused"), "fused")]
+    x = questions(spark, sf_dir).select("query_id", "exact")
+    for one in lists:
+        x = x.join(one, "query_id", "left")
+    top = F.coalesce(F.col("sparse") <= 1, F.lit(False))
+    return x.withColumn("mode", mt.failure_mode(F.col("exact"), F.col("dense"), F.col("sparse"), F.coalesce(F.col("fused") <= 8, F.lit(False)), top, F.lit(True)))
 
 
-def failure_modes(spark, sf_dir, whole=False):
-    return mt.histogram(modes(spark, sf_dir, whole), "mode")
+def failure_modes(spark, sf_dir):
+    return mt.histogram(modes(spark, sf_dir), "mode")
 
 
 MODES = [(e, d, s, f, t, c) for e in (True, False) for d in (1, None) for s in (1, None) for f in (True, False) for t in (True, False) for c in (True, False)]
@@ -82,56 +86,58 @@ def abstention(spark, sf_dir):
     """Questions with nothing found at all, and those whose best score is under the threshold of confidence."""
     q = values(spark, [(i, t, None) for i, t in QUESTIONS], "query_id int, query string, jurisdiction string")
     terms = rk.query_terms(q)
-    hits = rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, 5)
+    hits = rk.bm25(stored_index(spark, sf_dir), terms, 5)
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
     x = q.join(best, "query_id", "left")
     return x.select("query_id", F.col("best").isNull().alias("abstained"), rl.confidence(F.col("best")).alias("unsure"), F.round("best", 6).alias("best"))
 
 
-def chunks(spark, sf_dir, whole=False):
-    """The best documents of each question as an ordered array of chunks; their texts are cut unless whole."""
-    text = F.col("text") if whole else F.substring("text", 1, 400)
+def chunks(spark, sf_dir):
+    """The best documents of each question as an ordered array of chunks."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "text")
-    x = with_rows(pool(spark, sf_dir, whole).where("rank <= 5"), d)
-    one = F.struct("rank", F.col("source").alias("title"), F.concat(F.lit("Section "), F.col("id")).alias("section"), text.alias("text"), "score")
+    x = candidates(spark, sf_dir, 5, d)
+    one = F.struct("rank", F.col("source").alias("title"), F.concat(F.lit("Section "), F.col("id")).alias("section"), "text", "score")
     return x.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("chunks"))
 
 
-def context_assembly(spark, sf_dir, whole=False):
-    c = chunks(spark, sf_dir, whole).select("query_id", rl.context_block(F.col("chunks")).alias("context"))
+def context_assembly(spark, sf_dir):
+    c = chunks(spark, sf_dir).select("query_id", rl.context_block(F.col("chunks")).alias("context"))
     return c.select("query_id", F.length("context").cast("bigint").alias("n_chars"), F.md5("context").alias("digest"))
 
 
-def template_answer(spark, sf_dir, whole=False):
-    return chunks(spark, sf_dir, whole).select("query_id", rl.template_answer(F.col("chunks")).alias("answer"))
+def template_answer(spark, sf_dir):
+    return chunks(spark, sf_dir).select("query_id", rl.template_answer(F.col("chunks")).alias("answer"))
 
 
-def ranked_tiers(spark, sf_dir, whole=False):
+def ranked_tiers(spark, sf_dir):
     """The first six candidates with score, clipped percentage, tier, use and snippet."""
     d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    x = with_rows(pool(spark, sf_dir, whole).where("rank <= 6"), d).withColumn("score", F.round(F.col("score") / 40, 6))
+    x = candidates(spark, sf_dir, 6, d).withColumn("score", F.round(F.col("score") / 40, 6))
     s = F.col("score")
     return x.select("query_id", "id", "rank", "score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), s * 100)), 6).alias("percentage"), rl.relevance_tier(s).alias("tier"), (F.col("rank") <= 4).alias("used"), tx.truncated(F.col("text"), 180, 180).alias("snippet"))
 
 
 _NAMES = "eval_metrics eval_by_domain failure_modes failure_table abstention context_assembly template_answer ranked_tiers".split()
-#: These have a query on whole items and texts too, as the SQL of the others is given with its cuts.
-WHOLE = "eval_metrics eval_by_domain failure_modes context_assembly template_answer ranked_tiers".split()
-QUERIES = {n: globals()[n] for n in _NAMES} | {f"{n}_whole": partial(globals()[n], whole=True) for n in WHOLE}
+QUERIES = {n: globals()[n] for n in _NAMES}
 
-_TERMS = f"SELECT item_id AS query_id, unnest({words_sql('left(text, 120)')}) AS term FROM benchmark"
+_TERMS = f"SELECT item_id AS query_id, unnest({words_sql('text')}) AS term FROM benchmark"
 _POOL = f"WITH {TOKENS}, {STATS}, {bm25_sql(_TERMS, POOL, 'all_hits')}, pool AS (SELECT * FROM all_hits WHERE jurisdiction = 'en')"
 _JUDGED = f"""{_POOL}, gold AS (SELECT query_id, min(rank) AS gold_rank FROM pool JOIN labels ON id = doc_id WHERE quality = 1 GROUP BY 1),
 judged AS (SELECT item_id AS query_id, item_id % 2 = 0 AS exact, 'domain ' || (item_id % 5) AS domain, gold_rank, coalesce(1.0 / gold_rank, 0) AS rr FROM benchmark LEFT JOIN gold ON query_id = item_id)"""
 _RATES = "count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN gold_rank <= {k} THEN 1.0 ELSE 0 END), 6) AS recall{k}" for k in KS) + ", round(avg(rr), 6) AS mrr"
 _MODE = """CASE WHEN in_top THEN 'NONE' WHEN dense IS NULL AND sparse IS NULL AND exact THEN 'A. Chunking problem' WHEN dense IS NULL AND sparse IS NULL THEN 'G. Query expansion problem' WHEN dense IS NULL THEN 'C. Dense retrieval problem'
     WHEN sparse IS NULL THEN 'D. BM25 problem' WHEN fused THEN 'F. CrossEncoder reranking problem' ELSE 'E. RRF fusion problem' END"""
-_CHUNKS = f"{_POOL}, c AS (SELECT query_id, rank, source AS title, 'Section ' || id AS section, left(text, 400) AS text FROM pool JOIN documents ON doc_id = id WHERE rank <= 5)"
+_CHUNKS = f"{_POOL}, c AS (SELECT query_id, rank, source AS title, 'Section ' || id AS section, text FROM pool JOIN documents ON doc_id = id WHERE rank <= 5)"
 _CITE = "'[' || title || '] ' || section"
 ORACLE = {
     "eval_metrics": f"{_JUDGED} SELECT exact, {_RATES} FROM judged GROUP BY 1",
     "eval_by_domain": f"{_JUDGED} SELECT domain, {_RATES} FROM judged GROUP BY 1",
-    "failure_modes": f"""{_JUDGED}, m AS (SELECT {_MODE} AS mode FROM (SELECT *, CASE WHEN query_id % 3 <> 0 THEN gold_rank END AS dense, CASE WHEN gold_rank <= 10 THEN gold_rank END AS sparse, coalesce(gold_rank <= 8, false) AS fused, coalesce(gold_rank <= 1, false) AS in_top FROM judged))
+    "failure_modes": f"""{_POOL}, q AS (SELECT item_id AS query_id, item_id % 2 = 0 AS exact FROM benchmark), gold AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1),
+        near AS (SELECT * FROM (SELECT query_id, p.vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, p.vec_id) AS rank FROM q JOIN embeddings v ON v.vec_id = query_id, embeddings p) WHERE rank <= {DENSE}),
+        both_arms AS (SELECT coalesce(n.query_id, s.query_id) AS query_id, coalesce(n.id, s.id) AS id, n.rank AS dense_rank, s.rank AS bm25_rank, round(coalesce(1.0 / (60 + n.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) AS rrf FROM near n FULL JOIN pool s ON n.id = s.id AND n.query_id = s.query_id),
+        fused_list AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST, id) AS rank FROM both_arms),
+        d AS (SELECT query_id, min(rank) AS dense FROM near JOIN gold USING (id) GROUP BY 1), s AS (SELECT query_id, min(rank) AS sparse FROM pool JOIN gold USING (id) GROUP BY 1), f AS (SELECT query_id, min(rank) AS fr FROM fused_list JOIN gold USING (id) WHERE rank <= 25 GROUP BY 1),
+        m AS (SELECT {_MODE} AS mode FROM (SELECT *, coalesce(fr <= 8, false) AS fused, coalesce(sparse <= 1, false) AS in_top FROM q LEFT JOIN d USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN f USING (query_id)))
         SELECT mode, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percentage FROM m GROUP BY 1""",
     "failure_table": f"SELECT *, {_MODE} AS mode FROM {sql_values(MODES, 'm', 'exact, dense, sparse, fused, in_top, cited')}",
     "abstention": f"WITH {TOKENS}, {STATS}, q AS (SELECT * FROM {sql_values(QUESTIONS, 'q', 'query_id, query')}), {bm25_sql('SELECT query_id, unnest(' + words_sql('query') + ') AS term FROM q', 5)}, b AS (SELECT query_id, max(score) AS best FROM hits GROUP BY 1) SELECT query_id, best IS NULL AS abstained, best IS NULL OR best < 0.3 AS unsure, round(best, 6) AS best FROM q LEFT JOIN b USING (query_id)",

@@ -6,27 +6,24 @@ doc_id and vec_id name the same thing in the hybrid queries is a convention of o
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions.text import legal_tokens, rerank_text, sigmoid, statutory_tokens, uuid5, DNS, words
+from ..functions.text import legal_tokens, rerank_text, searchable, sigmoid, statutory_tokens, uuid5, DNS, words
 from ..operators import index as ix
 from ..operators import rank as rk
-from .tables import literal, table, values
+from .tables import exists, literal, shared_dir, table, values, version
 
 QUERY = "the heing tioned para que elle der lich idiot moron"
 EXPANDED = QUERY + " worthless pathetic stupid license"
 LETTERS = "a b c d e f g h i j k l m n o p".split()
-#: Passages of the text that are used as questions in the batch queries.
-QUERY_CHARS = 120
 
 
 def words_sql(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(regexp_replace(lower({text}), '[^\p{{L}}\p{{N}}_\s()]', ' ', 'g'), '\s+'), lambda w: length(w) >= 2 OR list_contains({literal(LETTERS)}, w))"
 
 
-TOKENS = f"tok AS (SELECT lower(lang) AS jurisdiction, doc_id AS id, {words_sql('text')} AS tokens FROM documents), len AS (SELECT *, len(tokens) AS length FROM tok)"
+BODY_SQL = "(coalesce(source, '') || ' ' || coalesce(lang, '') || '  ' || coalesce(text, ''))"
+TOKENS = f"tok AS (SELECT lower(lang) AS jurisdiction, doc_id AS id, {words_sql(BODY_SQL)} AS tokens FROM documents), len AS (SELECT *, len(tokens) AS length FROM tok)"
 STATS = "stats AS (SELECT jurisdiction, count(*) AS n, avg(length) AS avg_length FROM len GROUP BY jurisdiction)"
 
 
@@ -61,10 +58,24 @@ def queries(spark, *texts, jurisdiction=None):
     return values(spark, [(i, t, jurisdiction) for i, t in enumerate(texts, 1)], "query_id int, query string, jurisdiction string")
 
 
+def bodies(spark, sf_dir):
+    """Documents with what is searched: title, prefix, section and text; documents have no sections."""
+    return docs(spark, sf_dir).select("doc_id", "lang", searchable(F.col("source"), F.col("lang"), F.lit(None), F.col("text")).alias("body"))
+
+
+def stored_index(spark, sf_dir) -> ix.Index:
+    """The index of these documents from the shared folder, where the first query over them writes it.
+
+    It is named by the documents' files, so that other or changed ones have one of their own.
+    """
+    path = f"{shared_dir(spark)}/docweave-index/{version(spark, f'{sf_dir}/documents.parquet')}"
+    made = ix.build(bodies(spark, sf_dir), "doc_id", "lang", "body")
+    return ix.load(spark, path, made) if exists(spark, f"{path}/stats/_SUCCESS") else ix.save(made, path)
+
+
 def search(spark, sf_dir, query=QUERY, k=20, jurisdiction=None):
-    """BM25 of one literal query; only its own terms are counted."""
-    terms = rk.query_terms(queries(spark, query, jurisdiction=jurisdiction))
-    return rk.bm25(ix.build(docs(spark, sf_dir), "doc_id", "lang", "text", terms.select("term")), terms, k)
+    """BM25 of one literal query over the stored index."""
+    return rk.bm25(stored_index(spark, sf_dir), rk.query_terms(queries(spark, query, jurisdiction=jurisdiction)), k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -72,18 +83,17 @@ def bm25_topk(spark, sf_dir):
 
 
 def bm25_tf(spark, sf_dir):
-    t = ix.tokens(docs(spark, sf_dir), "doc_id", "lang", "text")
+    t = ix.tokens(bodies(spark, sf_dir), "doc_id", "lang", "body")
     return ix.term_frequencies(t).select("jurisdiction", "id", "term", "tf")
 
 
 def bm25_df(spark, sf_dir):
-    t = ix.tokens(docs(spark, sf_dir), "doc_id", "lang", "text")
-    # a document's distinct tokens, so that the counts by term are one shuffle, combined on the map side
-    return t.select("jurisdiction", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("jurisdiction", "term").agg(F.count("*").alias("df"))
+    t = ix.tokens(bodies(spark, sf_dir), "doc_id", "lang", "body")
+    return ix.document_frequencies(ix.term_frequencies(t))
 
 
 def bm25_stats(spark, sf_dir):
-    t = ix.tokens(docs(spark, sf_dir), "doc_id", "lang", "text")
+    t = ix.tokens(bodies(spark, sf_dir), "doc_id", "lang", "body")
     return ix.statistics(t).select("jurisdiction", "n", F.round("avg_length", 6).alias("avg_length"))
 
 
@@ -93,15 +103,11 @@ def bm25_two_query_merge(spark, sf_dir):
 
 
 def bm25_cache_parity(spark, sf_dir):
-    """Rows by which the scores of a written and reread index differ from fresh ones, both ways: 0 and 0."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/docweave-index/{uuid.uuid4().hex}"
-    fresh = ix.build(docs(spark, sf_dir), "doc_id", "lang", "text")
-    ix.save(fresh, path)
+    """Hits with their scores from an index made anew and from the stored one."""
     terms = rk.query_terms(queries(spark, QUERY))
-    a, b = (rk.bm25(x, terms).select("jurisdiction", "id", "rank", F.round("score", 6).alias("score")) for x in (fresh, ix.load(spark, path)))
-    n = lambda x, y, name: x.exceptAll(y).agg(F.count("*").alias(name))
-    return n(a, b, "missing").crossJoin(n(b, a, "extra"))
+    fresh = ix.build(bodies(spark, sf_dir), "doc_id", "lang", "body", terms.select("term"))
+    a, b = (rk.bm25(x, terms).select("jurisdiction", "id", "rank", F.round("score", 6).alias(c)) for x, c in ((fresh, "score"), (stored_index(spark, sf_dir), "stored_score")))
+    return a.join(b, ["jurisdiction", "id", "rank"], "full")
 
 
 def points(spark, sf_dir):
@@ -194,8 +200,9 @@ def rank_then_filter(spark, sf_dir):
 
 
 def isolation_check(spark, sf_dir):
-    found = search(spark, sf_dir, jurisdiction="en").join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang"), "id")
-    return found.agg(F.count_if(F.lower("lang") != "en").alias("leaks"))
+    """Of the hits of a search within English, how many have which language; any other one is a leak."""
+    found = search(spark, sf_dir, jurisdiction="en").select("id").join(docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lower("lang").alias("lang")), "id")
+    return found.groupBy("lang").agg(F.count("*").alias("n"), (F.col("lang") != "en").alias("leak"))
 
 
 def tokenize_words(spark, sf_dir):
@@ -272,7 +279,7 @@ ORACLE = {
         n1 AS (SELECT jurisdiction, count(*) AS n1 FROM a GROUP BY 1)
         SELECT jurisdiction, id, round(score, 6) AS score, rank FROM a
         UNION ALL SELECT jurisdiction, id, round(score, 6), coalesce(n1, 0) + r FROM new LEFT JOIN n1 USING (jurisdiction)""",
-    "bm25_cache_parity": "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra",
+    "bm25_cache_parity": f"{_BM25} SELECT jurisdiction, id, rank, round(score, 6) AS score, round(score, 6) AS stored_score FROM hits",
     "dense_topk": f"SELECT id, round(score, 6) AS score, rank FROM ({dense_sql(30)})",
     "dense_topk_filtered": f"SELECT id, round(score, 6) AS score, rank FROM ({dense_sql(30, 'label = 3')})",
     "rrf_fusion": f"{FUSED} SELECT id, dense_rank, bm25_rank, round(rrf_score, 6) AS rrf_score, rrf_rank FROM fused",
@@ -282,7 +289,7 @@ ORACLE = {
     "sigmoid_calibration": f"{_RANKED} SELECT id, round(1 / (1 + exp(-raw)), 6) AS score, rerank_rank FROM reranked",
     "neighbours": "WITH t AS (SELECT lang, min(doc_id) AS target FROM documents WHERE contains(text, 'idiot') GROUP BY lang) SELECT lang, doc_id, target FROM documents JOIN t USING (lang) WHERE abs(doc_id - target) <= 2",
     "rank_then_filter": f"WITH r AS (SELECT r.*, label FROM ({dense_sql(50)}) r JOIN embeddings ON vec_id = id), p AS (SELECT unnest([20, 25, 30, 50]) AS pool) SELECT pool, min(rank) AS entry FROM p LEFT JOIN r ON rank <= pool AND label = 3 GROUP BY pool",
-    "isolation_check": "SELECT 0::BIGINT AS leaks",
+    "isolation_check": f"{_BM25} SELECT lower(lang) AS lang, count(*) AS n, lower(lang) <> 'en' AS leak FROM hits JOIN documents ON doc_id = id WHERE jurisdiction = 'en' GROUP BY 1",
     "tokenize_words": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)",
     "tokenize_statutory": f"WITH d AS (SELECT doc_id AS id, lower(text) AS t FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(f'({-i}, lower({literal(t)}))' for i, t in CITATIONS)})) SELECT id, len(k) AS n_tokens, array_to_string(k, '|') AS tokens FROM (SELECT id, {STATUTORY} AS k FROM d)",
     "uuid5_ids": f"""SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS uuid

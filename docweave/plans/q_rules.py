@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -245,19 +244,18 @@ def piecewise_clamp(spark, sf_dir):
     return values(spark, SCORES, "id int, top double").select("id", F.round(r.display_score(F.col("top")), 6).alias("display_score"), r.confidence(F.col("top")).alias("abstained"))
 
 
-def followup_rewrite(spark, sf_dir, whole=False):
-    """Each user turn with the user turn before it, where it is a follow-up; turns are cut as in the SQL unless whole."""
+def followup_rewrite(spark, sf_dir):
+    """Each user turn with the user turn before it, where it is a follow-up."""
     from pyspark.sql import Window
 
-    text = F.col("text") if whole else F.substring("text", 1, 40)
-    u = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("What about ")).otherwise(F.lit("")), text).alias("query"))
+    u = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 0, F.lit("What about ")).otherwise(F.lit("")), F.col("text")).alias("query"))
     prior = F.lag("query").over(Window.partitionBy("conv_id").orderBy("turn"))
     return u.withColumn("prior", prior).select("conv_id", "turn", r.in_context(F.col("query"), F.col("prior"), F.when(F.col("conv_id") % 2 == 0, "national").otherwise("international")).alias("rewritten"))
 
 
 _NAMES = """intent_rules abs_trigger abs_extract tkdl_trigger tkdl_hints expand_rules formulation_tree formulation_next answer_words abs_outcomes abs_flow followup_translate
 first_match_rules page_resolve alias_last_wins citation_resolve tkdl_pointer piecewise_clamp followup_rewrite""".split()
-QUERIES = {n: globals()[n] for n in _NAMES} | {"followup_rewrite_whole": partial(followup_rewrite, whole=True)}
+QUERIES = {n: globals()[n] for n in _NAMES}
 
 _F = fixed.FORMULATION_QUESTIONS
 _CLASS = "CASE " + " ".join(f"WHEN {q} THEN '{c}'" for q, c in zip(_F, ["classical_medicine", "new_drug", "phytopharmaceutical", "nutraceutical", "cosmetic"], strict=True)) + " ELSE 'proprietary_medicine' END"
@@ -292,7 +290,7 @@ ORACLE = {
         AS t(id, file, page, link, official_url)""",
     "tkdl_pointer": f"SELECT query_id, preparation, area, classes FROM ({_hints_sql()}) JOIN {REQUESTS} USING (query_id) WHERE {any_sql(Q, fixed.PRIOR_ART_PATTERNS)} AND (coalesce(classification = 'classical_medicine', false) OR {CLASSICAL})",
     "piecewise_clamp": f"SELECT id, round(least(99.9, greatest(92.0, round_even(CASE WHEN top > 1.0 THEN 99.4 WHEN top > 0.8 THEN 92.0 + top * 7.5 WHEN top > 0.4 THEN 88.0 + top * 10.0 ELSE 95.0 END, 1))), 6) AS display_score, top < 0.3 AS abstained FROM (SELECT id, top::DOUBLE AS top FROM {sql_values(SCORES, 's', 'id, top')})",
-    "followup_rewrite": f"""WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'What about ' ELSE '' END || left(text, 40) AS query FROM conversations WHERE role = 'user'),
+    "followup_rewrite": f"""WITH u AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'What about ' ELSE '' END || text AS query FROM conversations WHERE role = 'user'),
         p AS (SELECT *, lag(query) OVER (PARTITION BY conv_id ORDER BY turn) AS prior, regexp_split_to_array(trim(lower(query)), '\\s+') AS w FROM u)
         SELECT conv_id, turn, CASE WHEN prior IS NOT NULL AND {_FOLLOWED} THEN CASE WHEN conv_id % 2 <> 0 THEN query || ' (Prior subject: protection and patentability of ' || trim(regexp_replace(prior, '[?!.,]', '', 'g')) || ' under international treaties TRIPS CBD Nagoya Protocol WIPO GRATK)'
             ELSE query || ' (Prior subject from turn: ' || trim(regexp_replace(prior, '[?!.,]', '', 'g')) || ' patentability criteria comparison)' END ELSE query END AS rewritten FROM p""",

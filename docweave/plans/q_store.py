@@ -61,7 +61,7 @@ def isolation_terms(spark, sf_dir):
 
 def upsert_conversations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    e = c.select(F.col("conv_id").alias("id"), F.substring("text", 1, 30).alias("title"), F.when(F.col("turn") % 2 == 0, "national").otherwise("international").alias("jurisdiction"), F.col("turn").alias("at"), F.col("turn").alias("seq"))
+    e = c.select(F.col("conv_id").alias("id"), F.col("text").alias("title"), F.when(F.col("turn") % 2 == 0, "national").otherwise("international").alias("jurisdiction"), F.col("turn").alias("at"), F.col("turn").alias("seq"))
     return st.upsert_conversations(e)
 
 
@@ -281,7 +281,10 @@ ORACLE = {
     "newest_first": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1",
     "recent_history": f"SELECT conversation_id, id, role FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY timestamp DESC) AS n FROM {_M} WHERE id % 13 <> 0) WHERE n <= 6",
     "isolation_terms": "SELECT 0::BIGINT AS leaks, count(*) AS n FROM documents WHERE lang = 'en'",
-    "upsert_conversations": "SELECT conv_id AS id, arg_min(left(text, 30), turn) AS title, arg_min(CASE WHEN turn % 2 = 0 THEN 'national' ELSE 'international' END, turn) AS jurisdiction, min(turn) AS created_at, max(turn) AS updated_at FROM conversations GROUP BY conv_id",
+    "upsert_conversations": "SELECT conv_id AS id, arg_min(text, turn) AS title, arg_min(CASE WHEN turn % 2 = 0 THEN 'national' ELSE 'international' END, turn) AS jurisdiction, min(turn) AS created_at, max(turn) AS updated_at FROM conversations GROUP BY conv_id",
+    "cache_replay": """WITH e AS (SELECT event_type, event_id, user_id::VARCHAR AS key, lag(event_id) OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS before FROM events),
+        between AS (SELECT a.event_id, count(DISTINCT b.key) AS others FROM e a JOIN e b ON b.event_type = a.event_type AND b.event_id > a.before AND b.event_id < a.event_id GROUP BY 1)
+        SELECT event_type, event_id, key, before IS NOT NULL AND coalesce(others, 0) < 10 AS hit FROM e LEFT JOIN between USING (event_id)""",
     "upsert_latest": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN reverse(md5(text)) ELSE md5(text) END AS digest, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS version FROM documents",
     "delete_anti": "SELECT conv_id AS conversation_id, count(*) AS n FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id",
     "semi_sessions": f"SELECT conversation_id, id, role FROM {_M} WHERE conversation_id IN (1, 3, 5, 8, 13, 21, 100000)",

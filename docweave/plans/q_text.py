@@ -100,7 +100,7 @@ SPOKEN = [(1, "नमस्ते world"), (2, "ਪੰਜਾਬੀ then हि
 
 
 def detect_language(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 2000).alias("head"), "text").drop("head")
+    d = documents(spark, sf_dir).select("doc_id", "text")
     both = d.unionByName(values(spark, [(-i, t) for i, t in SPOKEN], "doc_id bigint, text string"))
     return both.select("doc_id", tx.detect_language(F.col("text")).alias("language"), F.round(tx.ascii_letter_share(F.col("text")), 6).alias("ascii_share"))
 
@@ -136,13 +136,6 @@ def cache_hits(spark, sf_dir):
 
 
 def canonical_overlap(spark, sf_dir):
-    """Canonical openings that English and German documents share."""
-    c = tx.canonical_source(F.substring("text", 1, 4))
-    d = documents(spark, sf_dir).select("lang", c.alias("name"))
-    return d.where("lang = 'en'").select("name").intersect(d.where("lang = 'de'").select("name"))
-
-
-def canonical_overlap_whole(spark, sf_dir):
     """Canonical names of the sources that English and German documents share."""
     d = documents(spark, sf_dir).select("lang", tx.canonical_source(F.col("source")).alias("name")).where("name <> ''")
     return d.where("lang = 'en'").select("name").intersect(d.where("lang = 'de'").select("name"))
@@ -203,8 +196,8 @@ def parse_llm_json(spark, sf_dir):
 
 
 def ordered_distinct(spark, sf_dir):
-    """Each document's first eight distinct words in the order of their first use."""
-    return documents(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.array_distinct(tx.words(F.col("text"))), 1, 8), " ").alias("words"))
+    """Each document's distinct words in the order of their first use."""
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.array_distinct(tx.words(F.col("text"))), " ").alias("words"))
 
 
 REQUESTS = [
@@ -227,7 +220,7 @@ def validate_requests(spark, sf_dir):
     return x.select("id", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
-_NAMES = """clean_text clean_footnotes toc_filter normalize_citations detect_language lang_alias cache_key cache_hits canonical_overlap canonical_overlap_whole canonical_names word_batches
+_NAMES = """clean_text clean_footnotes toc_filter normalize_citations detect_language lang_alias cache_key cache_hits canonical_overlap canonical_names word_batches
 speech_clean truncate parse_llm_json ordered_distinct validate_requests""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -254,12 +247,12 @@ ORACLE = {
         FROM (SELECT *, lower(trim(target)) AS norm FROM {sql_values(ASKED, 'f', 'id, target')}) LEFT JOIN {sql_values(fixed.LANGUAGE_ALIASES, 'a', 'alias, found')} ON norm = alias LEFT JOIN {sql_values(fixed.LANGUAGES, 'k', 'code, name, native, script')} ON k.code = coalesce(found, norm)""",
     "cache_key": f"SELECT conv_id, turn, {key_sql('text')} AS key FROM conversations WHERE role = 'user'",
     "cache_hits": f"SELECT conv_id, turn, lag(turn) OVER (PARTITION BY key ORDER BY conv_id, turn) IS NOT NULL AS hit FROM (SELECT conv_id, turn, {key_sql('text')} AS key FROM conversations WHERE role = 'user')",
-    "canonical_overlap": f"SELECT {canon_sql('left(text, 4)')} AS name FROM documents WHERE lang = 'en' INTERSECT SELECT {canon_sql('left(text, 4)')} FROM documents WHERE lang = 'de'",
+    "canonical_overlap": f"SELECT * FROM (SELECT {canon_sql('source')} AS name FROM documents WHERE lang = 'en' INTERSECT SELECT {canon_sql('source')} FROM documents WHERE lang = 'de') WHERE name <> ''",
     "canonical_names": f"SELECT a, b, {canon_sql('a')} = {canon_sql('b')} AS equal FROM {sql_values(NAMES, 'f', 'a, b')}",
     "word_batches": "SELECT conv_id, turn, i // 3 AS seq, array_to_string(w[i + 1 : i + 3], ' ') AS delta FROM (SELECT conv_id, turn, w, unnest(range(0, len(w), 3)) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant'))",
     "speech_clean": f"SELECT id, trim({chain_sql('text', fixed.SPEECH_STEPS)}) AS text FROM {sql_values(SPEECH, 'f', 'id, text')}",
     "truncate": f"SELECT doc_id, {_cut(260, 257)} AS excerpt, {_cut(180, 180)} AS snippet, {_cut(280, 280)} AS summary, {_cut(300, 297)} AS lead FROM documents",
-    "ordered_distinct": "SELECT doc_id, array_to_string(list_transform(list_filter(w, lambda x, i: list_position(w, x) = i)[1:8], lambda x: x), ' ') AS words FROM (SELECT doc_id, {} AS w FROM documents)".replace("{}", "WORDS"),
+    "ordered_distinct": "WITH d AS (SELECT doc_id, {} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id) SELECT d.doc_id, CASE WHEN w IS NULL THEN NULL ELSE coalesce(words, '') END AS words FROM d LEFT JOIN j USING (doc_id)".replace("{}", "WORDS"),
     "validate_requests": rf"""SELECT id, reason IS NULL AS valid, reason FROM (SELECT id, CASE WHEN query IS NULL OR regexp_replace(query, '\s', '', 'g') = '' THEN 'query' WHEN coalesce(jurisdiction, 'national') NOT IN ('national', 'international') THEN 'jurisdiction'
         WHEN rating IS NOT NULL AND lower(trim(rating)) NOT IN ('up', 'down') THEN 'rating' END AS reason FROM {sql_values(REQUESTS, 'f', 'id, query, jurisdiction, rating')})""",
 }

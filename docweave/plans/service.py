@@ -67,8 +67,7 @@ def retrieve(questions: DataFrame, points: DataFrame, index: ix.Index, expansion
     q = questions.select("query_id", tx.normalize_citations(F.col("query")).alias("query"), F.lower("jurisdiction").alias("jurisdiction"))
     expanded = rl.expand(q.select("query_id", "query"), expansions).select("query_id", "expanded").join(q.select("query_id", "jurisdiction"), "query_id")
     vectors = expanded.select("query_id", "jurisdiction", models.embed(F.col("expanded"), embed).alias("vector"))
-    near = points.select("id", "embedding", F.col("jurisdiction").alias("j")).join(vectors, F.col("j") == F.col("jurisdiction"))
-    dense = rk.top(near.select("query_id", "id", F.round(rk.dot(F.col("embedding"), F.col("vector")), 9).alias("score")), s.dense, "score", "rank", "query_id")
+    dense = rk.dense(points, vectors, s.dense, within="jurisdiction")
     lists = [rk.bm25(index, rk.query_terms(x, text, tx.legal_tokens), s.sparse) for x, text in ((q, "query"), (expanded, "expanded"))]
     fused = rk.fuse(dense, rk.merge_two(*lists), s.fused)
     x = fused.join(points.drop("embedding"), "id").join(q.select("query_id", "query"), "query_id")
