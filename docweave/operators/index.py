@@ -33,11 +33,12 @@ def term_frequencies(tokens: DataFrame, terms: DataFrame | None = None) -> DataF
     A document is one row, so that its terms are counted within it and nothing is shuffled: in the sorted array each
     run of equal tokens begins where the one before ends.
     """
-    x = tokens.select("jurisdiction", "id", "length", F.array_sort("tokens").alias("s")).where("length > 0")
+    x = tokens.select("jurisdiction", "id", "length", F.sort_array("tokens").alias("s"))
     starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
     x = x.withColumn("at", starts).withColumn("to", F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("s"))))
     runs = F.zip_with("at", "to", lambda a, b: F.struct(F.get("s", a).alias("term"), (b - a).cast("bigint").alias("tf")))
     x = x.select("jurisdiction", "id", "length", F.explode(runs).alias("r")).select("jurisdiction", "id", F.col("r")["term"].alias("term"), F.col("r")["tf"].alias("tf"), "length")
+    x = x.where("term is not null")  # of a document without tokens; a filter on its length would tokenise twice
     return x if terms is None else x.join(terms, "term", "left_semi").select("jurisdiction", "id", "term", "tf", "length")
 
 

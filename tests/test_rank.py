@@ -89,3 +89,32 @@ def test_two_lists_merge(spark):
     by = lambda ids: ranked(spark, ids).withColumn("jurisdiction", F.lit("en"))
     got = rk.merge_two(by([5, 6]), by([6, 7, 5, 8])).orderBy("rank").collect()
     assert [(r["id"], r["rank"]) for r in got] == [(5, 1), (6, 2), (7, 3), (8, 4)]
+
+
+def test_dense_blocks_against_a_loop(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in r.integers(-3, 4, 8)], "ab"[i % 2]) for i in range(300)]
+    odd = [(900, None, "a"), (901, [1.0, 2.0], "a"), (902, [0.0] * 8, None)]
+    points = spark.createDataFrame(vectors + odd, "id int, embedding array<double>, side string").repartition(5)
+    asked = spark.createDataFrame([(i, v, s) for i, v, s in vectors[:40]] + [(77, None, "a")], "query_id int, vector array<double>, side string")
+    for size in (7, 4096):
+        monkeypatch.setattr(rk, "QUERY_BLOCK", size)
+        for within in (None, "side"):
+            got = {(x["query_id"], x["rank"]): x["id"] for x in rk.dense(points, asked, 6, within=within).collect()}
+            want = {}
+            for q, v, side in vectors[:40]:
+                scored = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w, s in vectors + odd[2:] if within is None or s == side]
+                want |= {(q, n): i for n, (_, i) in enumerate(sorted(scored)[:6], 1)}
+            assert got == want
+
+
+def test_index_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id int, lang string, text string")
+    made = ix.build(empty, "doc_id", "lang", "text")
+    stored = ix.save(made, f"{tmp_path}/none")
+    q = spark.createDataFrame([(1, "word", None)], "query_id int, query string, jurisdiction string")
+    assert rk.bm25(stored, rk.query_terms(q)).count() == 0 and ix.load(spark, f"{tmp_path}/none", made).tf.count() == 0
+    blank = spark.createDataFrame([(1, "en", None), (2, "en", " "), (3, "en", "two two one")], "doc_id int, lang string, text string")
+    assert sorted((r["id"], r["term"], r["tf"]) for r in ix.build(blank, "doc_id", "lang", "text").tf.collect()) == [(3, "one", 1), (3, "two", 2)]

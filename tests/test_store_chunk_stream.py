@@ -23,6 +23,32 @@ def test_sections_and_clauses():
     assert [n for n, _ in rules] == ["Rule 158B — Labels and packing of all such drugs as are made here under ...", "Rule 159 — Next rule"]
 
 
+def test_articles_as_the_patterns_give_them():
+    text = "Article 5 the parties shall cooperate\nFAIR SHARING OF BENEFITS\nand more of it\n\nART. 6. Access\nto resources"
+    # the title may begin with any letter, case being ignored throughout
+    assert [n for n, _ in ck.articles(text)] == ["Article 5: the parties shall cooperate", "Article 6: Access"]
+    assert [n for n, _ in ck.articles("Article 5\n\nFAIR SHARING OF BENEFITS\nof 2010\nArticle 6a — Use")] == ["Article 5: FAIR SHARING OF BENEFITS", "Article 6a: Use"]
+
+
+def test_clauses_as_written_by_hand():
+    lead = "2. Definitions.—In this Act, " + "unless it appears otherwise, " * 200
+    clauses = ['(a) "invention" means a new product or process that involves a step and is of use in industry;', '(ja) "step" means a feature that involves an advance as compared to what is known already so far;', "(k) a short one;", '(l) "patent" means a patent for any invention that is granted under this Act and is in force now.']
+    body = lead.strip() + "\n" + "\n".join(clauses)
+    got = ck.subclauses("Section 2 — Definitions", body)
+    head = "Section 2 — Definitions\n(1) In this Act, unless the context otherwise requires,—\n"
+    assert got == [("Section 2 (Preamble/Definitions)", lead.strip()), *((f'Section 2(1)({x}) "{t}"', head + clauses[i]) for i, x, t in ((0, "a", "invention"), (1, "ja", "step"), (3, "l", "patent")))]
+    # what stands before the clauses stays whole, however long
+    assert [n for n, _ in ck.chunk(body)] == [n for n, _ in got] and len(ck.chunk(body)[0][1]) > 5000
+
+
+def test_size_splitter_by_hand():
+    assert ck.by_size("aa bb cc dd ee", 8, 3) == ["aa bb cc", "cc dd", "dd ee"]
+    assert ck.by_size("aa bb cc dd ee", 8, 0) == ["aa bb cc", "dd ee"]
+    assert ck.by_size("one\n\ntwo words here\n\nx", 8, 0) == ["one", "two", "words", "here", "x"]
+    assert ck.by_size("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert ck.by_size("  ", 4, 1) == ck.by_size("", 4, 1) == [] and ck.by_size(" short ", 20, 5) == ["short"]
+
+
 def test_size_splitter_keeps_all_words_within_size():
     text = "\n\n".join(" ".join(f"w{i}_{j}" for j in range(i % 60)) for i in range(200)) + "x" * 5000
     parts = ck.by_size(text, 400, 50)
