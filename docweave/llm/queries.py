@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, oracles, sharding
+from . import fill_middle, line_dedup, oracles, sharding
 from .decontaminate import op3
+from .fill_middle import op11
 from .jaccard_join import op4
 from .line_dedup import op5
 from .packing import op8
@@ -13,6 +14,7 @@ from .repeats import op6
 from .secret_scan import op9
 from .sharding import op7
 from .url_rules import op10
+from .winnowing import op12
 
 
 def table(spark, sf_dir: str, name: str):
@@ -59,6 +61,14 @@ def op9_secret_scan(spark, sf_dir):
     return op9(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark, sf_dir):
+    return op11(table(spark, sf_dir, "documents"))
+
+
+def op12_winnowing(spark, sf_dir):
+    return op12(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_ledger": op2_quality_ledger,
@@ -70,6 +80,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_rules": op10_url_rules,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_winnowing": op12_winnowing,
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +90,5 @@ ORACLE: dict[str, str] = {
     "op4_jaccard_join": oracles.COMPONENTS,
     "op5_line_dedup": line_dedup.ORACLE,
     "op7_sharding": sharding.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
