@@ -210,3 +210,18 @@ def split_documents(docs: DataFrame, text: str = "text", strategy: Column | None
     found = _chunk_udf(split)(F.col(text), strategy if strategy is not None else F.lit("section"))
     rest = [c for c in docs.columns if c != text]
     return docs.select(*rest, F.posexplode(found).alias("chunk_idx", "_c")).select(*rest, "chunk_idx", F.col("_c")["section"].alias("section"), F.col("_c")["text"].alias("text"))
+
+
+def passages(docs: DataFrame, text: str = "text", block: int = 40, blocks: int = 5, shared: int = 1) -> DataFrame:
+    """docs without the text, with a row for each passage of overlapping words: passage from 0, n_words, text.
+
+    Built-ins only. A text is cut into blocks of so many words; a passage is some blocks in a row and begins with the last
+    ones of the passage before. Line ends within a passage stay. A null or blank text has one passage without words.
+    """
+    rest = [c for c in docs.columns if c != text]
+    cut = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?:\S+\s*){{1,{block}}}"), F.lit(0))
+    x = docs.select(F.struct(*rest).alias("row"), cut.alias("cut"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("cut") - shared, F.lit(1)), F.lit(blocks - shared))
+    joined = F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice("cut", i, blocks), ""), r"\s+$", ""))
+    x = x.select("row", F.posexplode(joined).alias("passage", "text"))
+    return x.select("row.*", "passage", F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("n_words"), F.col("text").alias(text))

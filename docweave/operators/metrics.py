@@ -54,9 +54,13 @@ def duplicates(rows: DataFrame, group: str, text: str) -> DataFrame:
     return per_text.groupBy(group).agg(F.sum("_n").alias("n"), (F.sum("_n") - F.count("*")).alias("duplicates"))
 
 
-def latency(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
+def latencies(ms: str) -> list[Column]:
     r = lambda c: F.round(c, 6)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), r(F.avg(ms)).alias("mean"), r(F.min(ms)).alias("least"), r(F.max(ms)).alias("most"))
+    return [F.count("*").alias("n"), r(F.avg(ms)).alias("mean"), r(F.min(ms)).alias("least"), r(F.max(ms)).alias("most")]
+
+
+def latency(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
+    return rows.groupBy(*by).agg(*latencies(ms))
 
 
 def argmin(rows: DataFrame, by: str, value: str) -> DataFrame:
