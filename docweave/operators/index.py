@@ -1,4 +1,4 @@
-"""BM25 statistics: term and document frequencies, lengths; built, persisted and read back.
+"""BM25 statistics: term and document frequencies, lengths. `postings` keeps them.
 
 Everything is per partition of the corpus (`jurisdiction`); scores of different partitions are not comparable.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -57,22 +57,5 @@ def build(docs: DataFrame, id: str, jurisdiction: str, text: str, terms: DataFra
     return Index(tf, document_frequencies(tf), statistics(t))
 
 
-def save(index: Index, path: str) -> Index:
-    """Writes the index and reads it back; the postings are laid out by partition and sorted by term, so that a query reads
-    few row groups. Document frequencies are counted from the postings as written; the statistics, written last, say
-    that the index is whole."""
-    spark = index.tf.sparkSession
-    index.tf.repartition("jurisdiction", "term").sortWithinPartitions("jurisdiction", "term").write.mode("overwrite").partitionBy("jurisdiction").parquet(f"{path}/tf")
-    document_frequencies(spark.read.schema(index.tf.schema).parquet(f"{path}/tf")).write.mode("overwrite").partitionBy("jurisdiction").parquet(f"{path}/df")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    return load(spark, path, index)
-
-
-def load(spark: SparkSession, path: str, like: Index | None = None) -> Index:
-    """The index at path; like: one of the same types, so that no file has to be opened for them."""
-    read = lambda t: spark.read if like is None else spark.read.schema(getattr(like, t).schema)
-    return Index(*(read(t).parquet(f"{path}/{t}") for t in ("tf", "df", "stats")))
-
-
 def idf(n: Column, df: Column, least: float = 0.001) -> Column:
     return F.greatest(F.log(1 + (n - df + 0.5) / (df + 0.5)), F.lit(least))

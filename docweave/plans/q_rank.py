@@ -6,12 +6,15 @@ doc_id and vec_id name the same thing in the hybrid queries is a convention of o
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import legal_tokens, rerank_text, searchable, sigmoid, statutory_tokens, uuid5, DNS, words
 from ..operators import index as ix
+from ..operators import postings as ps
 from ..operators import rank as rk
-from .tables import exists, literal, shared_dir, table, values, version
+from .tables import literal, publish, shared_dir, table, values, version
 
 QUERY = "the heing tioned para que elle der lich idiot moron"
 EXPANDED = QUERY + " worthless pathetic stupid license"
@@ -63,19 +66,25 @@ def bodies(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", "lang", searchable(F.col("source"), F.col("lang"), F.lit(None), F.col("text")).alias("body"))
 
 
-def stored_index(spark, sf_dir) -> ix.Index:
+def stored_index(spark, sf_dir) -> ps.Postings:
     """The index of these documents from the shared folder, where the first query over them writes it.
 
-    It is named by the documents' files, so that other or changed ones have one of their own.
+    It is named by the documents' files, so that other or changed ones have one of their own, and written under another
+    name before, so that no query finds one that is not whole.
     """
     path = f"{shared_dir(spark)}/docweave-index/{version(spark, f'{sf_dir}/documents.parquet')}"
-    made = ix.build(bodies(spark, sf_dir), "doc_id", "lang", "body")
-    return ix.load(spark, path, made) if exists(spark, f"{path}/stats/_SUCCESS") else ix.save(made, path)
+    found = ps.stored(spark, path)
+    if found is None:
+        own = f"{path}-{uuid.uuid4().hex}"
+        ps.create(own, bodies(spark, sf_dir), "doc_id", "lang", "body")
+        publish(spark, own, path)
+        found = ps.load(spark, path)
+    return found
 
 
 def search(spark, sf_dir, query=QUERY, k=20, jurisdiction=None):
     """BM25 of one literal query over the stored index."""
-    return rk.bm25(stored_index(spark, sf_dir), rk.query_terms(queries(spark, query, jurisdiction=jurisdiction)), k)
+    return ps.search(stored_index(spark, sf_dir), rk.query_terms(queries(spark, query, jurisdiction=jurisdiction)), k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -106,10 +115,25 @@ def bm25_cache_parity(spark, sf_dir):
     """Hits with their scores from an index made anew and from the stored one."""
     terms = rk.query_terms(queries(spark, QUERY))
     fresh = ix.build(bodies(spark, sf_dir), "doc_id", "lang", "body", terms.select("term"))
-    a, b = (rk.bm25(x, terms).select("jurisdiction", "id", "rank", F.round("score", 6).alias(c)) for x, c in ((fresh, "score"), (stored_index(spark, sf_dir), "stored_score")))
+    both = (rk.bm25(fresh, terms), "score"), (ps.search(stored_index(spark, sf_dir), terms), "stored_score")
+    a, b = (x.select("jurisdiction", "id", "rank", F.round("score", 6).alias(c)) for x, c in both)
     return a.join(b, ["jurisdiction", "id", "rank"], "full")
 
 
+def bm25_incremental(spark, sf_dir):
+    """The hits over an index that has followed its documents: at first every seventh had another text and was of another
+    language, every eleventh was not there, and others were that are gone now."""
+    path = f"{shared_dir(spark)}/docweave-index/incremental-{uuid.uuid4().hex}"
+    now = bodies(spark, sf_dir)
+    changed, added = F.col("doc_id") % 7 == 0, F.col("doc_id") % 11 == 1
+    draft = now.where(changed).select("doc_id", F.lit("en").alias("lang"), F.concat(F.lit("worthless draft of "), F.reverse("body")).alias("body"))
+    extra = now.where("doc_id % 13 = 2").select((-F.col("doc_id")).alias("doc_id"), "lang", "body")
+    ps.create(path, now.where(~changed & ~added).unionByName(draft.where(~added)).unionByName(extra), "doc_id", "lang", "body")
+    ps.append(path, now.where(added), extra, "doc_id", "lang", "body")
+    index = ps.append(path, now.where(changed & ~added), draft.where(~added), "doc_id", "lang", "body")
+    return ps.search(index, rk.query_terms(queries(spark, QUERY))).select("jurisdiction", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def points(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
@@ -262,7 +286,7 @@ def legal_search(spark, sf_dir):
     return rk.bm25(ix.build(d, "doc_id", "lang", "text", terms.select("term"), legal_tokens), terms, 10).select("id", "jurisdiction", F.round("score", 6).alias("score"), "rank")
 
 
-_NAMES = """bm25_topk bm25_tf bm25_df bm25_stats bm25_two_query_merge bm25_cache_parity dense_topk dense_topk_filtered rrf_fusion diversified_topk rerank_pairs
+_NAMES = """bm25_topk bm25_tf bm25_df bm25_stats bm25_two_query_merge bm25_cache_parity bm25_incremental dense_topk dense_topk_filtered rrf_fusion diversified_topk rerank_pairs
 rerank_topk sigmoid_calibration neighbours rank_then_filter isolation_check tokenize_words tokenize_statutory uuid5_ids content_hash hybrid_retrieval legal_search""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -271,6 +295,7 @@ _DIVERSE = "SELECT *, row_number() OVER (ORDER BY nth > 3, {rank}) AS position F
 _RANKED = f"{SCORED}, reranked AS (SELECT *, row_number() OVER (ORDER BY round(raw, 9) DESC, id) AS rerank_rank FROM scored)"
 ORACLE = {
     "bm25_topk": f"{_BM25} SELECT jurisdiction, id, round(score, 6) AS score, rank FROM hits",
+    "bm25_incremental": f"{_BM25} SELECT jurisdiction, id, round(score, 6) AS score, rank FROM hits",
     "bm25_tf": f"WITH {TOKENS} SELECT jurisdiction, id, term, count(*) AS tf FROM (SELECT jurisdiction, id, unnest(tokens) AS term FROM tok) GROUP BY ALL",
     "bm25_df": f"WITH {TOKENS} SELECT jurisdiction, term, count(DISTINCT id) AS df FROM (SELECT jurisdiction, id, unnest(tokens) AS term FROM tok) GROUP BY ALL",
     "bm25_stats": f"WITH {TOKENS}, {STATS} SELECT jurisdiction, n, round(avg_length, 6) AS avg_length FROM stats",

@@ -42,9 +42,12 @@ def version(spark: SparkSession, path: str) -> str:
     return hashlib.sha256("\n".join(said).encode()).hexdigest()[:32]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def publish(spark: SparkSession, own: str, path: str) -> None:
+    """Renames the folder `own`, written whole, to path, unless another run has put one there meanwhile."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (own, path))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) or not fs.rename(source, target):
+        fs.delete(source, True)
 
 
 def literal(x: object) -> str:

@@ -7,7 +7,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 
 def test_entry_imports_without_the_optional_package(tmp_path):
-    for name in ("docweave", "__spark_entry__.py"):
+    for name in ("docweave", "jobs", "__spark_entry__.py"):
         src = ROOT / name
         (shutil.copytree if src.is_dir() else shutil.copy)(src, tmp_path / name)
     shutil.rmtree(tmp_path / "docweave" / "llm", ignore_errors=True)

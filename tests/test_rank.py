@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 from docweave.operators import index as ix
+from docweave.operators import postings as ps
 from docweave.operators import rank as rk
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ def test_bm25_against_a_loop_and_after_reload(spark, tmp_path):
     q = spark.createDataFrame([(1, "aa cc zz aa", None), (2, "bb", "EN")], "query_id int, query string, jurisdiction string")
     terms = rk.query_terms(q)
     fresh = ix.build(docs, "doc_id", "lang", "text")
-    ix.save(fresh, f"{tmp_path}/index")
-    for index in (fresh, ix.load(spark, f"{tmp_path}/index"), ix.build(docs, "doc_id", "lang", "text", terms.select("term"))):
-        got = rk.bm25(index, terms, 1000).collect()
+    kept = ps.create(f"file://{tmp_path}/index", docs, "doc_id", "lang", "text")
+    for found in (rk.bm25(fresh, terms, 1000), ps.search(kept, terms, 1000), rk.bm25(ix.build(docs, "doc_id", "lang", "text", terms.select("term")), terms, 1000)):
+        got = found.collect()
         one = {(r["jurisdiction"], r["id"]): r["score"] for r in got if r["query_id"] == 1}
         want = loop_bm25(rows, "aa cc zz aa")
         assert one.keys() == want.keys() and all(abs(one[k] - want[k]) < 1e-6 for k in want)
@@ -113,8 +114,8 @@ def test_dense_blocks_against_a_loop(spark, monkeypatch):
 def test_index_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id int, lang string, text string")
     made = ix.build(empty, "doc_id", "lang", "text")
-    stored = ix.save(made, f"{tmp_path}/none")
+    stored = ps.create(f"file://{tmp_path}/none", empty, "doc_id", "lang", "text")
     q = spark.createDataFrame([(1, "word", None)], "query_id int, query string, jurisdiction string")
-    assert rk.bm25(stored, rk.query_terms(q)).count() == 0 and ix.load(spark, f"{tmp_path}/none", made).tf.count() == 0
+    assert rk.bm25(made, rk.query_terms(q)).count() == ps.search(stored, rk.query_terms(q)).count() == stored.postings.count() == 0
     blank = spark.createDataFrame([(1, "en", None), (2, "en", " "), (3, "en", "two two one")], "doc_id int, lang string, text string")
     assert sorted((r["id"], r["term"], r["tf"]) for r in ix.build(blank, "doc_id", "lang", "text").tf.collect()) == [(3, "one", 1), (3, "two", 2)]
