@@ -72,12 +72,19 @@ def failure_modes(spark, sf_dir):
     return mt.histogram(modes(spark, sf_dir), "mode")
 
 
-MODES = [(e, d, s, f, t, c) for e in (True, False) for d in (1, None) for s in (1, None) for f in (True, False) for t in (True, False) for c in (True, False)]
+#: Expressions by which the rows of a table run through all combinations of what a failure mode is told by.
+SIGNS = ["exact", "dense", "sparse", "fused", "in_top", "cited"]
+
+
+def _signs(div: str) -> str:
+    """Of the arms the rank, of the others yes or no."""
+    on = {n: f"(doc_id {div} {2**i}) % 2 = 0" for i, n in enumerate(SIGNS)}
+    return ", ".join(f"{f'CASE WHEN {e} THEN 1 END' if n in ('dense', 'sparse') else e} AS {n}" for n, e in on.items())
 
 
 def failure_table(spark, sf_dir):
-    x = values(spark, MODES, "exact boolean, dense int, sparse int, fused boolean, in_top boolean, cited boolean")
-    return x.withColumn("mode", mt.failure_mode(*(F.col(c) for c in ("exact", "dense", "sparse", "fused", "in_top", "cited"))))
+    x = table(spark, sf_dir, "documents").selectExpr("doc_id", *_signs("div").split(", "))
+    return x.withColumn("mode", mt.failure_mode(*(F.col(c) for c in SIGNS)))
 
 
 QUESTIONS = [(1, "idiot moron worthless"), (2, "zzzz qqqq"), (3, "the of and")]
@@ -140,7 +147,7 @@ ORACLE = {
         d AS (SELECT query_id, min(rank) AS dense FROM near JOIN gold USING (id) GROUP BY 1), s AS (SELECT query_id, min(rank) AS sparse FROM pool JOIN gold USING (id) GROUP BY 1), f AS (SELECT query_id, min(rank) AS fr FROM fused_list JOIN gold USING (id) WHERE rank <= 25 GROUP BY 1),
         m AS (SELECT {_MODE} AS mode FROM (SELECT *, coalesce(fr <= 8, false) AS fused, coalesce(sparse <= 1, false) AS in_top FROM q LEFT JOIN d USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN f USING (query_id)))
         SELECT mode, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percentage FROM m GROUP BY 1""",
-    "failure_table": f"SELECT *, {_MODE} AS mode FROM {sql_values(MODES, 'm', 'exact, dense, sparse, fused, in_top, cited')}",
+    "failure_table": f"SELECT *, {_MODE} AS mode FROM (SELECT doc_id, {_signs('//')} FROM documents)",
     "abstention": f"WITH {TOKENS}, {STATS}, q AS (SELECT * FROM {sql_values(QUESTIONS, 'q', 'query_id, query')}), {bm25_sql('SELECT query_id, unnest(' + words_sql('query') + ') AS term FROM q', 5)}, b AS (SELECT query_id, max(score) AS best FROM hits GROUP BY 1) SELECT query_id, best IS NULL AS abstained, best IS NULL OR best < 0.3 AS unsure, round(best, 6) AS best FROM q LEFT JOIN b USING (query_id)",
     "context_assembly": f"{_CHUNKS} SELECT query_id, length(k) AS n_chars, md5(k) AS digest FROM (SELECT query_id, string_agg('Source [' || rank || '] (' || {_CITE} || '):' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS k FROM c GROUP BY 1)",
     "template_answer": rf"""{_CHUNKS}, g AS (SELECT query_id, list({_CITE} ORDER BY rank) AS cites, arg_min(regexp_replace(text, '^\s+|\s+$', '', 'g'), rank) AS lead FROM c GROUP BY 1)

@@ -12,7 +12,7 @@ from ..operators import store as st
 from ..sources import corpus as cp
 from ..streaming import answers as an
 from ..streaming import cache as ca
-from .tables import literal, sql_values, table, values
+from .tables import ASSISTANT_SQL, DOCUMENTS_SQL, USER_SQL, documents_as, literal, spread, spread_sql, sql_values, table, turns_as, values
 
 
 def messages(spark, sf_dir):
@@ -123,15 +123,16 @@ def argmin_sweep(spark, sf_dir):
     return mt.argmin(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-FEEDBACK = [
-    (1, " UP ", "  good ", "line one\nline two", [("Act", "Section 1"), ("", "Rule 2"), ("Only source", None)]),
-    (2, "down", "   ", None, []),
-    (3, "up", None, "x" * 600, None),
-]
-
-
 def feedback_flatten(spark, sf_dir):
-    x = values(spark, FEEDBACK, "id int, rating string, comment string, answer_snippet string, citations array<struct<source:string,section:string>>")
+    """A rating for each assistant turn, with or without comment, answer and citations."""
+    t = turns_as(spark, sf_dir, "assistant")
+    kind = F.col("row") % 3
+    cites = "array<struct<source:string,section:string>>"
+    some = F.array(F.struct(F.lit("Act"), F.concat(F.lit("Section "), "row")), F.struct(F.lit(""), F.lit("Rule 2")), F.struct(F.lit("Only source"), F.lit(None))).cast(cites)
+    x = t.select(
+        F.col("row").alias("id"), F.when(kind == 0, " UP ").when(kind == 1, "down").otherwise("up").alias("rating"), F.when(kind == 0, "  good ").when(kind == 1, "   ").alias("comment"),
+        F.when(F.col("row") % 5 > 0, F.concat("text", F.lit("\n"), "text")).alias("answer_snippet"), F.when(kind == 0, some).when(kind == 1, F.array().cast(cites)).alias("citations"),
+    )
     return st.feedback_rows(x)
 
 
@@ -167,12 +168,15 @@ def text_layer(spark, sf_dir):
 
 ANSWERS = [(1, 1, "Act A", "Section 3"), (1, 2, "unknown", "x"), (1, 3, "act", "3"), (2, 1, "Act B", ""), (3, 1, "none", "none")]
 CHUNKS = [(1, 1, "Act A of 1970", "Section 3(p)", "text one", 0.9), (1, 2, "Act A", "Section 4", "text two", 0.8), (2, 1, "Other", "9", "text three", 0.7), (2, 2, "Act B", "Rule 1", "text four", 0.6)]
+NO_CHUNK = (3, 0, None, None, None, None)
 
 
 def citation_join(spark, sf_dir):
-    a = values(spark, ANSWERS, "query_id int, cit int, source string, section string")
-    c = values(spark, CHUNKS, "query_id int, rank int, title string, section string, text string, score double")
-    return st.join_citations(a, c)
+    """Documents as questions, each with the citations of one of the answers and its chunks, which end in the document."""
+    d = documents_as(spark, sf_dir)
+    a = spread(d, ANSWERS, "query_id int, cit int, source string, section string", "query_id", numbers=[r[0] - 1 for r in ANSWERS])
+    c = spread(d, [*CHUNKS, NO_CHUNK], "query_id int, rank int, title string, section string, text string, score double", "query_id", ("text",), numbers=[r[0] - 1 for r in [*CHUNKS, NO_CHUNK]])
+    return st.join_citations(a, c.where("rank > 0"))
 
 
 def citation_metrics(spark, sf_dir):
@@ -189,6 +193,7 @@ ACT = (
     '2. Definitions of this Act.—\n(a) "invention" means a new product or process that involves a step and can be used;\n(b) "patent" means what is granted under this Act for an invention of whatever kind;\n(c) "prescribed" means prescribed by rules made under this Act, and not otherwise at all;\n'
     "3. What are not inventions. " + "A long clause of words that goes on; and then some more. " * 110 + "\n4. Closing words."
 )
+CLAUSES = ACT[ACT.index("2. Definitions of") : ACT.index("3. What are")]
 TREATY = "Convention on Biological Diversity\n" + "Preamble text of the parties. " * 4 + "\nArticle\n\nObjectives of all\nThe objectives of this treaty are many.\nARTICLE 2\nUse of Terms\nTerms mean what they say.\nArticle 3. Principle of states\nBody of three."
 LEGAL = [(1, "section", ACT), (2, "article", TREATY), (3, "rule", "158B. Labels and packing of all such drugs as are made here under these words of rule.\n159. Next rule of the part with enough words that it is kept in the list."), (4, "section", None), (5, "section", "short"), (6, "heading", "No markers here at all. " * 200)]
 
@@ -208,11 +213,15 @@ def section_split(spark, sf_dir):
 
 
 def article_split(spark, sf_dir):
-    return _digest(ck.split_documents(legal(spark).where("strategy = 'article'"), split=lambda t, s: ck.articles(t or "")))
+    """Documents that follow the articles of a treaty, as the end of its last one."""
+    d = spread(documents_as(spark, sf_dir), [(0, TREATY)], "id int, text string", "id", ("text",))
+    return _digest(ck.split_documents(d, split=lambda t, s: ck.articles(t or "")))
 
 
 def subclause_split(spark, sf_dir):
-    return _digest(ck.split_documents(legal(spark), split=lambda t, s: ck.subclauses("Section 2 — Definitions", t or "") or []))
+    """Documents that follow the clauses of an act's definitions, as the end of the last one."""
+    d = spread(documents_as(spark, sf_dir), [(0, CLAUSES)], "id int, text string", "id", ("text",))
+    return _digest(ck.split_documents(d, split=lambda t, s: ck.subclauses("Section 2 — Definitions", t or "") or []))
 
 
 def recursive_split(spark, sf_dir):
@@ -226,8 +235,18 @@ DELTAS = [
 ]
 
 
+def deltas(spark, sf_dir, size=40):
+    """Assistant turns as a model streams them: JSON in pieces of so many characters, for every other turn after thoughts."""
+    t = turns_as(spark, sf_dir, "assistant")
+    said = F.to_json(F.struct(F.col("text").alias("answer"), F.array(F.lit("a")).alias("citations")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("said") - 1) / size).cast("int")), lambda i: F.substring("said", i * size + 1, size))
+    thoughts = F.when(F.col("row") % 2 == 0, F.array(F.lit("<think>hidden"), F.lit(' "answer": "not this"</think>'))).otherwise(F.array().cast("array<string>"))
+    x = t.select(F.col("row").cast("string").alias("request_id"), "row", said.alias("said"))
+    return x.select("request_id", F.posexplode(F.concat(thoughts, parts)).alias("seq", "delta"))
+
+
 def answer_extract(spark, sf_dir):
-    return an.extract(values(spark, DELTAS, "request_id string, seq int, delta string"))
+    return an.extract(deltas(spark, sf_dir))
 
 
 def cache_replay(spark, sf_dir):
@@ -236,19 +255,19 @@ def cache_replay(spark, sf_dir):
     return ca.replay(e, "event_type", "event_id", "key", 10)
 
 
-BODIES = [("r1", 'data: {"stage":"retrieval","n":1}\n\ndata: {"stage":"synthesis"}\n\ndata: {"stage":"compl'), ("r2", ""), ("r3", ': comment\n\ndata:{"stage":"complete"}\n\n')]
-
-
 def sse_decode(spark, sf_dir):
-    return an.decode_events(values(spark, BODIES, "request_id string, body string"))
-
-
-EVENTS = [("r1", i, s) for i, s in enumerate(["detect_language", "retrieval", "reranking", "synthesis", "llm_token", "llm_token", "complete"])]
-EVENTS += [("r2", 0, "retrieval"), ("r2", 1, "detect_language"), ("r2", 2, "error"), ("r3", 0, "unknown"), ("r3", 1, "complete")]
+    """Each user turn as the body of an event stream, with a comment, and an event at its end that is not finished."""
+    t = turns_as(spark, sf_dir)
+    first = F.to_json(F.struct(F.lit("retrieval").alias("stage"), F.length("text").alias("chars"), F.col("text").alias("query")))
+    body = F.concat(F.lit("data: "), first, F.lit('\n\n: comment\n\ndata:{"stage":"complete"}\n\ndata: {"stage":"compl'))
+    return an.decode_events(t.select(F.col("row").alias("request_id"), F.when(F.col("row") % 4 > 0, body).otherwise("").alias("body")))
 
 
 def stage_order(spark, sf_dir):
-    return an.out_of_order(values(spark, EVENTS, "request_id string, seq int, stage string"), fixed.STAGES)
+    """Events as stages of their users' requests; by what a stage is told, some come late and some are unknown."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id as request_id", "event_id as seq", f"cast((event_id * 7 + user_id) % {len(fixed.STAGES) + 2} as int) as n")
+    known = F.array(*map(F.lit, fixed.STAGES))
+    return an.out_of_order(e.select("request_id", "seq", F.coalesce(F.get(known, F.col("n")), F.when(F.col("n") == len(fixed.STAGES), "error").otherwise("unknown")).alias("stage")), fixed.STAGES)
 
 
 _NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
@@ -261,15 +280,8 @@ _BOTH = "(contains(lower({0}), lower({1})) OR contains(lower({1}), lower({0})))"
 _CJ = f"""SELECT query_id, cit, source, section, rank, title, text, score, coalesce(hit, false) AS verified FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, cit ORDER BY coalesce(hit, false) DESC, rank NULLS LAST) AS n FROM (
         SELECT c.query_id, cit, source, c.section, rank, title, text, score::DOUBLE AS score, {_BOTH.format('source', 'title')} AND {_BOTH.format('c.section', 'k.section')} AS hit
-        FROM {sql_values(ANSWERS, 'c', 'query_id, cit, source, section')} LEFT JOIN {sql_values(CHUNKS, 'k', 'query_id, rank, title, section, text, score')} USING (query_id))) WHERE n = 1"""
-
-
-def _feedback_sql() -> str:
-    rows = []
-    for i, rating, comment, snippet, cites in FEEDBACK:
-        flat = "; ".join(f"{a} ({b})" if a and b else a or b or "" for a, b in cites or [])
-        rows.append((i, rating, comment, snippet, flat))
-    return f"SELECT id, lower(trim(rating)) AS rating, nullif(trim(comment), '') AS comment, left(coalesce(snippet, ''), 500) AS snippet, left(replace(coalesce(snippet, ''), chr(10), ' '), 300) AS export_snippet, flat AS citations FROM {sql_values(rows, 'f', 'id, rating, comment, snippet, flat')}"
+        FROM {spread_sql(DOCUMENTS_SQL, ANSWERS, 'c', 'query_id, cit, source, section', 'query_id', numbers=[r[0] - 1 for r in ANSWERS])}
+        LEFT JOIN (SELECT * FROM {spread_sql(DOCUMENTS_SQL, [*CHUNKS, NO_CHUNK], 'k0', 'query_id, rank, title, section, text, score', 'query_id', ('text',), numbers=[r[0] - 1 for r in [*CHUNKS, NO_CHUNK]])} WHERE rank > 0) AS k USING (query_id))) WHERE n = 1"""
 
 
 _SUMMARY = "CASE WHEN len(l) > 0 THEN l[1] ELSE trim(answer) END"
@@ -297,7 +309,8 @@ ORACLE = {
     "latency_tiers": "SELECT CASE WHEN value * 100 < 2000 THEN 'latency-fast' WHEN value * 100 < 5000 THEN 'latency-mid' ELSE 'latency-slow' END AS tier, count(*) AS n FROM events GROUP BY 1",
     "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY 1",
     "argmin_sweep": "SELECT event_type, mean FROM (SELECT event_type, round(avg(value), 6) AS mean FROM events GROUP BY 1) ORDER BY mean, event_type LIMIT 1",
-    "feedback_flatten": _feedback_sql(),
+    "feedback_flatten": f"""SELECT id, CASE kind WHEN 1 THEN 'down' ELSE 'up' END AS rating, CASE kind WHEN 0 THEN 'good' END AS comment, left(coalesce(snippet, ''), 500) AS snippet, left(replace(coalesce(snippet, ''), chr(10), ' '), 300) AS export_snippet,
+        CASE kind WHEN 0 THEN 'Act (Section ' || id || '); Rule 2; Only source' ELSE '' END AS citations FROM (SELECT row AS id, row % 3 AS kind, CASE WHEN row % 5 > 0 THEN text || chr(10) || text END AS snippet FROM ({ASSISTANT_SQL}))""",
     "conditional_counts": "SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS national, count(*) FILTER (lang <> 'en') AS international FROM documents",
     "corpus_grouped": "SELECT CASE WHEN lang = 'en' THEN 'national' ELSE 'international' END AS jurisdiction, source, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2",
     "incremental_ingest": "SELECT doc_id AS id, sha256(text) AS content_hash FROM documents WHERE doc_id % 7 = 0",
@@ -306,8 +319,9 @@ ORACLE = {
     "citation_join": _CJ,
     "citation_metrics": f"SELECT query_id, count(*) AS n, count(title) AS linked, count(*) FILTER (verified) AS verified, string_agg(DISTINCT section, '|' ORDER BY section) AS sections FROM ({_CJ}) GROUP BY 1",
     "duplicate_chunks": "SELECT source, count(*) AS n, count(*) - count(DISTINCT coalesce(text, '')) AS duplicates FROM documents GROUP BY 1",
-    "answer_extract": "SELECT * FROM (VALUES ('a', 'Section 3(p)' || chr(10) || 'says \"no\".'), ('b', ''), ('c', 'shown'), ('d', " + literal("long plain words " * 4 + "more of the same " * 4 + "end") + ")) AS t(request_id, answer)",
-    "sse_decode": "SELECT * FROM (VALUES ('r1', 0, 'retrieval', '{\"stage\":\"retrieval\",\"n\":1}'), ('r1', 1, 'synthesis', '{\"stage\":\"synthesis\"}'), ('r3', 0, 'complete', '{\"stage\":\"complete\"}')) AS t(request_id, seq, stage, payload)",
-    "stage_order": f"""SELECT request_id, seq, stage FROM (SELECT *, lag(place) OVER (PARTITION BY request_id ORDER BY seq) AS before FROM (SELECT *, coalesce(list_position({literal(fixed.STAGES)}, stage), 0) AS place FROM {sql_values(EVENTS, 'e', 'request_id, seq, stage')} WHERE stage <> 'error'))
+    "answer_extract": f"SELECT row::VARCHAR AS request_id, text AS answer FROM ({ASSISTANT_SQL})",
+    "sse_decode": f"""SELECT row AS request_id, seq, CASE seq WHEN 0 THEN 'retrieval' ELSE 'complete' END AS stage, CASE seq WHEN 0 THEN '{{"stage":"retrieval","chars":' || length(text) || ',"query":' || to_json(text) || '}}' ELSE '{{"stage":"complete"}}' END AS payload
+        FROM ({USER_SQL}), (SELECT unnest([0, 1]) AS seq) WHERE row % 4 > 0""",
+    "stage_order": f"""SELECT request_id, seq, stage FROM (SELECT *, lag(place) OVER (PARTITION BY request_id ORDER BY seq) AS before FROM (SELECT *, coalesce(list_position({literal(fixed.STAGES)}, stage), 0) AS place FROM (SELECT user_id AS request_id, event_id AS seq, coalesce({literal(fixed.STAGES)}[(event_id * 7 + user_id) % {len(fixed.STAGES) + 2} + 1], CASE WHEN (event_id * 7 + user_id) % {len(fixed.STAGES) + 2} = {len(fixed.STAGES)} THEN 'error' ELSE 'unknown' END) AS stage FROM events) WHERE stage <> 'error'))
         WHERE place = 0 OR place < before""",
 }

@@ -1,4 +1,4 @@
-"""Text queries on documents, conversations and authored values."""
+"""Text queries on documents and conversations, dealt authored cases."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
-from .tables import literal, sql_values, table, values
+from .tables import DOCUMENTS_SQL, SOURCES_SQL, USER_SQL, documents_as, literal, spread, spread_sql, sql_values, table, turns_as, values
 
 PUNCT = r"[^\p{L}\p{N}_\s]"
 
@@ -45,7 +45,7 @@ FOOT = [
 
 
 def clean_footnotes(spark, sf_dir):
-    return values(spark, FOOT, "id int, text string").select("id", tx.clean_footnotes(F.col("text")).alias("text"))
+    return spread(documents_as(spark, sf_dir), FOOT, "id int, text string", "id", ("text",), "\n").select("id", tx.clean_footnotes(F.col("text")).alias("text"))
 
 
 def _foot_sql(t: str) -> str:
@@ -66,7 +66,7 @@ TOC = [
 
 
 def toc_filter(spark, sf_dir):
-    return values(spark, TOC, "id int, text string").select("id", tx.drop_contents(F.col("text")).alias("text"))
+    return spread(documents_as(spark, sf_dir), TOC, "id int, text string", "id", ("text",), "\n").select("id", tx.drop_contents(F.col("text")).alias("text"))
 
 
 BODY_RE2 = r"(?im)(?:^|\n\s*)(?:CHAPTER\s+I\b|PRELIMINARY\b|(?:Section\s+1|1)\.\s+Short\s+title)"
@@ -80,8 +80,12 @@ CITED = [
 ]
 
 
+#: Between a citation and a turn's words, as those may begin with letters that an SQL engine takes for a word's end.
+BEFORE = " — "
+
+
 def normalize_citations(spark, sf_dir):
-    x = values(spark, CITED, "id int, query string")
+    x = spread(turns_as(spark, sf_dir), CITED, "id int, query string", "id", ("query",), BEFORE)
     return x.select("id", tx.normalize_citations(F.col("query")).alias("compat"), tx.normalize_citations(F.col("query"), strict=True).alias("strict"))
 
 
@@ -109,7 +113,7 @@ ASKED = [(1, " Hindi "), (2, "eng"), (3, "ta"), (4, "klingon"), (5, "PUN")]
 
 
 def lang_alias(spark, sf_dir):
-    x = values(spark, ASKED, "id int, target string").withColumn("norm", F.lower(F.trim("target")))
+    x = spread(turns_as(spark, sf_dir), ASKED, "id int, target string", "id").withColumn("norm", F.lower(F.trim("target")))
     aliases = values(spark, fixed.LANGUAGE_ALIASES, "alias string, found string")
     known = values(spark, fixed.LANGUAGES, "code string, name string, native string, script string")
     y = x.join(aliases, x["norm"] == aliases["alias"], "left").withColumn("code", F.coalesce("found", "norm")).drop("alias", "found")
@@ -150,8 +154,8 @@ NAMES = [
 
 
 def canonical_names(spark, sf_dir):
-    x = values(spark, NAMES, "a string, b string")
-    return x.select("a", "b", (tx.canonical_source(F.col("a")) == tx.canonical_source(F.col("b"))).alias("equal"))
+    x = spread(documents_as(spark, sf_dir, "source"), [(0, *n) for n in NAMES], "id int, a string, b string", "id", ("a", "b"))
+    return x.select("id", "a", "b", (tx.canonical_source(F.col("a")) == tx.canonical_source(F.col("b"))).alias("equal"))
 
 
 def canon_sql(t: str) -> str:
@@ -172,7 +176,7 @@ SPEECH = [
 
 
 def speech_clean(spark, sf_dir):
-    return values(spark, SPEECH, "id int, text string").select("id", tx.speech_clean(F.col("text")).alias("text"))
+    return spread(documents_as(spark, sf_dir), SPEECH, "id int, text string", "id", ("text",), "\n").select("id", tx.speech_clean(F.col("text")).alias("text"))
 
 
 def truncate(spark, sf_dir):
@@ -180,19 +184,17 @@ def truncate(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", tx.truncated(t, 260, 257).alias("excerpt"), tx.truncated(t, 180, 180).alias("snippet"), tx.truncated(t, 280, 280).alias("summary"), tx.truncated(t, 300, 297).alias("lead"))
 
 
-OUTPUTS = [
-    (1, '{"answer": "plain", "citations": [{"source": "A", "section": "1"}], "confidence": "high", "abstained": false}'),
-    (2, '```json\n{"answer": "fenced"}\n```'),
-    (3, 'Sure: {"answer": "inside", "abstained": true} bye'),
-    (4, "no json here"),
-    (5, '["a list"]'),
-]
-
-
 def parse_llm_json(spark, sf_dir):
-    p = tx.parse_answer(F.col("raw"))
-    x = values(spark, OUTPUTS, "id int, raw string").select("id", p.alias("p"))
-    return x.select("id", F.col("p")["answer"].alias("answer"), F.col("p")["confidence"].alias("confidence"), F.col("p")["abstained"].alias("abstained"), F.coalesce(F.size(F.col("p")["citations"]), F.lit(-1)).alias("n_citations"))
+    """Assistant turns as a model might have put them: plain JSON, fenced, among other words, as text, and as a list."""
+    t = turns_as(spark, sf_dir, "assistant")
+    cites = F.array(F.struct(F.lit("A").alias("source"), F.col("row").cast("string").alias("section")))
+    full = F.to_json(F.struct(F.col("text").alias("answer"), cites.alias("citations"), F.lit("high").alias("confidence"), F.lit(False).alias("abstained")))
+    short = F.to_json(F.struct(F.col("text").alias("answer"), F.lit(True).alias("abstained")))
+    kind = F.col("row") % 5
+    raw = F.when(kind == 0, full).when(kind == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Sure: "), short, F.lit(" bye"))).when(kind == 3, F.col("text")).otherwise(F.concat(F.lit('["'), "text", F.lit('"]')))
+    p = F.col("p")
+    x = t.select(F.col("row").alias("id"), tx.parse_answer(raw).alias("p"))
+    return x.select("id", p["answer"].alias("answer"), p["confidence"].alias("confidence"), p["abstained"].alias("abstained"), F.coalesce(F.size(p["citations"]), F.lit(-1)).alias("n_citations"))
 
 
 def ordered_distinct(spark, sf_dir):
@@ -212,7 +214,8 @@ REQUESTS = [
 
 
 def validate_requests(spark, sf_dir):
-    x = values(spark, REQUESTS, "id int, query string, jurisdiction string, rating string")
+    x = spread(turns_as(spark, sf_dir), REQUESTS, "id int, query string, jurisdiction string, rating string", "id")
+    x = x.union(turns_as(spark, sf_dir, "assistant").select("row", "text", F.lit("national"), F.lit("up")))
     bad_query = F.coalesce(tx.stripped(F.col("query")) == "", F.lit(True))
     bad_place = ~F.coalesce("jurisdiction", F.lit("national")).isin("national", "international")
     bad_rating = F.coalesce(~F.lower(F.trim("rating")).isin("up", "down"), F.lit(False))
@@ -236,25 +239,27 @@ def _cut(limit: int, keep: int) -> str:
 _FIRST = "regexp_extract(text, '[ऀ-ॿ਀-੿஀-௿ഀ-ൿ]')"
 ORACLE = {
     "clean_text": f"SELECT doc_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, {clean_sql('text')} AS c FROM {_docs(CLEAN)})",
-    "clean_footnotes": f"SELECT id, {_foot_sql('text')} AS text FROM {sql_values(FOOT, 'f', 'id, text')}",
+    "clean_footnotes": f"SELECT id, {_foot_sql('text')} AS text FROM {spread_sql(DOCUMENTS_SQL, FOOT, 'f', 'id, text', 'id', ('text',), chr(10))}",
     "toc_filter": f"""SELECT id, CASE WHEN found <> '' AND at_pos > 301 AND (contains(head, 'SECTIONS') OR contains(head, 'ARRANGEMENT OF CLAUSES')) THEN substr(text, at_pos) ELSE text END AS text
-        FROM (SELECT *, upper(left(text, at_pos - 1)) AS head FROM (SELECT *, strpos(text, found) AS at_pos FROM (SELECT *, regexp_extract(text, '{BODY_RE2}') AS found FROM {sql_values(TOC, 'f', 'id, text')})))""",
-    "normalize_citations": f"SELECT id, {STRIP.format(chain_sql('query', tx.NORMALISE))} AS compat, {STRIP.format(chain_sql('query', tx.STRICT))} AS strict FROM {sql_values(CITED, 'f', 'id, query')}",
+        FROM (SELECT *, upper(left(text, at_pos - 1)) AS head FROM (SELECT *, strpos(text, found) AS at_pos FROM (SELECT *, regexp_extract(text, '{BODY_RE2}') AS found FROM {spread_sql(DOCUMENTS_SQL, TOC, 'f', 'id, text', 'id', ('text',), chr(10))})))""",
+    "normalize_citations": f"SELECT id, {STRIP.format(chain_sql('query', tx.NORMALISE))} AS compat, {STRIP.format(chain_sql('query', tx.STRICT))} AS strict FROM {spread_sql(USER_SQL, CITED, 'f', 'id, query', 'id', ('query',), BEFORE)}",
     "detect_language": f"""SELECT doc_id, CASE WHEN c IS NULL OR c = '' THEN 'en' WHEN c BETWEEN 'ऀ' AND 'ॿ' THEN 'hi' WHEN c BETWEEN '਀' AND '੿' THEN 'pa' WHEN c BETWEEN '஀' AND '௿' THEN 'ta' ELSE 'ml' END AS language,
         round(CASE WHEN letters > 0 THEN length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / letters END, 6) AS ascii_share
         FROM (SELECT *, {_FIRST} AS c, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters FROM {_docs(SPOKEN)})""",
     "lang_alias": f"""SELECT id, coalesce(found, norm) AS code, coalesce(name, upper(norm[1:1]) || norm[2:]) AS name, coalesce(native, upper(norm[1:1]) || norm[2:]) AS native, coalesce(script, 'standard') AS script
-        FROM (SELECT *, lower(trim(target)) AS norm FROM {sql_values(ASKED, 'f', 'id, target')}) LEFT JOIN {sql_values(fixed.LANGUAGE_ALIASES, 'a', 'alias, found')} ON norm = alias LEFT JOIN {sql_values(fixed.LANGUAGES, 'k', 'code, name, native, script')} ON k.code = coalesce(found, norm)""",
+        FROM (SELECT *, lower(trim(target)) AS norm FROM {spread_sql(USER_SQL, ASKED, 'f', 'id, target', 'id')}) LEFT JOIN {sql_values(fixed.LANGUAGE_ALIASES, 'a', 'alias, found')} ON norm = alias LEFT JOIN {sql_values(fixed.LANGUAGES, 'k', 'code, name, native, script')} ON k.code = coalesce(found, norm)""",
     "cache_key": f"SELECT conv_id, turn, {key_sql('text')} AS key FROM conversations WHERE role = 'user'",
     "cache_hits": f"SELECT conv_id, turn, lag(turn) OVER (PARTITION BY key ORDER BY conv_id, turn) IS NOT NULL AS hit FROM (SELECT conv_id, turn, {key_sql('text')} AS key FROM conversations WHERE role = 'user')",
     "canonical_overlap": f"SELECT * FROM (SELECT {canon_sql('source')} AS name FROM documents WHERE lang = 'en' INTERSECT SELECT {canon_sql('source')} FROM documents WHERE lang = 'de') WHERE name <> ''",
-    "canonical_names": f"SELECT a, b, {canon_sql('a')} = {canon_sql('b')} AS equal FROM {sql_values(NAMES, 'f', 'a, b')}",
+    "canonical_names": f"SELECT id, a, b, {canon_sql('a')} = {canon_sql('b')} AS equal FROM {spread_sql(SOURCES_SQL, [(0, *n) for n in NAMES], 'f', 'id, a, b', 'id', ('a', 'b'))}",
     "word_batches": "SELECT conv_id, turn, i // 3 AS seq, array_to_string(w[i + 1 : i + 3], ' ') AS delta FROM (SELECT conv_id, turn, w, unnest(range(0, len(w), 3)) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role = 'assistant'))",
-    "speech_clean": f"SELECT id, trim({chain_sql('text', fixed.SPEECH_STEPS)}) AS text FROM {sql_values(SPEECH, 'f', 'id, text')}",
+    "speech_clean": f"SELECT id, trim({chain_sql('text', fixed.SPEECH_STEPS)}) AS text FROM {spread_sql(DOCUMENTS_SQL, SPEECH, 'f', 'id, text', 'id', ('text',), chr(10))}",
     "truncate": f"SELECT doc_id, {_cut(260, 257)} AS excerpt, {_cut(180, 180)} AS snippet, {_cut(280, 280)} AS summary, {_cut(300, 297)} AS lead FROM documents",
     "ordered_distinct": "WITH d AS (SELECT doc_id, {} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY doc_id, x), j AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id) SELECT d.doc_id, CASE WHEN w IS NULL THEN NULL ELSE coalesce(words, '') END AS words FROM d LEFT JOIN j USING (doc_id)".replace("{}", "WORDS"),
     "validate_requests": rf"""SELECT id, reason IS NULL AS valid, reason FROM (SELECT id, CASE WHEN query IS NULL OR regexp_replace(query, '\s', '', 'g') = '' THEN 'query' WHEN coalesce(jurisdiction, 'national') NOT IN ('national', 'international') THEN 'jurisdiction'
-        WHEN rating IS NOT NULL AND lower(trim(rating)) NOT IN ('up', 'down') THEN 'rating' END AS reason FROM {sql_values(REQUESTS, 'f', 'id, query, jurisdiction, rating')})""",
+        WHEN rating IS NOT NULL AND lower(trim(rating)) NOT IN ('up', 'down') THEN 'rating' END AS reason FROM (SELECT * FROM {spread_sql(USER_SQL, REQUESTS, 'f', 'id, query, jurisdiction, rating', 'id')} UNION ALL SELECT conv_id * 1000 + turn, text, 'national', 'up' FROM conversations WHERE role = 'assistant'))""",
+    "parse_llm_json": """SELECT id, CASE WHEN kind = 4 THEN '["' || text || '"]' ELSE text END AS answer, CASE WHEN kind < 2 THEN 'high' WHEN kind > 2 THEN 'medium' END AS confidence, CASE WHEN kind = 2 THEN true ELSE false END AS abstained,
+        CASE WHEN kind < 2 THEN 1 WHEN kind = 2 THEN -1 ELSE 0 END AS n_citations FROM (SELECT conv_id * 1000 + turn AS id, (conv_id * 1000 + turn) % 5 AS kind, text FROM conversations WHERE role = 'assistant')""",
 }
 from .q_rank import words_sql  # noqa: E402
 

@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 from docweave.plans import registry
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -34,6 +35,7 @@ def norm(v):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
+    assert df.inputFiles(), "it reads no table"
     cols = sorted(df.columns)
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     if name not in registry.ORACLE:
@@ -45,5 +47,20 @@ def test_query(spark, con, name):
     assert got == sorted(tuple(norm(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_queries_read_whole_texts(spark, tmp_path):
+    """A mark at the end of each long text, far behind its middle, is seen by the queries that pass texts on."""
+    for t in ("documents", "conversations"):
+        x = spark.read.parquet(f"{SF}/{t}.parquet").withColumn("text", F.concat("text", F.lit(" zzendmark")))
+        x.write.parquet(f"{tmp_path}/{t}.parquet")
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "conversations")}
+    for name, table, column in [("ordered_distinct", "documents", "words"), ("clean_footnotes", "documents", "text"), ("toc_filter", "documents", "text"), ("speech_clean", "documents", "text")]:
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert got.where(F.col(column).contains("zzendmark")).count() == got.count() == n[table], name
+    got = registry.QUERIES["bm25_tf"](spark, str(tmp_path)).where("term = 'zzendmark'")
+    assert got.count() == n["documents"]
+    got = registry.QUERIES["answer_extract"](spark, str(tmp_path))
+    assert got.where(F.col("answer").endswith(" zzendmark")).count() == got.count() > 0
+
+
 def test_oracles_belong_to_queries():
     assert set(registry.ORACLE) <= set(registry.QUERIES)

@@ -4,12 +4,17 @@ from docweave.functions import models
 from docweave.operators import chunk as ck
 from docweave.operators import metrics as mt
 from docweave.operators import store as st
-from docweave.plans.q_store import ACT, DELTAS, TREATY
+from docweave.plans.q_store import ACT, TREATY
 from docweave.sources import corpus as cp
 from docweave.streaming import answers as an
 from docweave.streaming import cache as ca
 from pyspark.sql import functions as F
 
+DELTAS = [
+    ("a", 0, '{"ans'), ("a", 1, 'wer": "Sec'), ("a", 2, "tion 3(p)\\n"), ("a", 3, 'says \\"no'), ("a", 4, '\\".'), ("a", 5, '", "cit'), ("a", 6, 'ations": []'), ("a", 7, "}"),
+    ("b", 0, "Just "), ("b", 1, "some "), ("b", 2, "plain "), ("b", 3, "text."), ("c", 0, "<think>hidden"), ("c", 1, ' still</think>{"answer":'), ("c", 2, ' "shown"}'), ("d", 0, "long plain words " * 4), ("d", 1, "more of the same " * 4), ("d", 2, "end"),
+]
+
 
 def test_sections_and_clauses():
     names = [n for n, _ in ck.chunk(ACT)]
