@@ -11,6 +11,50 @@ def first_gold(candidates: DataFrame, gold: Column, rank: str = "rank") -> DataF
     return candidates.where(gold).groupBy("query_id").agg(F.min(rank).alias("gold_rank"))
 
 
+def judged(candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """candidates(query_id, title, section, ...) with `gold`: whether the expected document's name lies in the title and any
+    of the expected sections' in the section, whatever their case. gold(query_id, gold_doc, gold_sections)."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    named = low(F.col("title")).contains(low(F.col("gold_doc")))
+    placed = F.exists("gold_sections", lambda g: low(F.col("section")).contains(low(g)))
+    hit = F.coalesce(named & placed, F.lit(False))
+    return candidates.join(gold, "query_id", "left").withColumn("gold", hit).drop("gold_doc", "gold_sections")
+
+
+#: Words of an answer that tell a question apart whose premise does not hold.
+DENIALS = ("not", "cannot", "prohibit", "can be")
+
+
+def benchmark(questions: DataFrame, top: DataFrame, rank: str = "rank") -> DataFrame:
+    """A row of the published figures' inputs for each question. questions(query_id, exact, negative, answer, latency_ms),
+    top(query_id, rank, gold, text): what was answered from.
+
+    A negative question is right if its gold is on top or its answer denies; a citation is if the gold is on top.
+    """
+    per = top.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col(rank))).alias("gold_rank"), (F.count("*") - F.countDistinct(F.coalesce("text", F.lit("")))).alias("duplicates"))
+    x = questions.join(per, "query_id", "left")
+    said = F.lower(F.coalesce("answer", F.lit("")))
+    denied = F.lit(False)
+    for w in DENIALS:
+        denied = denied | said.contains(w)
+    hit = F.col("gold_rank").isNotNull()
+    return x.select(
+        "query_id", "exact", "negative", "gold_rank", hit.alias("hit"), F.coalesce(1.0 / F.col("gold_rank"), F.lit(0.0)).alias("rr"),
+        F.when(F.col("negative"), hit | denied).alias("negative_right"), F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "latency_ms",
+    )
+
+
+def published(rows: DataFrame, *by: str) -> DataFrame:
+    """The summary of `benchmark` rows: counts with their shares, as far as there are questions of the kind."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
+    of = lambda c, kind: F.round(F.avg(F.when(kind, F.col(c).cast("double"))), 6)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if("hit").alias("n_hit"), share("hit").alias("recall5"), F.round(F.avg("rr"), 6).alias("mrr"), of("hit", F.col("exact")).alias("exact_recall5"), of("hit", ~F.col("exact")).alias("paraphrased_recall5"),
+        F.count_if("negative").alias("n_negative"), of("negative_right", F.col("negative")).alias("negative_correct"), share("hit").alias("citation_accuracy"), F.sum("duplicates").alias("duplicates"),
+        F.round(F.avg("latency_ms"), 6).alias("mean_latency_ms"),
+    )
+
+
 def evaluated(queries: DataFrame, gold_ranks: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """queries with gold_rank, reciprocal rank and hits at each k, over the whole candidate pool."""
     x = queries.join(gold_ranks, "query_id", "left")

@@ -29,6 +29,8 @@ from ..functions.text import words
 from . import index as ix
 from .rank import K1, B, top
 
+#: To be changed with the columns below, so that a place that is named by it has no index of other columns.
+FORMAT = "postings-2"
 BUCKETS = 16
 BLOCK = 1024
 SEEDS = 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import contain
 from ..operators import metrics as mt
 from ..operators import postings as ps
 from ..operators import rank as rk
@@ -49,6 +50,29 @@ def eval_metrics(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("exact").agg(*mt.rates(KS))
 
 
+def eval_published(spark, sf_dir):
+    """The benchmark's summary for each domain: gold is judged by title and section, answers are put together from the five
+    documents on top, and a question's latency is that of the event with its number."""
+    one = F.struct("rank", F.col("source").alias("title"), F.concat(F.lit("Section "), F.col("id")).alias("section"), "text")
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", "text")
+    top = candidates(spark, sf_dir, 5, d).select("query_id", one.alias("c")).select("query_id", "c.*")
+    item = F.col("query_id")
+    gold = questions(spark, sf_dir).select("query_id", F.concat(F.lit("SRC"), item % 3).alias("gold_doc"), F.array(F.concat(F.lit("section "), item % 5), F.lit("SECTION 9")).alias("gold_sections"))
+    answers = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "section", "text"))).alias("chunks")).select("query_id", rl.template_answer(F.col("chunks")).alias("answer"))
+    took = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), (F.col("value") * 100).alias("latency_ms"))
+    q = questions(spark, sf_dir).select("query_id", "exact", "domain", (item % 4 == 3).alias("negative")).join(answers, "query_id", "left").join(took, "query_id", "left")
+    rows = mt.benchmark(q, mt.judged(top, gold)).join(q.select("query_id", "domain"), "query_id")
+    return mt.published(rows, "domain")
+
+
+def contained_lines(spark, sf_dir):
+    """The documents that hold a sentence of a benchmark item, whole."""
+    lines = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.posexplode(F.split("text", r"(?<=\.)\s+")).alias("line", "text"))
+    lines = lines.select(F.struct("item_id", "line").alias("at"), "text")
+    found = contain.contained(docs(spark, sf_dir).select("doc_id", "text"), lines, "doc_id", "at")
+    return found.select(F.col("whole").alias("doc_id"), F.col("part.item_id").alias("item_id"), F.col("part.line").cast("bigint").alias("line"))
+
+
 def eval_by_domain(spark, sf_dir):
     return judged(spark, sf_dir).groupBy("domain").agg(*mt.rates(KS))
 
@@ -125,7 +149,7 @@ def ranked_tiers(spark, sf_dir):
     return x.select("query_id", "id", "rank", "score", F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), s * 100)), 6).alias("percentage"), rl.relevance_tier(s).alias("tier"), (F.col("rank") <= 4).alias("used"), tx.truncated(F.col("text"), 180, 180).alias("snippet"))
 
 
-_NAMES = "eval_metrics eval_by_domain failure_modes failure_table abstention context_assembly template_answer ranked_tiers".split()
+_NAMES = "eval_metrics eval_published contained_lines eval_by_domain failure_modes failure_table abstention context_assembly template_answer ranked_tiers".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _TERMS = f"SELECT item_id AS query_id, unnest({words_sql('text')}) AS term FROM benchmark"
@@ -139,6 +163,15 @@ _CHUNKS = f"{_POOL}, c AS (SELECT query_id, rank, source AS title, 'Section ' ||
 _CITE = "'[' || title || '] ' || section"
 ORACLE = {
     "eval_metrics": f"{_JUDGED} SELECT exact, {_RATES} FROM judged GROUP BY 1",
+    "eval_published": f"""{_CHUNKS}, t AS (SELECT c.*, contains(lower(title), 'src' || (query_id % 3)) AND (contains(lower(section), 'section ' || (query_id % 5)) OR contains(lower(section), 'section 9')) AS gold FROM c),
+        g AS (SELECT query_id, min(rank) FILTER (gold) AS gold_rank, count(*) - count(DISTINCT coalesce(text, '')) AS duplicates, list({_CITE} ORDER BY rank) AS cites, arg_min(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), rank) AS lead FROM t GROUP BY 1),
+        a AS (SELECT *, 'according to ' || lower(cites[1] || CASE WHEN length(lead) > 300 THEN left(lead, 297) ELSE lead END || array_to_string(cites[2:3], ', ')) || ' additional applicable authorities include: none' AS said FROM g),
+        r AS (SELECT item_id AS query_id, item_id % 2 = 0 AS exact, 'domain ' || (item_id % 5) AS domain, item_id % 4 = 3 AS negative, gold_rank, gold_rank IS NOT NULL AS hit, coalesce(duplicates, 0) AS duplicates, value * 100 AS latency_ms,
+            contains(coalesce(said, ''), 'not') OR contains(coalesce(said, ''), 'cannot') OR contains(coalesce(said, ''), 'prohibit') OR contains(coalesce(said, ''), 'can be') AS denied FROM benchmark LEFT JOIN a ON query_id = item_id LEFT JOIN events ON event_id = item_id)
+        SELECT domain, count(*) AS n, count(*) FILTER (hit) AS n_hit, round(avg(hit::INT), 6) AS recall5, round(avg(coalesce(1.0 / gold_rank, 0)), 6) AS mrr, round(avg(hit::INT) FILTER (exact), 6) AS exact_recall5, round(avg(hit::INT) FILTER (NOT exact), 6) AS paraphrased_recall5,
+            count(*) FILTER (negative) AS n_negative, round(avg((hit OR denied)::INT) FILTER (negative), 6) AS negative_correct, round(avg(hit::INT), 6) AS citation_accuracy, sum(duplicates)::BIGINT AS duplicates, round(avg(latency_ms), 6) AS mean_latency_ms FROM r GROUP BY 1""",
+    "contained_lines": r"""WITH l AS (SELECT item_id, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS line FROM (SELECT item_id, string_split(regexp_replace(text, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS w FROM benchmark))
+        SELECT doc_id, item_id, line FROM l JOIN documents d ON contains(d.text, l.text) WHERE trim(l.text) <> ''""",
     "eval_by_domain": f"{_JUDGED} SELECT domain, {_RATES} FROM judged GROUP BY 1",
     "failure_modes": f"""{_POOL}, q AS (SELECT item_id AS query_id, item_id % 2 = 0 AS exact FROM benchmark), gold AS (SELECT DISTINCT doc_id AS id FROM labels WHERE quality = 1),
         near AS (SELECT * FROM (SELECT query_id, p.vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(p.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) DESC, p.vec_id) AS rank FROM q JOIN embeddings v ON v.vec_id = query_id, embeddings p) WHERE rank <= {DENSE}),

@@ -72,7 +72,7 @@ def stored_index(spark, sf_dir) -> ps.Postings:
     It is named by the documents' files, so that other or changed ones have one of their own, and written under another
     name before, so that no query finds one that is not whole.
     """
-    path = f"{shared_dir(spark)}/docweave-index/{version(spark, f'{sf_dir}/documents.parquet')}"
+    path = f"{shared_dir(spark)}/docweave-index/{ps.FORMAT}-{version(spark, f'{sf_dir}/documents.parquet')}"
     found = ps.stored(spark, path)
     if found is None:
         own = f"{path}-{uuid.uuid4().hex}"

@@ -141,6 +141,21 @@ def conditional_counts(spark, sf_dir):
     return d.agg(F.count("*").alias("total"), F.count_if(F.col("lang") == "en").alias("national"), F.count_if(F.col("lang") != "en").alias("international"))
 
 
+def locate_files(spark, sf_dir):
+    """Conversations as files, asked for by their names, in capitals, without separators, by longer names and by wrong ones."""
+    ids = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    name = F.concat(F.lit("Conv-"), "conv_id", F.lit(".pdf"))
+    i = F.col("conv_id") % 5
+    asked = F.when(i == 0, name).when(i == 1, F.upper(name)).when(i == 2, F.concat(F.lit("conv "), "conv_id", F.lit(".pdf"))).when(i == 3, F.concat(F.lit("conv_"), "conv_id", F.lit("(a copy).pdf"))).otherwise(F.concat(F.lit("the conv "), "conv_id", F.lit("pdf of all")))
+    return cp.locate(ids.select(asked.alias("filename")), ids.select(name.alias("name"), F.concat(F.lit("/corpus/"), name).alias("path")))
+
+
+def corpus_pages(spark, sf_dir):
+    """The documents of each jurisdiction, in pages of a hundred, as a client asks for them."""
+    d = table(spark, sf_dir, "documents").withColumn("jurisdiction", F.when(F.col("lang") == "en", "national").otherwise("international"))
+    return cp.paged(d, "jurisdiction", "doc_id", 100).select("jurisdiction", "doc_id", "source", "n_chars", "page", "place")
+
+
 def corpus_grouped(spark, sf_dir):
     """Documents by jurisdiction and source: counts and ranges rather than lists, which a hot source would outgrow."""
     d = table(spark, sf_dir, "documents")
@@ -271,7 +286,7 @@ def stage_order(spark, sf_dir):
 
 
 _NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
-argmin_sweep feedback_flatten conditional_counts corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
+argmin_sweep feedback_flatten conditional_counts locate_files corpus_pages corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
 subclause_split recursive_split answer_extract cache_replay sse_decode stage_order""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -312,6 +327,12 @@ ORACLE = {
     "feedback_flatten": f"""SELECT id, CASE kind WHEN 1 THEN 'down' ELSE 'up' END AS rating, CASE kind WHEN 0 THEN 'good' END AS comment, left(coalesce(snippet, ''), 500) AS snippet, left(replace(coalesce(snippet, ''), chr(10), ' '), 300) AS export_snippet,
         CASE kind WHEN 0 THEN 'Act (Section ' || id || '); Rule 2; Only source' ELSE '' END AS citations FROM (SELECT row AS id, row % 3 AS kind, CASE WHEN row % 5 > 0 THEN text || chr(10) || text END AS snippet FROM ({ASSISTANT_SQL}))""",
     "conditional_counts": "SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS national, count(*) FILTER (lang <> 'en') AS international FROM documents",
+    "locate_files": r"""WITH n AS (SELECT DISTINCT conv_id, 'Conv-' || conv_id || '.pdf' AS name FROM conversations),
+        w AS (SELECT CASE conv_id % 5 WHEN 0 THEN name WHEN 1 THEN upper(name) WHEN 2 THEN 'conv ' || conv_id || '.pdf' WHEN 3 THEN 'conv_' || conv_id || '(a copy).pdf' ELSE 'the conv ' || conv_id || 'pdf of all' END AS filename FROM n),
+        p AS (SELECT filename, regexp_replace(lower(filename), '[\s_.,()-]', '', 'g') AS a FROM w), q AS (SELECT name, regexp_replace(lower(name), '[\s_.,()-]', '', 'g') AS b FROM n),
+        j AS (SELECT *, CASE WHEN filename = name THEN 1 WHEN lower(filename) = lower(name) THEN 2 WHEN contains(a, b) OR contains(b, a) THEN 3 END AS r FROM p, q)
+        SELECT filename, '/corpus/' || arg_min(name, (r, name)) FILTER (r IS NOT NULL) AS path FROM j GROUP BY 1""",
+    "corpus_pages": "SELECT jurisdiction, doc_id, source, n_chars, (n - 1) // 100 AS page, (n - 1) % 100 AS place FROM (SELECT *, row_number() OVER (PARTITION BY jurisdiction ORDER BY doc_id) AS n FROM (SELECT *, CASE WHEN lang = 'en' THEN 'national' ELSE 'international' END AS jurisdiction FROM documents))",
     "corpus_grouped": "SELECT CASE WHEN lang = 'en' THEN 'national' ELSE 'international' END AS jurisdiction, source, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2",
     "incremental_ingest": "SELECT doc_id AS id, sha256(text) AS content_hash FROM documents WHERE doc_id % 7 = 0",
     "page_range_join": f"SELECT page_id, part FROM pages JOIN {sql_values(fixed.DRUG_ACT_PAGES, 'r', 'start, stop, part')} ON page_id >= start AND page_id < stop",

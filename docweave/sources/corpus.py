@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed
+from ..operators import contain
 
 MANIFEST_COLUMNS = "id title authority category jurisdiction priority document_type year filename chunk_strategy citation_prefix update_frequency official_url".split()
 MANIFEST = StructType([StructField(c, StringType()) for c in MANIFEST_COLUMNS])
@@ -45,13 +46,39 @@ def state(spark: SparkSession, path: str) -> DataFrame:
 
 def locate(wanted: DataFrame, found: DataFrame, name: str = "filename") -> DataFrame:
     """wanted with the path of the file it names: equal, equal but for case, or either containing the other once
-    separators are left out; the first of these."""
+    separators are left out; the first of these. Names are met by equality and by their grams, never pair by pair."""
     plain = lambda c: F.regexp_replace(F.lower(c), r"[\s_.,()-]", "")
-    a, b = F.col(f"w.{name}"), F.col("f.name")
-    rank = F.when(a == b, 1).when(F.lower(a) == F.lower(b), 2).when(plain(a).contains(plain(b)) | plain(b).contains(plain(a)), 3)
-    x = wanted.alias("w").join(found.select("name", "path").alias("f"), rank.isNotNull(), "left")
-    n = F.row_number().over(Window.partitionBy(f"w.{name}").orderBy(F.asc_nulls_last(rank), "f.name"))
-    return x.withColumn("_n", n).where("_n = 1").select("w.*", "path")
+    f = found.groupBy("name").agg(F.min("path").alias("path"))
+    a, b = wanted.select(F.col(name).alias("w")).distinct(), f.select(F.col("name").alias("f"))
+    same = a.join(b, F.lower("w") == F.lower("f")).select("w", "f", F.when(F.col("w") == F.col("f"), 1).otherwise(2).alias("rank"))
+    near = contain.either(a.withColumn("text", plain("w")), b.withColumn("text", plain("f")), "w", "f")
+    near = near.select(F.col("a").alias("w"), F.col("b").alias("f"), F.lit(3).alias("rank"))
+    best = same.unionByName(near).groupBy("w").agg(F.min(F.struct("rank", "f")).alias("best"))
+    best = best.join(f, F.col("best.f") == F.col("name")).select(F.col("w").alias(name), "path")
+    return wanted.join(best, name, "left")
+
+
+#: Ranges of a key that are numbered apart.
+RANGES = 200
+
+
+def paged(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """rows with their page and place on it, both from 0, in order of key, a number, within each group.
+
+    A group may be most of the table, so that its rows are never numbered in one task: they are numbered within ranges of
+    the key, and moved on by the rows of the group in the ranges before. The driver gets the ranges' bounds.
+    """
+    shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    bounds = rows.agg(F.percentile_approx(key, shares, F.lit(100 * RANGES))).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    dealt = rows.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(key))))
+    counts = dealt.groupBy(group, "_range").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), before.alias("_before"))
+    n = F.row_number().over(Window.partitionBy(group, "_range").orderBy(key)) - 1
+    x = dealt.withColumn("_n", n).join(counts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    at = F.col("_n") + F.col("_before")
+    return x.select(*rows.columns, F.floor(at / size).alias("page"), (at % size).alias("place"))
 
 
 def text_layer(pages: DataFrame, document: str, page: str, chars: str, sample: int = 5, mean: int = 50, total: int = 100) -> DataFrame:
