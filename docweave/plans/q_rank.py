@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import legal_tokens, rerank_text, searchable, sigmoid, statutory_tokens, uuid5, DNS, words
+from ..operators import ann as an
 from ..operators import index as ix
 from ..operators import postings as ps
 from ..operators import rank as rk
@@ -152,6 +153,18 @@ def dense_topk_filtered(spark, sf_dir):
     return d.select("id", F.round("score", 6).alias("score"), "rank")
 
 
+def dense_approximate(spark, sf_dir):
+    """The neighbours of every hundredth vector through an index of codes, each question with its recall of the exact list
+    and the share of all vectors that were scored exactly for it."""
+    p = points(spark, sf_dir)
+    q = p.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = an.build(p.select("id", "embedding"), f"{shared_dir(spark)}/docweave-index/vectors-{uuid.uuid4().hex}")
+    found = an.search(index, q)
+    scored = an.candidates(index, q).groupBy("query_id").agg(F.count("*").alias("scored")).crossJoin(F.broadcast(p.agg(F.count("*").alias("n"))))
+    x = found.join(an.recall(found, rk.dense(p, q)), "query_id").join(scored, "query_id")
+    return x.select("query_id", "id", "rank", F.round("score", 6).alias("score"), "recall", F.round(F.col("scored") / F.col("n"), 6).alias("share_scored"))
+
+
 def fused(spark, sf_dir):
     sparse = search(spark, sf_dir, jurisdiction="en")
     return rk.fuse(rk.dense(points(spark, sf_dir), first_vector(spark, sf_dir)), sparse)
@@ -286,7 +299,7 @@ def legal_search(spark, sf_dir):
     return rk.bm25(ix.build(d, "doc_id", "lang", "text", terms.select("term"), legal_tokens), terms, 10).select("id", "jurisdiction", F.round("score", 6).alias("score"), "rank")
 
 
-_NAMES = """bm25_topk bm25_tf bm25_df bm25_stats bm25_two_query_merge bm25_cache_parity bm25_incremental dense_topk dense_topk_filtered rrf_fusion diversified_topk rerank_pairs
+_NAMES = """bm25_topk bm25_tf bm25_df bm25_stats bm25_two_query_merge bm25_cache_parity bm25_incremental dense_approximate dense_topk dense_topk_filtered rrf_fusion diversified_topk rerank_pairs
 rerank_topk sigmoid_calibration neighbours rank_then_filter isolation_check tokenize_words tokenize_statutory uuid5_ids content_hash hybrid_retrieval legal_search""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
