@@ -15,9 +15,12 @@ nothing is cut; memory holds such a window, and so the longest stretch without s
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -63,18 +66,60 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+class _Stretches:
+    """Where code points stand in the parent, by stretches: some that stand as they are, one after the other, and single
+    decoded ones. Of each its first code point and place, and the end if it is a decoded one, else -1."""
+
+    __slots__ = ("ends", "firsts", "places")
+
+    def __init__(self) -> None:
+        self.firsts, self.places, self.ends = array("q"), array("q"), array("q")
+
+    def add(self, first: int, place: int, end: int = -1) -> None:
+        self.firsts.append(first)
+        self.places.append(place)
+        self.ends.append(end)
+
+    def start(self, i: int) -> int:
+        k = bisect.bisect_right(self.firsts, i) - 1
+        return self.places[k] + (i - self.firsts[k] if self.ends[k] < 0 else 0)
+
+    def end(self, i: int) -> int:
+        k = bisect.bisect_right(self.firsts, i) - 1
+        return self.places[k] + i - self.firsts[k] + 1 if self.ends[k] < 0 else self.ends[k]
+
+
+class _Encoded:
+    """Where the code points of a text from byte `at` of what a base64 run holds from its character `shift` on stand; places
+    has those of the run's characters."""
+
+    __slots__ = ("at", "places", "plain", "shift")
+
+    def __init__(self, plain: str, at: int, shift: int, places: Sequence[int]) -> None:
+        self.plain, self.at, self.shift, self.places = plain, at, shift, places
+
+    def _byte(self, i: int) -> int:
+        return self.at + (i if self.plain.isascii() else len(self.plain[:i].encode()))
+
+    def start(self, i: int) -> int:
+        return self.places[self.shift + self._byte(i) * 4 // 3]
+
+    def end(self, i: int) -> int:
+        return self.places[min(self.shift - (-self._byte(i + 1) * 4 // 3), len(self.places)) - 1] + 1
+
+
 class _Layer:
-    """Decoded text; starts[i] and ends[i] say where its i-th code point stands in the parent, or span holds for all."""
+    """Decoded text; places says where its code points stand in the parent, or span holds for all."""
 
-    __slots__ = ("ends", "span", "starts", "text")
+    __slots__ = ("places", "span", "text")
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, span: tuple[int, int] | None = None) -> None:
-        self.text, self.starts, self.ends, self.span = text, starts, ends, span
+    def __init__(self, text: str, places: _Stretches | _Encoded | None = None, span: tuple[int, int] | None = None) -> None:
+        self.text, self.places, self.span = text, places, span
 
     def above(self, spans: Iterable[Span]) -> Iterator[Span]:
         """Spans of this layer, where they stand in its parent."""
         for k, start, end in spans:
-            yield (k, *(self.span or (self.starts[start], self.ends[end - 1])))
+            yield (k, *(self.span or (self.places.start(start), self.places.end(end - 1))))
 
 
 def _text_of(raw: bytes) -> str | None:
@@ -95,25 +140,36 @@ def _escaped_layers(text: str, escape: re.Pattern) -> Iterator[_Layer]:
 
 
 def _unescaped(text: str, run: list[re.Match], at: int, end: int) -> _Layer:
-    parts: list[tuple[bytes, int, int]] = []
+    """The stretch [at, end) with its escapes decoded: as UTF-8, neighbouring ones together, or else byte by byte."""
+    groups: list[list[re.Match]] = []
     for m in run:
-        parts += [(text[i].encode(errors="replace"), i, i + 1) for i in range(at, m.start())]
-        code = int(m[m.lastindex], 16)
-        parts.append((bytes([code]) if m[0][0] == "%" else chr(code).encode(errors="replace"), m.start(), m.end()))
-        at = m.end()
-    parts += [(text[i].encode(errors="replace"), i, i + 1) for i in range(at, end)]
-    raw, places = b"".join(p[0] for p in parts), [(s, e) for b, s, e in parts for _ in b]
+        if groups and groups[-1][-1].end() == m.start():
+            groups[-1].append(m)
+        else:
+            groups.append([m])
+    raws = [[bytes([int(m[1], 16)]) if m[0][0] == "%" else chr(int(m[m.lastindex], 16)).encode(errors="replace") for m in g] for g in groups]
     try:
-        text = raw.decode()
+        plain = [b"".join(r).decode() for r in raws]
     except UnicodeDecodeError:
-        return _Layer(raw.decode("latin-1"), [x[0] for x in places], [x[1] for x in places])
-    starts, ends, i = [], [], 0
-    for c in text:
-        n = len(c.encode())
-        starts.append(places[i][0])
-        ends.append(places[i + n - 1][1])
-        i += n
-    return _Layer(text, starts, ends)
+        plain = None
+    parts, places, n = [], _Stretches(), 0
+    for k, (group, raw) in enumerate(zip(groups, raws, strict=True)):
+        if at < group[0].start():
+            parts.append(text[at : group[0].start()])
+            places.add(n, at)
+            n += len(parts[-1])
+        parts.append(plain[k] if plain else b"".join(raw).decode("latin-1"))
+        escapes = [m for m, b in zip(group, raw, strict=True) for _ in b]  # of each byte
+        i = 0
+        for c in parts[-1]:
+            width = len(c.encode()) if plain else 1
+            places.add(n, escapes[i].start(), escapes[i + width - 1].end())
+            n, i = n + 1, i + width
+        at = group[-1].end()
+    if at < end:
+        parts.append(text[at:end])
+        places.add(n, at)
+    return _Layer("".join(parts), places)
 
 
 def _base64_layers(text: str) -> Iterator[_Layer]:
@@ -121,7 +177,7 @@ def _base64_layers(text: str) -> Iterator[_Layer]:
         yield from _decoded(m[0].rstrip("="), range(m.start(), m.end()))
     for m in _WRAPPED.finditer(text):
         for lines in _blocks([x.span() for x in _LINE.finditer(text, *m.span())]):
-            places = [i for start, end in lines for i in range(start, end)]
+            places = array("q", itertools.chain.from_iterable(range(*x) for x in lines))
             yield from _decoded("".join(text[start:end] for start, end in lines), places)
 
 
@@ -150,39 +206,33 @@ def _decoded(run: str, places: Sequence[int]) -> Iterator[_Layer]:
         if not part:
             return
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        packed = _compressed(raw) and not shift
         whole = _text_of(raw) if not shift else None
-        if packed:
-            yield from (_Layer(t, span=(places[0], places[-1] + 1)) for t in _inflated(raw))
+        opened: set[int] = set()
+        if _compressed(raw) and not shift:
+            yield from (_Layer(t, span=(places[0], places[-1] + 1)) for t in _inflated(raw, 0, opened))
         if whole is not None:
             yield _placed(whole, 0, shift, places)
             return
         for m in _READABLE.finditer(raw):
             yield _placed(m[0].decode(), m.start(), shift, places)
-        for m in _GZIP.finditer(raw, 1 if packed else 0):
-            at = shift + m.start() * 4 // 3
-            yield from (_Layer(t, span=(places[at], places[-1] + 1)) for t in _inflated(raw[m.start() :]))
+        for m in _GZIP.finditer(raw):
+            if m.start() not in opened:
+                at = shift + m.start() * 4 // 3
+                yield from (_Layer(t, span=(places[at], places[-1] + 1)) for t in _inflated(raw, m.start(), opened))
 
 
 def _placed(plain: str, at: int, shift: int, places: Sequence[int]) -> _Layer:
-    """Text from byte `at` of what a run holds from its character `shift` on."""
-    starts, ends, last = [], [], len(places)
-    for c in plain:
-        n = len(c.encode())
-        starts.append(places[shift + at * 4 // 3])
-        ends.append(places[min(shift - (-(at + n) * 4 // 3), last) - 1] + 1)
-        at += n
-    return _Layer(plain, starts, ends)
+    return _Layer(plain, _Encoded(plain, at, shift, places))
 
 
 def _compressed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0)
 
 
-def _inflated(raw: bytes) -> Iterator[str]:
-    """The windows of what gzip or zlib streams hold, one after the other, and of plain text behind them."""
+def _inflated(raw: bytes, start: int, opened: set[int]) -> Iterator[str]:
+    """The windows of what gzip or zlib streams from byte `start` on hold, one after the other; opened gets where they begin."""
     held, size = [], 0
-    for piece in _pieces(raw):
+    for piece in _pieces(raw, start, opened):
         held.append(piece)
         size += len(piece)
         if size >= STEP and (cut := len(piece.rstrip(_INSIDE_BYTES))):
@@ -193,9 +243,12 @@ def _inflated(raw: bytes) -> Iterator[str]:
         yield b"".join(held).decode("utf-8", "replace")
 
 
-def _pieces(raw: bytes) -> Iterator[bytes]:
-    """The bytes of all members, STEP at most at once; a damaged stream gives what comes before the damage."""
+def _pieces(raw: bytes, start: int, opened: set[int]) -> Iterator[bytes]:
+    """The bytes of all members, STEP at most at once; a damaged stream gives what comes before the damage. Plain text behind
+    them is a readable stretch of its own."""
+    length, raw = len(raw), raw[start:]
     while _compressed(raw):
+        opened.add(length - len(raw))
         stream = zlib.decompressobj(47)
         while not stream.eof:
             before = stream.copy()
@@ -209,8 +262,6 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
                 break
             yield piece
         raw = stream.unused_data.lstrip(b"\0")
-    if _text_of(raw) is not None:
-        yield b"\n" + raw
 
 
 def _before_damage(stream: zlib._Decompress, raw: bytes) -> Iterator[bytes]:

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -191,3 +192,23 @@ def test_empty_and_clashing(spark):
     docs = documents(spark, AWKWARD)
     assert s.op9(docs.limit(0)).count() == 0
     assert s.op9(docs.selectExpr("*", "1 as found", "2 as key", "'q' as spans")).count() == len(AWKWARD)
+
+
+def test_members_of_one_run_are_read_once():
+    one, two = gzip.compress(b"token=abcdefgh1 and words"), gzip.compress(b"nothing but words here")
+    text = base64.b64encode(one + two).decode()
+    assert [x for x in s.scan(text) if x[0] == "layer_assign"] == [("layer_assign", 0, len(text))]
+    behind = base64.b64encode(b"\x00\x01\xfe" * 5 + two + one).decode()
+    assert len([x for x in s.scan(behind) if x[0] == "layer_assign"]) == 1
+    tail = base64.b64encode(two + b" token=abcdefgh1 behind it").decode()
+    assert len([x for x in s.scan(tail) if x[0] == "layer_assign"]) == 1
+
+
+def test_a_long_stretch_with_one_escape_takes_little_memory():
+    text = "plain words without an end " * 300_000 + "token=%41bcdefgh1"
+    tracemalloc.start()
+    spans = s.scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("layer_assign", len(text) - 17, len(text)) in spans
+    assert peak < 8 * len(text)
