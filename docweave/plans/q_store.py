@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -12,7 +15,7 @@ from ..operators import store as st
 from ..sources import corpus as cp
 from ..streaming import answers as an
 from ..streaming import cache as ca
-from .tables import ASSISTANT_SQL, DOCUMENTS_SQL, USER_SQL, documents_as, literal, spread, spread_sql, sql_values, table, turns_as, values
+from .tables import ASSISTANT_SQL, DOCUMENTS_SQL, USER_SQL, documents_as, literal, shared_dir, spread, spread_sql, sql_values, table, turns_as, values
 
 
 def messages(spark, sf_dir):
@@ -250,18 +253,45 @@ DELTAS = [
 ]
 
 
-def deltas(spark, sf_dir, size=40):
+def deltas(turns, size=40):
     """Assistant turns as a model streams them: JSON in pieces of so many characters, for every other turn after thoughts."""
-    t = turns_as(spark, sf_dir, "assistant")
     said = F.to_json(F.struct(F.col("text").alias("answer"), F.array(F.lit("a")).alias("citations")))
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("said") - 1) / size).cast("int")), lambda i: F.substring("said", i * size + 1, size))
     thoughts = F.when(F.col("row") % 2 == 0, F.array(F.lit("<think>hidden"), F.lit(' "answer": "not this"</think>'))).otherwise(F.array().cast("array<string>"))
-    x = t.select(F.col("row").cast("string").alias("request_id"), "row", said.alias("said"))
-    return x.select("request_id", F.posexplode(F.concat(thoughts, parts)).alias("seq", "delta"))
+    x = turns.select(F.col("row").cast("string").alias("request_id"), "row", said.alias("said"))
+    return x.select("request_id", F.posexplode(F.concat(thoughts, parts)).alias("seq", "delta")).withColumn("seq", F.col("seq").cast("bigint"))
 
 
 def answer_extract(spark, sf_dir):
-    return an.extract(deltas(spark, sf_dir))
+    return an.extract(deltas(turns_as(spark, sf_dir, "assistant")))
+
+
+def streamed(spark, sf_dir, name, of_table):
+    """What a streaming query over all files of a table writes until it has read them, read back; of_table: stream to stream.
+
+    The files are a glob, as a file stream takes no single file by its name.
+    """
+    at = f"{shared_dir(spark)}/docweave-streams/{name}-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}*.parquet")
+    found = of_table(source)
+    found.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/out")
+
+
+def answer_stream(spark, sf_dir):
+    """Answers put together while their deltas arrive."""
+    turns = lambda c: c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "text")
+    x = streamed(spark, sf_dir, "conversations", lambda c: an.extract_stream(deltas(turns(c))))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"])
+    return x.groupBy("request_id").agg(F.array_join(parts, "").alias("answer"))
+
+
+def turn_memory_stream(spark, sf_dir):
+    """What is remembered of each conversation when its last turn has arrived."""
+    turns = lambda c: c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    x = streamed(spark, sf_dir, "conversations", lambda c: an.recent_turns_stream(turns(c))).distinct()
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return x.withColumn("n", n).where("n <= 3").drop("n")
 
 
 def cache_replay(spark, sf_dir):
@@ -278,16 +308,25 @@ def sse_decode(spark, sf_dir):
     return an.decode_events(t.select(F.col("row").alias("request_id"), F.when(F.col("row") % 4 > 0, body).otherwise("").alias("body")))
 
 
-def stage_order(spark, sf_dir):
+def stages(events):
     """Events as stages of their users' requests; by what a stage is told, some come late and some are unknown."""
-    e = table(spark, sf_dir, "events").selectExpr("user_id as request_id", "event_id as seq", f"cast((event_id * 7 + user_id) % {len(fixed.STAGES) + 2} as int) as n")
+    e = events.selectExpr("user_id as request_id", "event_id as seq", f"cast((event_id * 7 + user_id) % {len(fixed.STAGES) + 2} as int) as n")
     known = F.array(*map(F.lit, fixed.STAGES))
-    return an.out_of_order(e.select("request_id", "seq", F.coalesce(F.get(known, F.col("n")), F.when(F.col("n") == len(fixed.STAGES), "error").otherwise("unknown")).alias("stage")), fixed.STAGES)
+    return e.select("request_id", "seq", F.coalesce(F.get(known, F.col("n")), F.when(F.col("n") == len(fixed.STAGES), "error").otherwise("unknown")).alias("stage"))
+
+
+def stage_order(spark, sf_dir):
+    return an.out_of_order(stages(table(spark, sf_dir, "events")), fixed.STAGES)
+
+
+def stage_order_stream(spark, sf_dir):
+    """The same, checked while the events arrive."""
+    return streamed(spark, sf_dir, "events", lambda e: an.out_of_order_stream(stages(e), fixed.STAGES))
 
 
 _NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
 argmin_sweep feedback_flatten conditional_counts locate_files corpus_pages corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
-subclause_split recursive_split answer_extract cache_replay sse_decode stage_order""".split()
+subclause_split recursive_split answer_extract answer_stream turn_memory_stream cache_replay sse_decode stage_order stage_order_stream""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _M = "(SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, role, text AS content, turn AS timestamp FROM conversations)"
@@ -346,3 +385,5 @@ ORACLE = {
     "stage_order": f"""SELECT request_id, seq, stage FROM (SELECT *, lag(place) OVER (PARTITION BY request_id ORDER BY seq) AS before FROM (SELECT *, coalesce(list_position({literal(fixed.STAGES)}, stage), 0) AS place FROM (SELECT user_id AS request_id, event_id AS seq, coalesce({literal(fixed.STAGES)}[(event_id * 7 + user_id) % {len(fixed.STAGES) + 2} + 1], CASE WHEN (event_id * 7 + user_id) % {len(fixed.STAGES) + 2} = {len(fixed.STAGES)} THEN 'error' ELSE 'unknown' END) AS stage FROM events) WHERE stage <> 'error'))
         WHERE place = 0 OR place < before""",
 }
+ORACLE["answer_stream"], ORACLE["stage_order_stream"] = ORACLE["answer_extract"], ORACLE["stage_order"]
+ORACLE["turn_memory_stream"] = "SELECT conv_id, turn, text AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 3"

@@ -7,7 +7,7 @@ query. A tag split over deltas is not seen, \\uXXXX is not decoded, and text bef
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -75,18 +75,46 @@ def extract(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("request_id").applyInPandas(_fold, "request_id string, answer string")
 
 
-def extract_stream(deltas: DataFrame) -> DataFrame:
-    """The same on a stream: each batch's new text per request; the fold's state is kept between batches."""
+def _stateful(rows: DataFrame, key: str, schema: str, state: str, step: Callable, expiry_ms: int | None) -> DataFrame:
+    """step(key, new rows as a frame, state or None) -> (frame, new state) for each key and batch.
+
+    A key of which nothing has come for expiry_ms milliseconds is forgotten. None, for streams that end: a trigger that
+    waits for expiries, as availableNow does, would not come to an end.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        e = Extractor(json.loads(state.get[0]) if state.exists else None)
-        rows = pd.concat(list(parts)).sort_values("seq")
+    def run(of: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        out, new = step(of[0], pd.concat(list(parts)), held.get if held.exists else None)
+        held.update(new)
+        if expiry_ms is not None:
+            held.setTimeoutDuration(expiry_ms)
+        if len(out):
+            yield out
+
+    return rows.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout if expiry_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _newer(rows: pd.DataFrame, last: int) -> pd.DataFrame:
+    """Rows in order of seq, each once, without those at or before `last`: they were there already, or come too late."""
+    rows = rows[rows["seq"] > last]
+    return rows.sort_values("seq").drop_duplicates("seq")
+
+
+def extract_stream(deltas: DataFrame, expiry_ms: int | None = None) -> DataFrame:
+    """The same on a stream: each batch's new text of each request, and the last delta that it is from. The fold's state is
+    kept between batches; deltas that come again, or after later ones, are dropped."""
+
+    def step(request: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        fold, last = state or (None, -1)
+        e, rows = Extractor(json.loads(fold) if fold else None), _newer(rows, last)
         text = "".join(e.feed(d) for d in rows["delta"])
-        state.update((json.dumps(e.s),))
-        yield pd.DataFrame({"request_id": [key[0]], "text": [text]})
+        last = int(rows["seq"].max()) if len(rows) else last
+        return pd.DataFrame({"request_id": [request], "seq": [last], "text": [text]}).iloc[: len(rows)], (json.dumps(e.s), last)
 
-    return deltas.groupBy("request_id").applyInPandasWithState(step, "request_id string, text string", "fold string", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(deltas, "request_id", "request_id string, seq bigint, text string", "fold string, seq bigint", step, expiry_ms)
 
 
 def decode_events(lines: DataFrame, raw: str = "body") -> DataFrame:
@@ -106,16 +134,33 @@ def out_of_order(events: DataFrame, stages: list[str]) -> DataFrame:
     return x.where((F.col("place") == 0) | (F.col("place") < F.col("before"))).select("request_id", "seq", "stage")
 
 
-def recent_turns_stream(turns: DataFrame, last: int = 3) -> DataFrame:
-    """Bounded memory of a stream of turns(conv_id, turn, query): each conversation's last ones after each batch."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def out_of_order_stream(events: DataFrame, stages: list[str], expiry_ms: int | None = None) -> DataFrame:
+    """The same while the events arrive: the place that a request has reached is kept between batches."""
+
+    def step(request: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        reached, last = state or (0, -1)
+        wrong, rows = [], _newer(rows, last)
+        for seq, stage in zip(rows["seq"], rows["stage"], strict=True):
+            if stage == "error":
+                continue
+            place = stages.index(stage) + 1 if stage in stages else 0
+            if place == 0 or place < reached:
+                wrong.append((request, int(seq), stage))
+            reached = place
+        return pd.DataFrame(wrong, columns=["request_id", "seq", "stage"]), (reached, int(rows["seq"].max()) if len(rows) else last)
+
+    of = events.schema["request_id"].dataType.simpleString()
+    return _stateful(events, "request_id", f"request_id {of}, seq bigint, stage string", "reached int, seq bigint", step, expiry_ms)
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values("turn")
-        kept = (kept + [[int(t), q] for t, q in zip(rows["turn"], rows["query"], strict=True)])[-last:]
-        state.update((json.dumps(kept),))
-        yield pd.DataFrame({"conv_id": [key[0]] * len(kept), "turn": [t for t, _ in kept], "query": [q for _, q in kept]})
+def recent_turns_stream(turns: DataFrame, last: int = 3, expiry_ms: int | None = None) -> DataFrame:
+    """Bounded memory of a stream of turns(conv_id, turn, query): each conversation's last ones after each batch. A turn
+    that comes again replaces itself."""
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, turn bigint, query string", "kept string", "append", GroupStateTimeout.NoTimeout)
+    def step(conversation: object, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        kept = dict(json.loads(state[0])) if state else {}
+        kept |= {int(t): q for t, q in zip(rows["turn"], rows["query"], strict=True)}
+        kept = dict(sorted(kept.items())[-last:])
+        return pd.DataFrame({"conv_id": [conversation] * len(kept), "turn": list(kept), "query": list(kept.values())}), (json.dumps(list(kept.items())),)
 
+    return _stateful(turns, "conv_id", "conv_id bigint, turn bigint, query string", "kept string", step, expiry_ms)
