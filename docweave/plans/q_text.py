@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..operators import language as lg
 from .tables import DOCUMENTS_SQL, SOURCES_SQL, USER_SQL, documents_as, literal, spread, spread_sql, sql_values, table, turns_as, values
 
 PUNCT = r"[^\p{L}\p{N}_\s]"
@@ -109,6 +110,13 @@ def detect_language(spark, sf_dir):
     return both.select("doc_id", tx.detect_language(F.col("text")).alias("language"), F.round(tx.ascii_letter_share(F.col("text")), 6).alias("ascii_share"))
 
 
+def language_profiles(spark, sf_dir):
+    """Each document's language by the nearest profile, fitted on a sample of each label, and whether it is that of its label."""
+    d = documents(spark, sf_dir)
+    found = d.select("doc_id", "lang", lg.detect(F.col("text"), lg.fit(d)).alias("code"))
+    return found.select("doc_id", "code", F.col("code").eqNullSafe(F.col("lang")).alias("right"))
+
+
 ASKED = [(1, " Hindi "), (2, "eng"), (3, "ta"), (4, "klingon"), (5, "PUN")]
 
 
@@ -223,7 +231,7 @@ def validate_requests(spark, sf_dir):
     return x.select("id", reason.isNull().alias("valid"), reason.alias("reason"))
 
 
-_NAMES = """clean_text clean_footnotes toc_filter normalize_citations detect_language lang_alias cache_key cache_hits canonical_overlap canonical_names word_batches
+_NAMES = """clean_text clean_footnotes toc_filter normalize_citations detect_language language_profiles lang_alias cache_key cache_hits canonical_overlap canonical_names word_batches
 speech_clean truncate parse_llm_json ordered_distinct validate_requests""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
