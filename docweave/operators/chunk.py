@@ -19,8 +19,8 @@ from ..functions import fixed
 ARTICLE = re.compile(r"(?im)^(?:\s*(?:ARTICLE|Article|Art\.)\s+(\d+[A-Za-z]?)(?:[\.\:\s—–\-]*\n*\s*([A-Z][^\n]{2,80}))?)")
 TREATY = re.compile(r"(?im)^\s*(?:ARTICLE|Article)\s+\d+")
 SECTION = re.compile(
-    r"(?m)(?:^|\n\s*)((?:Section|Sec\.)\s+\d+[A-Za-z]?(?:[.:—–-]+|\s+[A-Z][^\n]{2,80})"
-    r"|(?:Rule|Regulation|Reg\.)\s+\d+[A-Za-z]?(?:[.:—–-]+|\s+[A-Z][^\n]{2,80}|\b)"
+    r"(?m)(?:^|\n\s*)((?:Section|Sec\.)\s+\d+[A-Za-z]?(?:[\.\:\—–\-]+|\s+[A-Z][^\n]{2,80})"
+    r"|(?:Rule|Regulation|Reg\.)\s+\d+[A-Za-z]?(?:[\.\:\—–\-]+|\s+[A-Z][^\n]{2,80}|\b)"
     r"|\b\d+[A-Za-z]?\.\s+[A-Z][^\n]{2,80})"
 )
 SUBCLAUSE = re.compile(r'(?im)(?:^|\n\s*)(\([a-z0-9]{1,3}\))\s*(?:["“]([^"”\n]+)["”])?')

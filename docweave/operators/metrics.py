@@ -70,7 +70,9 @@ def rates(ks: tuple[int, ...] = (5, 10, 20)) -> list[Column]:
 
 
 def failure_mode(exact: Column, dense: Column, sparse: Column, fused: Column, in_top: Column, cited: Column) -> Column:
-    """Why a query's gold row is not on top: by which lists had it. Ranks are null where a list did not."""
+    """Why a query's gold row is not on top: by which lists had it. Ranks are null where a list did not.
+
+    The order is that in which the classes are published; in it the last two can't be reached, as a row is fused or not."""
     return (
         F.when(in_top, "NONE")
         .when(dense.isNull() & sparse.isNull() & exact, "A. Chunking problem")
