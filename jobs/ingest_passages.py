@@ -71,7 +71,8 @@ def passages(docs: DataFrame, config: Config) -> DataFrame:
 def upsert(batch: DataFrame, number: int, spark: SparkSession, path: str, config: Config) -> None:
     """Puts the changed documents of a batch in the place of their earlier passages.
 
-    What is due is found on identifiers and hashes; texts are shuffled once, to their parts, and only those that are due.
+    What is due is found on identifiers and hashes. Only texts that are due are shuffled, to their parts, and before that by
+    their identifiers if those due are too many to be broadcast.
     """
     read = Observation()
     batch = batch.withColumn("content_hash", content_hash()).withColumn("part", F.floor(F.col("doc_id") / config.ids_per_part))
