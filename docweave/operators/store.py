@@ -57,8 +57,8 @@ def latest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
-def audit_rows(events: DataFrame) -> DataFrame:
-    """Audit rows with their defaults: one line, latency to 2 places, blanks for what is missing."""
+def audit_rows(events: DataFrame, *more: str) -> DataFrame:
+    """Audit rows with their defaults: one line, latency to 2 places, blanks for what is missing. `more` are columns to keep."""
     fill = lambda c, d: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
     return events.select(
         "timestamp",
@@ -70,6 +70,7 @@ def audit_rows(events: DataFrame) -> DataFrame:
         F.col("abstained").cast("int").alias("abstained"),
         fill("conversation_id", "").alias("conversation_id"),
         fill("detected_lang", "en").alias("detected_lang"),
+        *more,
     )
 
 

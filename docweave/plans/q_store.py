@@ -15,6 +15,7 @@ from ..operators import store as st
 from ..sources import corpus as cp
 from ..streaming import answers as an
 from ..streaming import cache as ca
+from ..streaming import sinks as sk
 from .tables import ASSISTANT_SQL, DOCUMENTS_SQL, USER_SQL, documents_as, literal, shared_dir, spread, spread_sql, sql_values, table, turns_as, values
 
 
@@ -93,7 +94,10 @@ def turn_memory(spark, sf_dir):
 
 
 def audit(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    return audit_events(table(spark, sf_dir, "events"))
+
+
+def audit_events(e):
     none = lambda c, k: F.when(F.col("event_id") % k != 0, c)
     return e.select(
         F.col("event_id").alias("timestamp"), F.upper(F.lit("National")).alias("jurisdiction"), F.concat(F.lit("  q\n"), "props").alias("query"), none(F.col("event_type"), 7).alias("classification"),
@@ -101,6 +105,56 @@ def audit(spark, sf_dir):
     )
 
 
+def _log_folder(spark, name):
+    return f"{shared_dir(spark)}/docweave-logs/{name}-{uuid.uuid4().hex}"
+
+
+AUDIT_TYPES = "timestamp bigint, jurisdiction string, query string, classification string, provider_used string, latency_ms double, abstained boolean, conversation_id string, detected_lang string"
+AUDIT_LINES = AUDIT_TYPES.replace("abstained boolean", "abstained int")
+
+
+def _audit_log(at, export=True):
+    return sk.Log(f"{at}/table", AUDIT_TYPES, "timestamp", f"{at}/export" if export else None, AUDIT_LINES, lambda rows: st.audit_rows(rows, "batch"))
+
+
+def _appended(spark, sf_dir, name, rows, log, at):
+    """Two runs of the stream over a table's files, the second of which finds nothing new."""
+    for _ in range(2):
+        source = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}*.parquet")
+        sk.append(log, rows(source), f"{at}/checkpoint")
+
+
+def audit_append(spark, sf_dir):
+    """The audit log's export, as its CSV files are read back, of a log that is written by a stream."""
+    at = _log_folder(spark, "audit")
+    log = _audit_log(at)
+    _appended(spark, sf_dir, "events", audit_events, log, at)
+    return sk.export(spark, log).select(*st.AUDIT_HEADER)
+
+
+def audit_back_fill(spark, sf_dir):
+    """The same of a log whose export was switched on when the stream had ended, filled twice."""
+    at = _log_folder(spark, "audit-later")
+    _appended(spark, sf_dir, "events", audit_events, _audit_log(at, export=False), at)
+    log = _audit_log(at)
+    for _ in range(2):
+        sk.back_fill(spark, log)
+    return sk.export(spark, log).select(*st.AUDIT_HEADER)
+
+
+def feedback_append(spark, sf_dir):
+    """Ratings of the assistant's turns, written by a stream: snippets of 500 in the table, lines of 300 in the export."""
+    at = _log_folder(spark, "feedback")
+    kept = "id bigint, rating string, comment string, snippet string, export_snippet string, citations string"
+    lines = "id bigint, rating string, comment string, snippet string, citations string"
+    project = lambda rows: rows.select("id", "rating", "comment", F.col("export_snippet").alias("snippet"), "citations", "batch")
+    log = sk.Log(f"{at}/table", kept, "id", f"{at}/export", lines, project)
+    turns = lambda c: c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "text")
+    _appended(spark, sf_dir, "conversations", lambda c: st.feedback_rows(ratings(turns(c))), log, at)
+    t, e = sk.table(spark, log), sk.export(spark, log)
+    return t.drop("batch", "export_snippet").join(e.select("id", F.col("snippet").alias("export_snippet"), F.col("comment").alias("export_comment")), "id")
+
+
 def audit_projection(spark, sf_dir):
     a = st.audit_rows(audit(spark, sf_dir).withColumn("latency_ms", F.floor(F.col("latency_ms") * 8) / 8))
     return a.withColumn("latency_ms", F.round("latency_ms", 6))
@@ -128,15 +182,17 @@ def argmin_sweep(spark, sf_dir):
 
 def feedback_flatten(spark, sf_dir):
     """A rating for each assistant turn, with or without comment, answer and citations."""
-    t = turns_as(spark, sf_dir, "assistant")
+    return st.feedback_rows(ratings(turns_as(spark, sf_dir, "assistant")))
+
+
+def ratings(t):
     kind = F.col("row") % 3
     cites = "array<struct<source:string,section:string>>"
     some = F.array(F.struct(F.lit("Act"), F.concat(F.lit("Section "), "row")), F.struct(F.lit(""), F.lit("Rule 2")), F.struct(F.lit("Only source"), F.lit(None))).cast(cites)
-    x = t.select(
+    return t.select(
         F.col("row").alias("id"), F.when(kind == 0, " UP ").when(kind == 1, "down").otherwise("up").alias("rating"), F.when(kind == 0, "  good ").when(kind == 1, "   ").alias("comment"),
         F.when(F.col("row") % 5 > 0, F.concat("text", F.lit("\n"), "text")).alias("answer_snippet"), F.when(kind == 0, some).when(kind == 1, F.array().cast(cites)).alias("citations"),
     )
-    return st.feedback_rows(x)
 
 
 def conditional_counts(spark, sf_dir):
@@ -324,7 +380,7 @@ def stage_order_stream(spark, sf_dir):
     return streamed(spark, sf_dir, "events", lambda e: an.out_of_order_stream(stages(e), fixed.STAGES))
 
 
-_NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_stats latency_tiers latency_summary
+_NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_append audit_back_fill feedback_append audit_stats latency_tiers latency_summary
 argmin_sweep feedback_flatten conditional_counts locate_files corpus_pages corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
 subclause_split recursive_split answer_extract answer_stream turn_memory_stream cache_replay sse_decode stage_order stage_order_stream""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -385,5 +441,8 @@ ORACLE = {
     "stage_order": f"""SELECT request_id, seq, stage FROM (SELECT *, lag(place) OVER (PARTITION BY request_id ORDER BY seq) AS before FROM (SELECT *, coalesce(list_position({literal(fixed.STAGES)}, stage), 0) AS place FROM (SELECT user_id AS request_id, event_id AS seq, coalesce({literal(fixed.STAGES)}[(event_id * 7 + user_id) % {len(fixed.STAGES) + 2} + 1], CASE WHEN (event_id * 7 + user_id) % {len(fixed.STAGES) + 2} = {len(fixed.STAGES)} THEN 'error' ELSE 'unknown' END) AS stage FROM events) WHERE stage <> 'error'))
         WHERE place = 0 OR place < before""",
 }
+_AUDIT_LINES = ORACLE["audit_projection"].replace("floor(value * 8) / 8", "value")
+ORACLE["audit_append"] = ORACLE["audit_back_fill"] = _AUDIT_LINES
+ORACLE["feedback_append"] = f"SELECT id, rating, comment, snippet, citations, left(replace(snippet, chr(10), ' '), 300) AS export_snippet, comment AS export_comment FROM ({ORACLE['feedback_flatten']})"
 ORACLE["answer_stream"], ORACLE["stage_order_stream"] = ORACLE["answer_extract"], ORACLE["stage_order"]
 ORACLE["turn_memory_stream"] = "SELECT conv_id, turn, text AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 3"
