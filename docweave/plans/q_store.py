@@ -16,6 +16,7 @@ from ..sources import corpus as cp
 from ..streaming import answers as an
 from ..streaming import cache as ca
 from ..streaming import sinks as sk
+from . import ingest as ig
 from .tables import ASSISTANT_SQL, DOCUMENTS_SQL, USER_SQL, documents_as, literal, shared_dir, spread, spread_sql, sql_values, table, turns_as, values
 
 
@@ -222,6 +223,25 @@ def corpus_grouped(spark, sf_dir):
     return d.groupBy(by.alias("jurisdiction"), "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum("n_chars").alias("chars"))
 
 
+def corpus_ingest(spark, sf_dir):
+    """The state of a corpus after three runs, the last of which finds nothing due, and whether its points follow it.
+
+    At first every seventh document is a longer draft, every eleventh is not there yet, and every thirteenth has a copy that
+    is gone later. Texts too short for a chunk have none.
+    """
+    at = f"{shared_dir(spark)}/docweave-ingest/{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents")
+    copies = d.where("doc_id % 13 = 2").withColumn("doc_id", -F.col("doc_id"))
+    m = d.unionByName(copies).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("lang").alias("jurisdiction"), F.lit("section").alias("chunk_strategy"), *(F.lit("").alias(c) for c in ("citation_prefix", "authority", "category", "priority", "year")))
+    text = lambda x: x.select(F.col("doc_id").cast("string").alias("id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    draft = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.concat("text", F.lit(" and what was left out later. ")), F.lit(3))).otherwise(F.col("text"))
+    ig.run(spark, at, m, text(d.where("doc_id % 11 <> 1").unionByName(copies).withColumn("text", draft)), "2024-01-01", complete=True)
+    for day in ("2024-01-02", "2024-01-03"):
+        ig.run(spark, at, m, text(d), day, complete=True)
+    x = ig.checked(spark, at)
+    return x.select("id", "title", "jurisdiction", "content_hash", "run", "whole")
+
+
 def incremental_ingest(spark, sf_dir):
     """Every seventh document changed since the recorded state: those are to be read again."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
@@ -381,7 +401,7 @@ def stage_order_stream(spark, sf_dir):
 
 
 _NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_append audit_back_fill feedback_append audit_stats latency_tiers latency_summary
-argmin_sweep feedback_flatten conditional_counts locate_files corpus_pages corpus_grouped incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
+argmin_sweep feedback_flatten conditional_counts locate_files corpus_pages corpus_grouped corpus_ingest incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
 subclause_split recursive_split answer_extract answer_stream turn_memory_stream cache_replay sse_decode stage_order stage_order_stream""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -444,5 +464,7 @@ ORACLE = {
 _AUDIT_LINES = ORACLE["audit_projection"].replace("floor(value * 8) / 8", "value")
 ORACLE["audit_append"] = ORACLE["audit_back_fill"] = _AUDIT_LINES
 ORACLE["feedback_append"] = f"SELECT id, rating, comment, snippet, citations, left(replace(snippet, chr(10), ' '), 300) AS export_snippet, comment AS export_comment FROM ({ORACLE['feedback_flatten']})"
+ORACLE["corpus_ingest"] = """SELECT doc_id::VARCHAR AS id, source AS title, lower(lang) AS jurisdiction, sha256(coalesce(text, '')) AS content_hash,
+    CASE WHEN doc_id % 7 = 0 AND text IS NOT NULL OR doc_id % 11 = 1 THEN 2 ELSE 1 END AS run, true AS whole FROM documents WHERE doc_id IS NOT NULL"""
 ORACLE["answer_stream"], ORACLE["stage_order_stream"] = ORACLE["answer_extract"], ORACLE["stage_order"]
 ORACLE["turn_memory_stream"] = "SELECT conv_id, turn, text AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 3"
