@@ -9,7 +9,7 @@ are written in ranges of (jurisdiction, bucket, term, block), in as many files a
 Search. A row also has the highest frequency and the shortest length in its block, which bound what the term can add to
 any document there, whatever the statistics are by then. The sum over a question's terms bounds the scores of a block. The
 SEEDS most promising blocks are scored first; with the k-th score among them, blocks whose bound is below are left out.
-The result is that of scoring everything.
+The result is that of scoring everything, which is what is done for up to FEW_ROWS rows of postings, as bounds cost more there.
 
 Change. `append` adds a segment: postings of the new documents, which documents of earlier segments are gone, and how
 document frequencies and statistics differ, for which the old versions are needed, but nothing of the documents that stay.
@@ -36,6 +36,8 @@ BLOCK = 1024
 SEEDS = 4
 #: Rows (question, term) up to which terms are sent to the scans as literals; beyond it they are joined.
 MOST_TERMS = 1000
+#: Rows of postings, each of a term in a block, up to which scoring all of them takes less than finding what to leave out.
+FEW_ROWS = 1000
 KEY = ["query_id", "jurisdiction"]
 _POSTINGS = "term string, block bigint, n bigint, total_tf bigint, max_tf bigint, min_length bigint, docs array<struct<id:{id},tf:bigint,length:bigint>>, segment int, jurisdiction string, bucket int"
 _DF = "term string, df bigint, segment int, jurisdiction string, bucket int"
@@ -136,6 +138,11 @@ def _part(tf: Column, length: Column, k1: float, b: float) -> Column:
 
 def asked(index: Postings, terms: DataFrame) -> DataFrame:
     """The rows of the questions' terms, each with the term's weight. terms: (query_id, q_jurisdiction, term)."""
+    return _asked(index, terms)[0]
+
+
+def _asked(index: Postings, terms: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """`asked`, and the postings that it reads if their terms are known; None if they are too many."""
     postings, df = index.postings, index.df
     rows = terms.select("term", "q_jurisdiction", _bucket(F.col("term"), index.buckets).alias("bucket")).limit(MOST_TERMS + 1).collect()
     few = len(rows) <= MOST_TERMS
@@ -149,7 +156,7 @@ def asked(index: Postings, terms: DataFrame) -> DataFrame:
     stats = index.stats.groupBy("jurisdiction").agg(F.sum("n").alias("n"), F.sum("total_length").alias("total_length")).where("n > 0")
     weights = frequencies.join(terms, "term").where("q_jurisdiction is null or q_jurisdiction = jurisdiction").join(F.broadcast(stats), "jurisdiction")
     weights = weights.select(*KEY, "term", ix.idf(F.col("n"), F.col("df")).alias("idf"), (F.col("total_length") / F.col("n")).alias("avg_length"))
-    return postings.join(F.broadcast(weights) if few else weights, ["jurisdiction", "term"])
+    return postings.join(F.broadcast(weights) if few else weights, ["jurisdiction", "term"]), postings if few else None
 
 
 def bounds(heads: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -175,9 +182,11 @@ def surviving(index: Postings, heads: DataFrame, k: int, k1: float = K1, b: floa
     return every.join(least, KEY, "left").where("least is null or bound >= least - 1e-6")
 
 
-def search(index: Postings, terms: DataFrame, k: int = 20, k1: float = K1, b: float = B, prune: bool = True) -> DataFrame:
-    """(query_id, jurisdiction, id, score, rank), as `rank.bm25` has it. Without prune all blocks are scored."""
-    heads = asked(index, terms)
+def search(index: Postings, terms: DataFrame, k: int = 20, k1: float = K1, b: float = B, prune: bool | None = None) -> DataFrame:
+    """(query_id, jurisdiction, id, score, rank), as `rank.bm25` has it. Without prune all blocks are scored; None: by FEW_ROWS."""
+    heads, read = _asked(index, terms)
+    if prune is None:
+        prune = read is None or read.select("term").limit(FEW_ROWS + 1).count() > FEW_ROWS
     blocks = surviving(index, heads, k, k1, b) if prune else None
     return top(_scored(index, heads, blocks, k1, b).select(*KEY, "id", "score"), k, "score", "rank", *KEY)
 

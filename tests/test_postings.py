@@ -49,7 +49,7 @@ def test_a_thousand_random_questions_have_the_hits_of_a_full_scan(spark, made, n
     assert (terms.count() > ps.MOST_TERMS) == (n == 1000)  # joined to the scan, and sent to it
     want = hits(rk.bm25(ix.Index(tf, ix.document_frequencies(tf), fresh.stats), terms, k))
     assert len(want) > n
-    assert hits(ps.search(index, terms, k)) == want
+    assert hits(ps.search(index, terms, k, prune=True)) == want
     assert hits(ps.search(index, terms, k, prune=False)) == want
 
 
@@ -73,7 +73,7 @@ def test_bounds_are_bounds(spark, made):
 def test_a_search_opens_the_files_of_its_terms_only(spark, made):
     index, path = made[0], made[3]
     terms = rk.query_terms(spark.createDataFrame([(1, "w7 w150", "EN")], "query_id int, query string, jurisdiction string"))
-    found = ps.search(index, terms)
+    found = ps.search(index, terms, prune=True)
     plan = found._jdf.queryExecution().executedPlan().toString()
     scans = re.findall(r"FileScan parquet \[term[^\n]*", plan)
     assert scans and all(re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]*", s) and "jurisdiction" in s.split("PartitionFilters")[1] for s in scans)
@@ -121,7 +121,7 @@ def test_segments_are_like_an_index_made_anew(spark, tmp_path):
         docs = changed(spark, list(now.values()))
         fresh, terms = ix.build(docs, *COLUMNS), asked(spark, 40, step)
         want = hits(rk.bm25(fresh, terms, 7))
-        assert hits(ps.search(index, terms, 7)) == want and len(want) > 40
+        assert hits(ps.search(index, terms, 7, prune=True)) == want and len(want) > 40
         count = lambda df: {(x["jurisdiction"], x["term"]): x["df"] for x in df.where("jurisdiction is not null").groupBy("jurisdiction", "term").agg(F.sum("df").alias("df")).where("df <> 0").collect()}
         assert count(index.df) == count(fresh.df)
     assert index.segments == (0, 1, 2, 3)
@@ -158,7 +158,7 @@ def test_identifiers_may_be_strings_and_ties_end_at_them(spark, tmp_path):
     docs = spark.createDataFrame([(f"d{i}", "en", "same words") for i in range(9)], "doc_id string, lang string, text string")
     index = ps.create(f"file://{tmp_path}/index", docs, *COLUMNS)
     q = rk.query_terms(spark.createDataFrame([(1, "words", None)], "query_id int, query string, jurisdiction string"))
-    assert [r["id"] for r in ps.search(index, q, 4).orderBy("rank").collect()] == ["d0", "d1", "d2", "d3"]
+    assert [r["id"] for r in ps.search(index, q, 4, prune=True).orderBy("rank").collect()] == ["d0", "d1", "d2", "d3"]
 
 
 def test_there_is_no_index(spark, tmp_path):
