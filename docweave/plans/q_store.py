@@ -15,6 +15,7 @@ from ..operators import store as st
 from ..sources import corpus as cp
 from ..streaming import answers as an
 from ..streaming import cache as ca
+from ..streaming import memo as me
 from ..streaming import sinks as sk
 from . import ingest as ig
 from .tables import ASSISTANT_SQL, DOCUMENTS_SQL, USER_SQL, documents_as, literal, shared_dir, spread, spread_sql, sql_values, table, turns_as, values
@@ -376,6 +377,14 @@ def cache_replay(spark, sf_dir):
     return ca.replay(e, "event_type", "event_id", "key", 10)
 
 
+def retrieval_memo(spark, sf_dir):
+    """Users' event types as questions to the memo of 512 entries."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    e = table(spark, sf_dir, "events").select("event_id", me.memo_key(user, kind, F.lit(None).cast("string")).alias("key"))
+    x = me.replay(e, "event_id", "key", f"{shared_dir(spark)}/docweave-memo/{uuid.uuid4().hex}", width=5000)
+    return x.select("event_id", F.split("key", "\x1f")[0].cast("bigint").alias("user_id"), "epoch", "hit")
+
+
 def sse_decode(spark, sf_dir):
     """Each user turn as the body of an event stream, with a comment, and an event at its end that is not finished."""
     t = turns_as(spark, sf_dir)
@@ -402,7 +411,7 @@ def stage_order_stream(spark, sf_dir):
 
 _NAMES = """list_conversations get_conversation latest_n newest_first recent_history isolation_terms upsert_conversations upsert_latest delete_anti semi_sessions turn_memory audit_projection audit_append audit_back_fill feedback_append audit_stats latency_tiers latency_summary
 argmin_sweep feedback_flatten conditional_counts locate_files corpus_pages corpus_grouped corpus_ingest incremental_ingest page_range_join text_layer citation_join citation_metrics duplicate_chunks section_split article_split
-subclause_split recursive_split answer_extract answer_stream turn_memory_stream cache_replay sse_decode stage_order stage_order_stream""".split()
+subclause_split recursive_split answer_extract answer_stream turn_memory_stream cache_replay retrieval_memo sse_decode stage_order stage_order_stream""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _M = "(SELECT conv_id * 1000 + turn AS id, conv_id AS conversation_id, role, text AS content, turn AS timestamp FROM conversations)"
@@ -466,5 +475,9 @@ ORACLE["audit_append"] = ORACLE["audit_back_fill"] = _AUDIT_LINES
 ORACLE["feedback_append"] = f"SELECT id, rating, comment, snippet, citations, left(replace(snippet, chr(10), ' '), 300) AS export_snippet, comment AS export_comment FROM ({ORACLE['feedback_flatten']})"
 ORACLE["corpus_ingest"] = """SELECT doc_id::VARCHAR AS id, source AS title, lower(lang) AS jurisdiction, sha256(coalesce(text, '')) AS content_hash,
     CASE WHEN doc_id % 7 = 0 AND text IS NOT NULL OR doc_id % 11 = 1 THEN 2 ELSE 1 END AS run, true AS whole FROM documents WHERE doc_id IS NOT NULL"""
+ORACLE["retrieval_memo"] = """WITH RECURSIVE log AS MATERIALIZED (SELECT event_id, user_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS before FROM events),
+    epochs AS (SELECT min(event_id) AS epoch FROM events UNION ALL
+        SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY epoch ORDER BY event_id) AS nth FROM epochs JOIN log ON event_id >= epoch AND coalesce(before < epoch, true)) WHERE nth = 513)
+    SELECT event_id, user_id, epoch, coalesce(before >= epoch, false) AS hit FROM log ASOF JOIN epochs ON event_id >= epoch"""
 ORACLE["answer_stream"], ORACLE["stage_order_stream"] = ORACLE["answer_extract"], ORACLE["stage_order"]
 ORACLE["turn_memory_stream"] = "SELECT conv_id, turn, text AS query FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE role = 'user') WHERE n <= 3"
