@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,25 +28,16 @@ STATE = f"{cp.STATE}, run int"
 POINTS = "id string, embedding array<float>, text string, section string, citation_prefix string, authority string, category string, jurisdiction string, priority string, year string, title string, document_id string, chunk_idx int, content_hash string, run int"
 
 
-def _held(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def state(spark: SparkSession, place: str) -> DataFrame:
     """STATE of each document by its latest run, those that are gone with a null hash."""
-    s = _held(spark, f"{place}/state", STATE)
+    s = cp.held(spark, f"{place}/state", STATE)
     return s.groupBy("id").agg(F.max_by(F.struct(*s.columns[1:]), "run").alias("s")).select("id", "s.*")
 
 
 def points(spark: SparkSession, place: str) -> DataFrame:
     """POINTS that count. The state is a row for each document, and is broadcast if the planner finds it small."""
     live = state(spark, place).select(F.col("id").alias("document_id"), "run")
-    return _held(spark, f"{place}/points", POINTS).join(live, ["document_id", "run"], "left_semi")
+    return cp.held(spark, f"{place}/points", POINTS).join(live, ["document_id", "run"], "left_semi")
 
 
 def _write(rows: DataFrame, place: str, table: str, run: int) -> None:

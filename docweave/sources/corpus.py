@@ -35,14 +35,19 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content", F.sha2("content", 256).alias("content_hash"))
 
 
-def state(spark: SparkSession, path: str) -> DataFrame:
-    """The ingest state; an empty table before the first run."""
+def held(spark: SparkSession, path: str, schema: str, form: str = "parquet", **options) -> DataFrame:
+    """The table at path; an empty one before anything was written there."""
     try:
-        return spark.read.schema(STATE).parquet(path)
+        return spark.read.schema(schema).options(**options).format(form).load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STATE)
+        return spark.createDataFrame([], schema)
+
+
+def state(spark: SparkSession, path: str) -> DataFrame:
+    """The ingest state; an empty table before the first run."""
+    return held(spark, path, STATE)
 
 
 def locate(wanted: DataFrame, found: DataFrame, name: str = "filename") -> DataFrame:

@@ -16,10 +16,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.corpus import held
+
 #: Batches whose numbers are sent to a scan as literals; beyond, they are joined.
 MOST_BATCHES = 1000
 _CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
@@ -39,22 +40,12 @@ class Log:
     project: Callable[[DataFrame], DataFrame] = lambda rows: rows
 
 
-def _held(spark: SparkSession, path: str, schema: str, form: str) -> DataFrame:
-    reader = spark.read.schema(f"{schema}, batch bigint").options(**(_CSV | _READ if form == "csv" else {}))
-    try:
-        return reader.format(form).load(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{schema}, batch bigint")
-
-
 def table(spark: SparkSession, log: Log) -> DataFrame:
-    return _held(spark, log.table, log.schema, "parquet")
+    return held(spark, log.table, f"{log.schema}, batch bigint")
 
 
 def export(spark: SparkSession, log: Log) -> DataFrame:
-    return _held(spark, log.export, log.export_schema, "csv")
+    return held(spark, log.export, f"{log.export_schema}, batch bigint", "csv", **_CSV, **_READ)
 
 
 def _write(rows: DataFrame, path: str, form: str) -> None:
