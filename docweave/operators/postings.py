@@ -4,12 +4,15 @@ Layout. Postings are Parquet, partitioned by segment, jurisdiction and a bucket
 the files of its own terms only; within these they are sorted by term, so that of a file only row groups of those are read.
 A row holds the postings of one term in one block of documents. Blocks are the same for all terms: documents of like
 length, and of those some by their hash, BLOCK to 4 * BLOCK at most. The blocks of a frequent term lie in many rows, which
-are written in ranges of (jurisdiction, bucket, term, block), in as many files as their size asks for.
+are dealt by (jurisdiction, bucket, some of the blocks) to as many tasks and files as the texts' size asks for. Postings are
+shuffled once, a row for the terms of a document in a bucket, and are grouped where they arrive, block by block.
 
 Search. A row also has the highest frequency and the shortest length in its block, which bound what the term can add to
 any document there, whatever the statistics are by then. The sum over a question's terms bounds the scores of a block. The
 SEEDS most promising blocks are scored first; with the k-th score among them, blocks whose bound is below are left out.
-The result is that of scoring everything, which is what is done for up to FEW_ROWS rows of postings, as bounds cost more there.
+The result is that of scoring everything, which is what is done for up to FEW_ROWS rows of postings, as bounds cost more there,
+and for many questions, whose bounds leave out little: then each asked term's postings go once to the task of their block,
+and meet the questions there, so that neither postings nor scores are shuffled for each question.
 
 Change. `append` adds a segment: postings of the new documents, which documents of earlier segments are gone, and how
 document frequencies and statistics differ, for which the old versions are needed, but nothing of the documents that stay.
@@ -19,8 +22,12 @@ what is live as one segment in another place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +45,10 @@ SEEDS = 4
 MOST_TERMS = 1000
 #: Rows of postings, each of a term in a block, up to which scoring all of them takes less than finding what to leave out.
 FEW_ROWS = 1000
+#: Rows (question, jurisdiction, term) of weights up to which they go to all tasks; beyond it they are joined by a shuffle.
+MOST_WEIGHTS = 200_000
+#: Characters of text whose postings a task writes, about, and tokens of which it counts the terms at once.
+TASK_CHARS, SLICE = 8_000_000, 500_000
 KEY = ["query_id", "jurisdiction"]
 _POSTINGS = "term string, block bigint, n bigint, total_tf bigint, max_tf bigint, min_length bigint, docs array<struct<id:{id},tf:bigint,length:bigint>>, segment int, jurisdiction string, bucket int"
 _DF = "term string, df bigint, segment int, jurisdiction string, bucket int"
@@ -63,25 +74,104 @@ def _write(rows: DataFrame, path: str, segment: int, *by: str) -> None:
     rows.withColumn("segment", F.lit(segment)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment", *by).parquet(path)
 
 
-def _segment(path: str, segment: int, buckets: int, tf: DataFrame, counts: DataFrame, old: DataFrame | None) -> None:
-    """Writes a segment: tf of the new documents, counts(jurisdiction, n) of them, tokens of the old versions."""
-    spark = tf.sparkSession
-    n_docs = counts.agg(F.sum("n")).first()[0] or 0
+def _counted(buckets: int):
+    """Rows (jurisdiction, id, length, block, split, tokens, at) to rows of a document's terms of one bucket with their frequencies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < len(ends):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+                x, lo = batch.slice(lo, hi - lo), hi
+                tokens = x.column("tokens")
+                code = tokens.flatten().dictionary_encode()
+                if not len(code):
+                    continue
+                doc = np.repeat(np.arange(len(x)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                key = (doc * buckets + x.column("at").flatten().to_numpy()) * len(code.dictionary) + code.indices.to_numpy()
+                key, tf = np.unique(key, return_counts=True)
+                group, term = np.divmod(key, len(code.dictionary))
+                starts = np.flatnonzero(np.diff(group, prepend=-1))
+                of, bucket = np.divmod(group[starts], buckets)
+                offsets = pa.array(np.append(starts, len(group)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (code.dictionary.take(pa.array(term)), pa.array(tf.astype(np.int32)))]
+                kept = ["jurisdiction", "id", "length", "block", "split"]
+                yield pa.RecordBatch.from_arrays([*(x.column(c).take(pa.array(of)) for c in kept), pa.array(bucket.astype(np.int32)), *lists], [*kept, "bucket", "terms", "tfs"])
+
+    return run
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (jurisdiction, bucket, block, id, length, terms, tfs), those of a block in a bucket one after the other, to a row
+    for each term in a block. In memory are a batch and a block."""
+    by, held = ["jurisdiction", "bucket", "block"], None
+
+    def rows(x: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        code = x.column("terms").flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(x)), pc.list_value_length(x.column("terms")).to_numpy(zero_copy_only=False))
+        key = group[row] * len(code.dictionary) + code.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        tf, length = x.column("tfs").flatten().to_numpy()[order].astype(np.int64), x.column("length").to_numpy()[row]
+        docs = pa.StructArray.from_arrays([x.column("id").take(pa.array(row)), pa.array(tf), pa.array(length)], ["id", "tf", "length"])
+        ends = np.append(starts, len(key))
+        figures = [np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(length, starts)]
+        keys = [*(x.column(c).take(pa.array(row[starts])) for c in by), code.dictionary.take(pa.array(key[starts] % len(code.dictionary)))]
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, figures), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), docs)], [*by, "term", "n", "total_tf", "max_tf", "min_length", "docs"])
+
+    def whole(x: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        codes = [x.column("jurisdiction").dictionary_encode(null_encoding="encode").indices, x.column("bucket"), x.column("block")]
+        new = np.append(True, np.any([np.diff(c.to_numpy()) != 0 for c in codes], axis=0))
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        stops = np.append(starts[1:], len(x))
+        if not last:  # the last block may go on in the next batch
+            held, stops = x.slice(starts[-1]), stops[:-1]
+        size = np.append(0, np.cumsum(pc.list_value_length(x.column("terms")).to_numpy(zero_copy_only=False)))
+        lo = 0
+        for at, stop in enumerate(stops):
+            if at + 1 == len(stops) or size[stops[at + 1]] - size[lo] > SLICE:
+                yield rows(x.slice(lo, stop - lo), group[lo:stop] - group[lo])
+                lo = stop
+
+    for batch in batches:
+        if len(batch):
+            yield from whole(batch if held is None else pa.concat_batches([held, batch]), False)
+    if held is not None:
+        yield from whole(held, True)
+
+
+def _segment(path: str, segment: int, buckets: int, docs: DataFrame, counts: DataFrame, old: DataFrame | None, counted: bool = False) -> None:
+    """Writes a segment: tokens of the new documents, counts(jurisdiction, n, chars) of them, tokens of the old versions.
+    counted: docs are terms with their frequencies, of which the driver gets none; of counts it gets a row of each jurisdiction."""
+    spark = docs.sparkSession
+    counts = spark.createDataFrame(counts.collect(), counts.schema)
+    n_docs, chars = counts.agg(F.sum("n"), F.sum("chars")).first()
+    n_docs = n_docs or 0
     alike = F.floor(2 * F.log2(F.col("length") + 1)).cast("bigint")
     block = F.shiftleft(alike, 40) + F.pmod(F.xxhash64("id"), F.lit(max(1, n_docs // (4 * BLOCK))))
-    one = F.struct("id", "tf", "length")
-    rows = tf.groupBy("jurisdiction", "term", block.alias("block")).agg(F.count("*").alias("n"), F.sum("tf").alias("total_tf"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), F.collect_list(one).alias("docs"))
+    splits = max(1, n_docs // (64 * BLOCK), (chars or 0) // (16 * TASK_CHARS))
+    id_type = docs.schema["id"].dataType.simpleString()
     order = ["jurisdiction", "bucket", "term", "block"]
-    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
-    _write(rows, f"{path}/postings", segment, "jurisdiction", "bucket")
-    id_type = tf.schema["id"].dataType.simpleString()
+    x = docs.withColumn("block", block).withColumn("split", F.pmod(F.xxhash64("block"), F.lit(splits)).cast("int"))
+    if counted:
+        x = x.withColumns({"bucket": _bucket(F.col("term"), buckets), "terms": F.array("term"), "tfs": F.array(F.col("tf").cast("int"))})
+    else:
+        x = x.withColumn("at", F.transform("tokens", lambda t: _bucket(t, buckets))).select("jurisdiction", "id", "length", "block", "split", "tokens", "at")
+        x = x.mapInArrow(_counted(buckets), f"jurisdiction string, id {id_type}, length bigint, block bigint, split int, bucket int, terms array<string>, tfs array<int>")
+    x = x.repartition(max(splits, (chars or 0) // TASK_CHARS + 1), "jurisdiction", "bucket", "split").sortWithinPartitions("jurisdiction", "bucket", "block")
+    x = x.select("jurisdiction", "bucket", "block", "id", "length", "terms", "tfs")
+    rows = x.mapInArrow(_grouped, f"jurisdiction string, bucket int, block bigint, term string, n bigint, total_tf bigint, max_tf bigint, min_length bigint, docs array<struct<id:{id_type},tf:bigint,length:bigint>>")
+    _write(rows.sortWithinPartitions(*order), f"{path}/postings", segment, "jurisdiction", "bucket")
     stored = spark.read.schema(_POSTINGS.format(id=id_type)).parquet(f"{path}/postings").where(F.col("segment") == segment)
 
     df = stored.groupBy("jurisdiction", "term").agg(F.sum("n").alias("df"))
     lengths = stored.groupBy("jurisdiction").agg(F.sum("total_tf").alias("total_length"))
     stats = counts.join(lengths, "jurisdiction", "left").select("jurisdiction", "n", F.coalesce("total_length", F.lit(0)).alias("total_length"))
     if old is not None:
-        less = ix.document_frequencies(ix.term_frequencies(old)).select("jurisdiction", "term", -F.col("df"))
+        less = old.select("jurisdiction", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("jurisdiction", "term").agg(-F.count("*"))
         df = df.union(less).groupBy("jurisdiction", "term").agg(F.sum("df").alias("df")).where("df <> 0")
         stats = stats.union(old.groupBy("jurisdiction").agg(-F.count("*"), -F.sum("length")))
         stats = stats.groupBy("jurisdiction").agg(F.sum("n").alias("n"), F.sum("total_length").alias("total_length"))
@@ -93,13 +183,13 @@ def _segment(path: str, segment: int, buckets: int, tf: DataFrame, counts: DataF
     _write(stats.withColumns({"buckets": F.lit(buckets), "id_type": F.lit(id_type)}).coalesce(1), f"{path}/stats", segment)
 
 
-def _counts(docs: DataFrame, jurisdiction: str) -> DataFrame:
-    return docs.groupBy(F.lower(jurisdiction).alias("jurisdiction")).agg(F.count("*").alias("n"))
+def _counts(docs: DataFrame, jurisdiction: str, text: str) -> DataFrame:
+    return docs.groupBy(F.lower(jurisdiction).alias("jurisdiction")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).cast("bigint").alias("chars"))
 
 
 def create(path: str, docs: DataFrame, id: str, jurisdiction: str, text: str, tokenizer=words, buckets: int = BUCKETS) -> Postings:
-    """The index of docs, written to path. Texts are read once."""
-    _segment(path, 0, buckets, ix.term_frequencies(ix.tokens(docs, id, jurisdiction, text, tokenizer)), _counts(docs, jurisdiction), None)
+    """The index of docs, written to path. Texts are read for their size, and once for their terms."""
+    _segment(path, 0, buckets, ix.tokens(docs, id, jurisdiction, text, tokenizer), _counts(docs, jurisdiction, text), None)
     return load(docs.sparkSession, path)
 
 
@@ -107,8 +197,8 @@ def append(path: str, new: DataFrame, old: DataFrame, id: str, jurisdiction: str
     """Adds a segment: new are documents to be added, old the versions as indexed of those that are replaced or go."""
     spark = new.sparkSession
     now = load(spark, path)
-    tf = ix.term_frequencies(ix.tokens(new, id, jurisdiction, text, tokenizer))
-    _segment(path, max(now.segments) + 1, now.buckets, tf, _counts(new, jurisdiction), ix.tokens(old, id, jurisdiction, text, tokenizer))
+    tokens = ix.tokens(new, id, jurisdiction, text, tokenizer)
+    _segment(path, max(now.segments) + 1, now.buckets, tokens, _counts(new, jurisdiction, text), ix.tokens(old, id, jurisdiction, text, tokenizer))
     return load(spark, path)
 
 
@@ -152,11 +242,32 @@ def _asked(index: Postings, terms: DataFrame) -> tuple[DataFrame, DataFrame | No
         if None not in within:
             own &= F.col("jurisdiction").isin(sorted(within))
         postings, df = postings.where(own), df.where(own)
+    weights = _weights(df, index.stats, terms)
+    return postings.join(F.broadcast(weights) if few else weights, ["jurisdiction", "term"]), postings if few else None
+
+
+def _weights(df: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
     frequencies = df.groupBy("jurisdiction", "term").agg(F.sum("df").alias("df"))
-    stats = index.stats.groupBy("jurisdiction").agg(F.sum("n").alias("n"), F.sum("total_length").alias("total_length")).where("n > 0")
+    stats = stats.groupBy("jurisdiction").agg(F.sum("n").alias("n"), F.sum("total_length").alias("total_length")).where("n > 0")
     weights = frequencies.join(terms, "term").where("q_jurisdiction is null or q_jurisdiction = jurisdiction").join(F.broadcast(stats), "jurisdiction")
-    weights = weights.select(*KEY, "term", ix.idf(F.col("n"), F.col("df")).alias("idf"), (F.col("total_length") / F.col("n")).alias("avg_length"))
-    return postings.join(F.broadcast(weights) if few else weights, ["jurisdiction", "term"]), postings if few else None
+    return weights.select(*KEY, "term", ix.idf(F.col("n"), F.col("df")).alias("idf"), (F.col("total_length") / F.col("n")).alias("avg_length"))
+
+
+def _by_block(index: Postings, terms: DataFrame, k1: float, b: float) -> DataFrame | None:
+    """(query_id, jurisdiction, id, score) of all documents that share a term with a question; None if there are more weights
+    than may go to all tasks. A document's postings are in one task, so that its scores are added up there."""
+    n_docs = index.stats.agg(F.sum("n")).first()[0] or 0
+    n_jurisdictions = index.stats.where("n > 0").select("jurisdiction").distinct().count()
+    n_weights = terms.select(F.sum(F.when(F.col("q_jurisdiction").isNull(), n_jurisdictions).otherwise(1))).first()[0] or 0
+    if n_weights > MOST_WEIGHTS:
+        return None
+    weights = _weights(index.df.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi"), index.stats, terms)
+    met = index.postings.join(F.broadcast(weights.select("jurisdiction", "term").distinct()), ["jurisdiction", "term"], "left_semi")
+    x = met.select("jurisdiction", "segment", "block", "term", "docs").repartition(max(1, n_docs // (4 * BLOCK)), "jurisdiction", "segment", "block")
+    x = x.join(F.broadcast(weights), ["jurisdiction", "term"]).select(*KEY, "segment", "block", "idf", "avg_length", F.explode("docs").alias("d"))
+    x = x.select(*KEY, "segment", "block", F.col("d")["id"].alias("id"), _part(F.col("d")["tf"], F.col("d")["length"], k1, b).alias("part"))
+    scored = x.groupBy(*KEY, "segment", "block", "id").agg(F.round(F.sum("part"), 9).alias("score")).where("score > 0")
+    return scored.drop("block")
 
 
 def bounds(heads: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -183,8 +294,11 @@ def surviving(index: Postings, heads: DataFrame, k: int, k1: float = K1, b: floa
 
 
 def search(index: Postings, terms: DataFrame, k: int = 20, k1: float = K1, b: float = B, prune: bool | None = None) -> DataFrame:
-    """(query_id, jurisdiction, id, score, rank), as `rank.bm25` has it. Without prune all blocks are scored; None: by FEW_ROWS."""
+    """(query_id, jurisdiction, id, score, rank), as `rank.bm25` has it. Without prune all blocks are scored; None: by FEW_ROWS, and all, by block, for many questions."""
     heads, read = _asked(index, terms)
+    if prune is None and read is None and (every := _by_block(index, terms, k1, b)) is not None:
+        # the k best of each task go on; of documents that a later segment has replaced any number may be among them
+        return top(_live(every, index).select(*KEY, "id", "score"), k, "score", "rank", *KEY)
     if prune is None:
         prune = read is None or read.select("term").limit(FEW_ROWS + 1).count() > FEW_ROWS
     blocks = surviving(index, heads, k, k1, b) if prune else None
@@ -194,8 +308,9 @@ def search(index: Postings, terms: DataFrame, k: int = 20, k1: float = K1, b: fl
 def compact(index: Postings, path: str) -> Postings:
     """What is live, as an index of one segment at path, which has to be another place."""
     x = index.postings.select("segment", "jurisdiction", "term", F.explode("docs").alias("d")).select("segment", "jurisdiction", "term", "d.*")
-    counts = index.stats.groupBy("jurisdiction").agg(F.sum("n").alias("n")).where("n > 0")
-    _segment(path, 0, index.buckets, _live(x, index), counts, None)
+    # six characters a token
+    counts = index.stats.groupBy("jurisdiction").agg(F.sum("n").alias("n"), (6 * F.sum("total_length")).alias("chars")).where("n > 0")
+    _segment(path, 0, index.buckets, _live(x, index), counts, None, counted=True)
     return load(index.postings.sparkSession, path)
 
 

@@ -163,3 +163,50 @@ def test_identifiers_may_be_strings_and_ties_end_at_them(spark, tmp_path):
 
 def test_there_is_no_index(spark, tmp_path):
     assert ps.stored(spark, f"file://{tmp_path}/none") is None
+
+
+def test_postings_are_shuffled_once_to_be_written(spark, tmp_path, monkeypatch):
+    plans, real = {}, ps._write
+
+    def seen(rows, where, *args):
+        plans[where.rsplit("/", 1)[1]] = rows._jdf.queryExecution().executedPlan().toString()
+        real(rows, where, *args)
+
+    monkeypatch.setattr(ps, "_write", seen)
+    ps.create(f"file://{tmp_path}/index", changed(spark, corpus(50)), *COLUMNS)
+    assert len(re.findall(r"\bExchange (?:\w+partitioning|SinglePartition)", plans["postings"])) == 1
+
+
+def test_long_documents_and_blocks_over_batches_are_counted_whole(spark, tmp_path, monkeypatch):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    docs = changed(spark, [*corpus(300, 5), (900, "en", "w1 " * 3000 + "w2"), (901, None, "w1 w2"), (902, "en", None), (903, "en", "")])
+    monkeypatch.setattr(ps, "SLICE", 40)
+    spark.conf.set(size, "7")
+    try:
+        index = ps.create(f"file://{tmp_path}/index", docs, *COLUMNS)
+    finally:
+        spark.conf.set(size, was)
+    got = index.postings.select("jurisdiction", F.explode("docs").alias("d"), "term").select("jurisdiction", "d.id", "term", "d.tf", "d.length")
+    want = ix.build(docs, *COLUMNS).tf.select("jurisdiction", "id", "term", "tf", "length")
+    assert got.count() == want.count() > 1000 and got.exceptAll(want).count() == 0
+    assert index.postings.count() == index.postings.select("jurisdiction", "term", "block").distinct().count()
+
+
+def test_many_questions_meet_the_postings_where_their_documents_are(spark, made, tmp_path):
+    index, tf, fresh, _ = made
+    terms = asked(spark, 1000).cache()
+    assert terms.count() > ps.MOST_TERMS
+    found = ps.search(index, terms, 10)
+    assert hits(found) == hits(rk.bm25(ix.Index(tf, ix.document_frequencies(tf), fresh.stats), terms, 10))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [jurisdiction" in plan  # the postings by blocks, and no scores by questions
+    assert not re.search(r"hashpartitioning\(query_id#\d+, jurisdiction#\d+, segment", found._jdf.queryExecution().executedPlan().toString())
+
+    path = f"file://{tmp_path}/index"
+    rows = corpus(300, 6)
+    ps.create(path, changed(spark, rows), *COLUMNS)
+    new = [(i, "en", "w1 w2 w3") for i, *_ in rows[:40]]
+    later = ps.append(path, changed(spark, new), changed(spark, rows[:60]), *COLUMNS)
+    want = hits(rk.bm25(ix.build(changed(spark, rows[60:] + new), *COLUMNS), terms, 3))
+    assert len(want) > 1000 and hits(ps.search(later, terms, 3)) == want
