@@ -62,20 +62,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_()]{2,}|[a-p]"), F.lit(0))
 
 
-def _family(text: Column, pattern: str, groups: int, forms) -> Column:
+def _family(text: Column, pattern: str, groups: int, sign: str, forms) -> Column:
+    """sign: a simpler pattern that any match has in it, so that texts without it are passed over once instead of for each group."""
     found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), i + 1).alias(f"g{i}") for i in range(groups)))
-    return F.flatten(F.transform(found, lambda m: F.array(*forms(*(m[f"g{i}"] for i in range(groups))))))
+    tokens = F.flatten(F.transform(found, lambda m: F.array(*forms(*(m[f"g{i}"] for i in range(groups))))))
+    return F.when(text.isNull() | text.rlike(sign), tokens).otherwise(F.array().cast("array<string>"))
 
 
 def statutory_tokens(text: Column) -> Column:
     """Synthetic tokens of citations, family by family, repeats kept."""
     t, c = F.lower(text), lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     return F.concat(
-        _family(t, NESTED, 3, lambda a, b, d: [c("section ", a, "(", b, ")(", d, ")"), c(a, "(", b, ")(", d, ")"), c("section ", a, "(", b, ")"), c(a, "(", b, ")"), c("(", d, ")"), d]),
-        _family(t, CLAUSE, 2, lambda a, b: [c("section ", a, "(", b, ")"), c(a, "(", b, ")"), c("section ", a), c("(", b, ")"), b]),
-        _family(t, ARTICLE, 1, lambda a: [c("article ", a), c("article", a), c("art ", a)]),
-        _family(t, RULE, 2, lambda a, b: [c("rule ", a, b), c(a, b), c(a, "-", b)]),
-        _family(t, HYPHEN, 2, lambda a, b: [c(a, b), c(a, "-", b)]),
+        _family(t, NESTED, 3, r"\d\s*\(", lambda a, b, d: [c("section ", a, "(", b, ")(", d, ")"), c(a, "(", b, ")(", d, ")"), c("section ", a, "(", b, ")"), c(a, "(", b, ")"), c("(", d, ")"), d]),
+        _family(t, CLAUSE, 2, r"\d\s*\(", lambda a, b: [c("section ", a, "(", b, ")"), c(a, "(", b, ")"), c("section ", a), c("(", b, ")"), b]),
+        _family(t, ARTICLE, 1, r"art(?:icle|\.)?\s*\d", lambda a: [c("article ", a), c("article", a), c("art ", a)]),
+        _family(t, RULE, 2, r"\d\s*[-_ ]\s*[a-z0-9]", lambda a, b: [c("rule ", a, b), c(a, b), c(a, "-", b)]),
+        _family(t, HYPHEN, 2, r"\d\s*[-_]\s*[a-z]", lambda a, b: [c(a, b), c(a, "-", b)]),
     )
 
 

@@ -51,8 +51,15 @@ def statistics(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"))
 
 
-def build(docs: DataFrame, id: str, jurisdiction: str, text: str, terms: DataFrame | None = None, tokenizer=words) -> Index:
+def build(docs: DataFrame, id: str, jurisdiction: str, text: str, terms: DataFrame | None = None, tokenizer=words, place: str | None = None) -> Index:
+    """With terms, the frequencies are of those only. With a place as well, a new folder, texts are read and cut into tokens
+    once: the lengths and the tokens among the terms are written there. Terms are few then, as they go to all tasks."""
     t = tokens(docs, id, jurisdiction, text, tokenizer)
+    if terms is not None and place is not None:
+        asked = terms.agg(F.collect_set("term").alias("asked"))
+        own = F.filter("tokens", lambda x: F.array_contains("asked", x))
+        t.crossJoin(F.broadcast(asked)).select("jurisdiction", "id", own.alias("tokens"), "length").write.parquet(place)
+        t = docs.sparkSession.read.schema(t.schema).parquet(place)
     tf = term_frequencies(t, terms)
     return Index(tf, document_frequencies(tf), statistics(t))
 

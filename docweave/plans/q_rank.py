@@ -296,7 +296,8 @@ def legal_search(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", "lang", "text").unionByName(values(spark, [(-i, "en", t) for i, t in CITATIONS], "doc_id bigint, lang string, text string"))
     q = queries(spark, "Section 3(p) Rule 158B")
     terms = rk.query_terms(q, tokenizer=legal_tokens)
-    return rk.bm25(ix.build(d, "doc_id", "lang", "text", terms.select("term"), legal_tokens), terms, 10).select("id", "jurisdiction", F.round("score", 6).alias("score"), "rank")
+    place = f"{shared_dir(spark)}/docweave-index/legal-{uuid.uuid4().hex}"
+    return rk.bm25(ix.build(d, "doc_id", "lang", "text", terms.select("term"), legal_tokens, place), terms, 10).select("id", "jurisdiction", F.round("score", 6).alias("score"), "rank")
 
 
 _NAMES = """bm25_topk bm25_tf bm25_df bm25_stats bm25_two_query_merge bm25_cache_parity bm25_incremental dense_approximate dense_topk dense_topk_filtered rrf_fusion diversified_topk rerank_pairs
