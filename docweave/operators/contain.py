@@ -9,15 +9,33 @@ Defined results: null and blank texts contain nothing and lie in nothing; a text
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
+#: Of neighbouring characters the one before counts so many times.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(text: Column, n: int) -> Column:
-    """All runs of n neighbouring characters; a lookahead takes no character, so that they overlap."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    """All runs of n neighbouring characters, each once and as a number; none for null. Runs that had the same number would
+    only make texts meet, which decide; a whole's numbers of several sizes have to be made distinct."""
+
+    def one(t: str | None) -> np.ndarray:
+        c = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        key = np.zeros(max(0, len(c) - n + 1), np.uint64)
+        for i in range(n if len(key) else 0):
+            key = key * FACTOR + c[i : i + len(key)]
+        return np.unique(key).view(np.int64)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [one(t.as_py()) for t in texts]
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+    return F.arrow_udf(run, "array<bigint>")(text)
 
 
 def _filled(rows: DataFrame, key: str, text: str, to: str) -> DataFrame:
@@ -35,7 +53,7 @@ def contained(wholes: DataFrame, parts: DataFrame, whole: str, part: str, whole_
     every = _grams(F.col("whole_text"), max(sizes, default=gram))
     for n in sizes[:]:
         if n < max(sizes):
-            every = F.concat(every, _grams(F.col("whole_text"), n))
+            every = F.array_union(every, _grams(F.col("whole_text"), n))
     known = w.select("whole", F.explode(every).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
     times = known.groupBy("gram").agg(F.count("*").alias("times"))
     rarest = own.join(times, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("times", F.lit(0)), "gram")).alias("gram"))

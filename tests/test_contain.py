@@ -66,3 +66,17 @@ def test_pages_number_each_group_in_order(spark):
         keys = sorted(k for k, x in rows if x == g)
         assert mine == [(n // 30, n % 30, k) for n, k in enumerate(keys)]
     assert cp.paged(spark.createDataFrame([], "k int, g string"), "g", "k", 30).count() == 0
+
+
+def test_grams_are_found_without_expressions_for_each_place(spark):
+    wholes, parts = spark.createDataFrame(strings(7, 50, 60), "w int, text string"), spark.createDataFrame(strings(8, 50, 9), "p int, text string")
+    plan = contain.contained(wholes, parts, "w", "p")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "regexp_extract_all" not in plan
+
+
+def test_long_parts_and_other_gram_sizes(spark):
+    wholes = [*strings(9, 120, 80), (900, "x😀yz漢字 end"), (901, "\0\0c"), (902, "c")]
+    parts = [*strings(10, 120, 7), (910, "😀yz漢"), (911, "c"), (912, "\0\0c")]
+    want = sorted((w, p) for w, a in wholes for p, b in parts if a and b and b.strip(" ") and b in a)
+    for gram in (1, 2, 5):
+        assert pairs(contain.contained(spark.createDataFrame(wholes, "w int, text string"), spark.createDataFrame(parts, "p int, text string"), "w", "p", gram=gram)) == want
