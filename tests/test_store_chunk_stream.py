@@ -199,3 +199,20 @@ def test_model_boundaries(spark):
     assert abs(sum(v * v for v in y[0]["v"]) - 1) < 1e-6 and len(y[1]["v"]) == models.DIMENSION and y[0]["s"] == 1 - 3 / 1000
     assert y[0]["tr"] == "A B" and y[1]["tr"] is None and [r["c"] for r in y] == ["<b c>", "<>"]
     assert models.is_rate_limit("Error 429") and not models.is_rate_limit("timeout")
+
+
+def test_splitting_a_batch_holds_the_objects_of_some_texts_only(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+    from docweave.operators import chunk as ck
+
+    texts = [f"{i} " + "words of a text " * 200 for i in range(4000)] + [None]
+    split = ck._chunk_udf(lambda t, s: [("a", (t or "")[j:]) for j in (0, 1)]).func
+    whole, strategy = pa.array(texts), pa.array(["section"] * len(texts))
+    tracemalloc.start()
+    got = split(whole, strategy)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[3999:] == [[{"section": "a", "text": texts[3999]}, {"section": "a", "text": texts[3999][1:]}], [{"section": "a", "text": ""}] * 2]
+    assert len(got) == 4001 and peak < got.nbytes / 4
