@@ -14,6 +14,9 @@ The result is that of scoring everything, which is what is done for up to FEW_RO
 and for many questions, whose bounds leave out little: then each asked term's postings go once to the task of their block,
 and meet the questions there, so that neither postings nor scores are shuffled for each question.
 
+Without an index, `scan` finds the same hits in one pass over the texts: only the asked terms of each document are kept, which
+costs a question asked once less than an index of all terms does.
+
 Change. `append` adds a segment: postings of the new documents, which documents of earlier segments are gone, and how
 document frequencies and statistics differ, for which the old versions are needed, but nothing of the documents that stay.
 Statistics are written last, and a segment without them is not there. A search adds the differences up. `compact` writes
@@ -305,6 +308,61 @@ def search(index: Postings, terms: DataFrame, k: int = 20, k1: float = K1, b: fl
     return top(_scored(index, heads, blocks, k1, b).select(*KEY, "id", "score"), k, "score", "rank", *KEY)
 
 
+def _picked(asked):
+    """Rows (jurisdiction, id, length, tokens) with, in the tokens' place, which of the asked terms these are and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = asked.value
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)
+            code = pc.index_in(batch.column("tokens").flatten(), value_set=terms)
+            doc = np.repeat(np.arange(len(batch)), sizes)[code.is_valid().to_numpy(zero_copy_only=False)]
+            key, tf = np.unique(doc * len(terms) + code.drop_null().to_numpy(), return_counts=True)
+            of, code = np.divmod(key, max(1, len(terms)))
+            offsets = pa.array(np.searchsorted(of, np.arange(len(batch) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (code, tf)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("jurisdiction", "id", "length")), *lists], ["jurisdiction", "id", "length", "codes", "tfs"])
+
+    return run
+
+
+def scan(docs: DataFrame, id: str, jurisdiction: str, text: str, terms: DataFrame, place: str, k: int = 20, tokenizer=words, k1: float = K1, b: float = B) -> DataFrame | None:
+    """`search` of docs that have no index; None if there are more terms or weights than may go to all tasks.
+
+    Texts are read and cut once. Of each document its length and the asked terms in it are written to place, a new folder;
+    statistics are taken from there. These rows are shuffled once, and scored where they arrive. Jurisdictions that no
+    question is for are not read. The driver gets the terms.
+    """
+    spark = docs.sparkSession
+    asked = [r["term"] for r in terms.select("term").distinct().limit(MOST_WEIGHTS + 1).collect()]
+    within = {r["q_jurisdiction"] for r in terms.select("q_jurisdiction").distinct().limit(MOST_TERMS + 1).collect()}
+    if len(asked) > MOST_WEIGHTS:
+        return None
+    if None not in within and len(within) <= MOST_TERMS:
+        docs = docs.where(F.lower(jurisdiction).isin(sorted(within)))
+    x = ix.tokens(docs, id, jurisdiction, text, tokenizer)
+    if len(asked) <= MOST_TERMS:  # before tokens go to Python
+        x = x.withColumn("tokens", F.filter("tokens", lambda t: t.isin(asked)))
+    types = f"jurisdiction string, id {x.schema['id'].dataType.simpleString()}, length bigint, codes array<int>, tfs array<int>"
+    held = spark.sparkContext.broadcast(pa.array(asked, pa.string()))
+    x.select("jurisdiction", "id", "length", "tokens").mapInArrow(_picked(held), types).write.parquet(place)
+    x = spark.read.schema(types).parquet(place)
+
+    stats = x.groupBy("jurisdiction").agg(F.count("*").alias("n"), F.sum("length").alias("total_length"))
+    sizes = {r["jurisdiction"]: r["n"] for r in stats.collect()}
+    n_weights = terms.select(F.sum(F.when(F.col("q_jurisdiction").isNull(), len(sizes)).otherwise(1))).first()[0] or 0
+    if n_weights > MOST_WEIGHTS:
+        return None
+    code = spark.createDataFrame(list(enumerate(asked)), "code int, term string")
+    df = x.select("jurisdiction", F.explode("codes").alias("code")).groupBy("jurisdiction", "code").agg(F.count("*").alias("df"))
+    weights = _weights(df.join(F.broadcast(code), "code"), stats, terms).join(F.broadcast(code), "term").drop("term")
+    x = x.where(F.size("codes") > 0).repartition(max(1, sum(sizes.values()) // (4 * BLOCK)), "jurisdiction", "id")
+    x = x.select("jurisdiction", "id", "length", F.explode(F.arrays_zip("codes", "tfs")).alias("t")).select("jurisdiction", "id", "length", F.col("t")["codes"].alias("code"), F.col("t")["tfs"].alias("tf"))
+    x = x.join(F.broadcast(weights), ["jurisdiction", "code"]).select(*KEY, "id", _part(F.col("tf"), F.col("length"), k1, b).alias("part"))
+    scored = x.groupBy(*KEY, "id").agg(F.round(F.sum("part"), 9).alias("score")).where("score > 0")
+    return top(scored, k, "score", "rank", *KEY)
+
+
 def compact(index: Postings, path: str) -> Postings:
     """What is live, as an index of one segment at path, which has to be another place."""
     x = index.postings.select("segment", "jurisdiction", "term", F.explode("docs").alias("d")).select("segment", "jurisdiction", "term", "d.*")

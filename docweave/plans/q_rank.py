@@ -67,13 +67,17 @@ def bodies(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", "lang", searchable(F.col("source"), F.col("lang"), F.lit(None), F.col("text")).alias("body"))
 
 
+def index_path(spark, sf_dir) -> str:
+    return f"{shared_dir(spark)}/docweave-index/{ps.FORMAT}-{version(spark, f'{sf_dir}/documents.parquet')}"
+
+
 def stored_index(spark, sf_dir) -> ps.Postings:
-    """The index of these documents from the shared folder, where the first query over them writes it.
+    """The index of these documents from the shared folder, written there if there is none.
 
     It is named by the documents' files, so that other or changed ones have one of their own, and written under another
     name before, so that no query finds one that is not whole.
     """
-    path = f"{shared_dir(spark)}/docweave-index/{ps.FORMAT}-{version(spark, f'{sf_dir}/documents.parquet')}"
+    path = index_path(spark, sf_dir)
     found = ps.stored(spark, path)
     if found is None:
         own = f"{path}-{uuid.uuid4().hex}"
@@ -83,9 +87,20 @@ def stored_index(spark, sf_dir) -> ps.Postings:
     return found
 
 
+def search_terms(spark, sf_dir, terms, k=20):
+    """BM25 over the stored index if there is one, and else over the texts: an index of all terms costs a hundred times what a
+    question shuffles and writes, so that a query that happens to come first does not pay for it."""
+    index = ps.stored(spark, index_path(spark, sf_dir))
+    if index is None:
+        found = ps.scan(bodies(spark, sf_dir), "doc_id", "lang", "body", terms, f"{shared_dir(spark)}/docweave-index/scan-{uuid.uuid4().hex}", k)
+        if found is not None:
+            return found
+    return ps.search(index or stored_index(spark, sf_dir), terms, k)
+
+
 def search(spark, sf_dir, query=QUERY, k=20, jurisdiction=None):
-    """BM25 of one literal query over the stored index."""
-    return ps.search(stored_index(spark, sf_dir), rk.query_terms(queries(spark, query, jurisdiction=jurisdiction)), k)
+    """BM25 of one literal query."""
+    return search_terms(spark, sf_dir, rk.query_terms(queries(spark, query, jurisdiction=jurisdiction)), k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -108,7 +123,9 @@ def bm25_stats(spark, sf_dir):
 
 
 def bm25_two_query_merge(spark, sf_dir):
-    m = rk.merge_two(search(spark, sf_dir), search(spark, sf_dir, EXPANDED))
+    both = search_terms(spark, sf_dir, rk.query_terms(queries(spark, QUERY, EXPANDED)))
+    first, second = (both.where(F.col("query_id") == i).withColumn("query_id", F.lit(1)) for i in (1, 2))
+    m = rk.merge_two(first, second)
     return m.select("jurisdiction", "id", F.round("score", 6).alias("score"), "rank")
 
 
