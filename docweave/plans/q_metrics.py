@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import contain
 from ..operators import metrics as mt
-from ..operators import postings as ps
 from ..operators import rank as rk
 from ..operators import rules as rl
-from .q_rank import STATS, TOKENS, bm25_sql, docs, points, stored_index, words_sql
+from .q_rank import STATS, TOKENS, bm25_sql, docs, points, search_terms, words_sql
 from .tables import sql_values, table, values
 
 POOL = 20
@@ -25,7 +24,7 @@ def questions(spark, sf_dir):
 
 def pool(spark, sf_dir):
     """The candidate pool of every question: BM25 over English documents."""
-    return ps.search(stored_index(spark, sf_dir), rk.query_terms(questions(spark, sf_dir)), POOL)
+    return search_terms(spark, sf_dir, rk.query_terms(questions(spark, sf_dir)), POOL)
 
 
 #: Candidates that may be broadcast to their texts; bounded by the number of questions, and beyond it joined by a shuffle.
@@ -118,7 +117,7 @@ def abstention(spark, sf_dir):
     """Questions with nothing found at all, and those whose best score is under the threshold of confidence."""
     q = values(spark, [(i, t, None) for i, t in QUESTIONS], "query_id int, query string, jurisdiction string")
     terms = rk.query_terms(q)
-    hits = ps.search(stored_index(spark, sf_dir), terms, 5)
+    hits = search_terms(spark, sf_dir, terms, 5)
     best = hits.groupBy("query_id").agg(F.max("score").alias("best"))
     x = q.join(best, "query_id", "left")
     return x.select("query_id", F.col("best").isNull().alias("abstained"), rl.confidence(F.col("best")).alias("unsure"), F.round("best", 6).alias("best"))

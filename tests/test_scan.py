@@ -6,7 +6,7 @@ import pytest
 from docweave.operators import index as ix
 from docweave.operators import postings as ps
 from docweave.operators import rank as rk
-from docweave.plans import q_rank, tables
+from docweave.plans import q_metrics, q_rank, tables
 from pyspark.sql import functions as F
 from test_postings import COLUMNS, SCHEMA, asked, corpus, hits
 
@@ -41,7 +41,7 @@ def test_too_many_terms_or_weights_are_left_to_the_index(spark, tmp_path, monkey
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("query", [q_rank.bm25_two_query_merge, q_rank.sigmoid_calibration])
+@pytest.mark.parametrize("query", [q_rank.bm25_two_query_merge, q_rank.sigmoid_calibration, q_metrics.eval_published])
 def test_a_query_that_comes_first_writes_no_index(spark, tmp_path, monkeypatch, query):
     for module in (q_rank, tables):
         monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}")
