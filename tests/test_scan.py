@@ -41,7 +41,7 @@ def test_too_many_terms_or_weights_are_left_to_the_index(spark, tmp_path, monkey
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("query", [q_rank.bm25_two_query_merge, q_rank.sigmoid_calibration, q_metrics.eval_published, q_metrics.eval_metrics, q_metrics.template_answer])
+@pytest.mark.parametrize("query", [q_rank.bm25_two_query_merge, q_rank.sigmoid_calibration, q_metrics.eval_published, q_metrics.eval_metrics, q_metrics.template_answer, q_metrics.failure_modes])
 def test_a_query_that_comes_first_writes_no_index(spark, tmp_path, monkeypatch, query):
     for module in (q_rank, tables):
         monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}")
