@@ -6,6 +6,7 @@ text. Without one, deterministic stand-ins take its place, so that plans run and
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -18,14 +19,34 @@ DIMENSION = 64
 BATCH, SMALLER_BATCH = 32, 8
 
 
+class _Places(dict):
+    """Where a word counts: its dimension, and so many more if it counts against it. Words are hashed when they come up first."""
+
+    #: Words after which all are forgotten.
+    most = 1 << 17
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest())
+        place = self[word] = h % self.dimension + (0 if h >> 63 else self.dimension)
+        return place
+
+
+_places = functools.cache(_Places)
+
+
 def stand_in_embedding(texts: list[str], dimension: int = DIMENSION) -> list[list[float]]:
     """Unit vectors of signed, hashed word counts."""
-    out = []
+    out, places = [], _places(dimension)
     for t in texts:
-        v = np.zeros(dimension)
-        for w in (t or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest())
-            v[h % dimension] += 1 if h >> 63 else -1
+        if len(places) > places.most:
+            places.clear()
+        found = list(map(places.__getitem__, (t or "").lower().split()))
+        counts = np.bincount(np.array(found, int), minlength=2 * dimension).astype(float)
+        v = counts[:dimension] - counts[dimension:]
         n = np.linalg.norm(v)
         out.append((v / n if n else v).tolist())
     return out

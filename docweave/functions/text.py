@@ -28,7 +28,7 @@ def chain(text: Column, steps: list[tuple[str, str]]) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def clean_text(text: Column) -> Column:
@@ -36,7 +36,8 @@ def clean_text(text: Column) -> Column:
     x = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", " ")
     x = F.regexp_replace(x, r"(?imd)^\s*(?:page\s+\d+(?:\s*(?:of|/)\s*\d+)?|\d+)\s*$", "")
     x = F.regexp_replace(x, r"\r\n?", "\n")
-    lines = F.transform(F.split(x, "\n"), lambda y: stripped(F.regexp_replace(y, r"[ \t]+", " ")))
+    x = F.regexp_replace(x, r"[ \t]{2,}|\t", " ")  # a single blank is not replaced by itself
+    lines = F.transform(F.split(x, "\n"), stripped)
     return stripped(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
