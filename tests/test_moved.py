@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 SF, COPIES = "/root/testdata/sf0.01", 4
 #: Searched without an index, each by the same step.
-SEARCHES = ["sigmoid_calibration", "eval_metrics", "template_answer"]
+SEARCHES = ["sigmoid_calibration", "eval_metrics", "template_answer", "failure_modes"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 
 
